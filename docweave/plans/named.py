@@ -2,5 +2,363 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import chunking, records, retrieval, scoring
+from ..sources.readers import links, row_ranges, table
+from ..streaming.status import live_until, windowed_counts
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+_TOK = "regexp_extract_all(lower(text), '[a-z0-9_]{2,}')"
+_FIXED = "SELECT doc_id, (i // {n}) AS chunk_index, substr(text, i + 1, {n}) AS text FROM (SELECT doc_id, text, unnest(range(0, length(text), {n})) AS i FROM documents WHERE length(text) > 0)"
+_NORM = "regexp_replace(trim(regexp_replace(lower({c}), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), '[^a-z0-9_ À-ɏ]', '', 'g')"
+_SENT = "list_filter(list_transform(regexp_extract_all(text, '[^.!?;]+[.!?;]*'), lambda x: trim(regexp_replace(x, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))), lambda x: length(x) >= {n})"
+
+
+def named(sql: str):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+# ---- documents to chunks
+
+
+@named(_FIXED.format(n=600))
+def doc_chunk_fixed(spark, d):
+    return chunking.fixed(table(spark, d, "documents"), 600)
+
+
+@named(f"WITH c AS ({_FIXED.format(n=600)}) SELECT doc_id, chunk_index, concat(coalesce(right(lag(text) OVER (PARTITION BY doc_id ORDER BY chunk_index), 100), ''), text) AS text FROM c")
+def doc_chunk_overlap(spark, d):
+    return chunking.overlapped(chunking.fixed(table(spark, d, "documents"), 600), 100)
+
+
+@named("SELECT doc_id, generate_subscripts(p, 1) - 1 AS chunk_index, unnest(p) AS text FROM (SELECT doc_id, list_filter(list_transform(string_split(text, '. '), lambda x: trim(x, ' ')), lambda x: x <> '') AS p FROM documents)")
+def doc_custom_split(spark, d):
+    return chunking.on_separator(table(spark, d, "documents"), ". ")
+
+
+@named("""WITH c AS (SELECT doc_id, text, list_sort(list_distinct(list_filter([0, length(text) // 3, length(text) // 2, length(text)], lambda p: p >= 0 AND p <= length(text)))) AS cuts FROM documents),
+    r AS (SELECT doc_id, text, cuts, unnest(range(1, len(cuts))) AS part FROM c)
+    SELECT * FROM (SELECT doc_id, part, substr(text, cuts[part] + 1, cuts[part + 1] - cuts[part]) AS text FROM r) WHERE trim(text, ' ') <> ''""")
+def doc_manual_split(spark, d):
+    n = F.length("text")
+    return chunking.at_points(table(spark, d, "documents"), F.array((n / 3).cast("int"), (n / 2).cast("int")))
+
+
+@named("""SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM documents)
+    WHERE length(line) BETWEEN 1 AND 80 GROUP BY ALL HAVING count(*) >= 4""")
+def noise_lines(spark, d):
+    return chunking.noise_lines(table(spark, d, "documents"))
+
+
+@named(f"SELECT doc_id, length(text) AS n_chars, len({_SENT.format(n=10)}) AS n_sentences FROM documents")
+def sentence_counts(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.size(T.sentences(F.col("text"), 10)).cast("long").alias("n_sentences"))
+
+
+@named(f"""WITH c AS ({_FIXED.format(n=600)}) SELECT count(*) AS n_chunks, CAST(count_if(length(text) < 40) AS BIGINT) AS n_short, CAST(count_if(length(text) > 1200) AS BIGINT) AS n_long, round(avg(length(text)), 2) AS mean_length FROM c""")
+def chunk_metrics(spark, d):
+    n = F.length("text")
+    return chunking.fixed(table(spark, d, "documents"), 600).agg(F.count("*").alias("n_chunks"), F.count_if(n < 40).alias("n_short"), F.count_if(n > 1200).alias("n_long"), F.round(F.avg(n), 2).alias("mean_length"))
+
+
+# ---- text functions
+
+
+@named("""SELECT doc_id, CASE WHEN (length(text) - length(regexp_replace(text, '[一-鿿]', '', 'g'))) / greatest(length(text), 1) > 0.05 THEN 'zh'
+    WHEN (length(text) - length(regexp_replace(text, '[A-Za-z]', '', 'g'))) / greatest(length(text), 1) > 0.05 THEN 'en' ELSE 'unknown' END AS language FROM documents""")
+def lang_ratio_detect(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.language_of(F.col("text")).alias("language"))
+
+
+@named(f"SELECT doc_id, len({_TOK}) AS n_tokens, len(list_distinct({_TOK})) AS n_distinct FROM documents")
+def lexical_tokens(spark, d):
+    t = T.lexical_tokens(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"))
+
+
+@named(f"""WITH t AS (SELECT unnest(list_distinct({_TOK})) AS token FROM documents), n AS (SELECT count(*) AS n FROM documents)
+    SELECT token, count(*) AS df, round(ln((any_value(n) + 1) / (count(*) + 0.5)) + 1, 6) AS idf FROM t, n GROUP BY token""")
+def token_df_idf(spark, d):
+    return retrieval.token_stats(table(spark, d, "documents")).withColumn("idf", F.round("idf", 6))
+
+
+@named("SELECT doc_id, sha1(concat(source, ':', doc_id)) AS record_id, substr(sha1(text), 1, 12) AS text_key FROM documents")
+def identity_hashes(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", F.sha1(F.concat("source", F.lit(":"), F.col("doc_id").cast("string")).cast("binary")).alias("record_id"), F.substring(F.sha1(F.col("text").cast("binary")), 1, 12).alias("text_key"))
+
+
+@named("""WITH r AS (SELECT page_id, regexp_extract(url, '^(?:https?://)([^/]*)', 1) AS host, regexp_extract_all(html, '<a[^>]*href="([^"]*)"', 1) AS l FROM pages),
+    u AS (SELECT page_id, host, list_filter(l, lambda x, i: list_position(l, x) = i) AS l FROM r)
+    SELECT page_id, generate_subscripts(l, 1) - 1 AS pos, unnest(list_transform(l, lambda x: CASE WHEN starts_with(x, '/') THEN 'https://' || host || x ELSE x END)) AS link FROM u""")
+def link_extract(spark, d):
+    return links(table(spark, d, "pages"))
+
+
+# ---- ranking
+
+
+@named(f"""WITH c AS ({_FIXED.format(n=600)}), k AS (SELECT doc_id * 100000 + chunk_index AS chunk_id, text FROM c),
+    t AS (SELECT chunk_id, unnest(list_distinct({_TOK})) AS token FROM k), n AS (SELECT count(*) AS n FROM k),
+    w AS (SELECT token, ln((any_value(n) + 1) / (count(*) + 0.5)) + 1 AS idf FROM t, n WHERE token IN ('the', 'ing', 'license') GROUP BY token),
+    q AS (SELECT token, coalesce(idf, 1.0) AS idf FROM (SELECT unnest(['the', 'ing', 'license']) AS token) LEFT JOIN w USING (token))
+    SELECT chunk_id, round(sum(idf) / (SELECT sum(idf) FROM q), 6) AS score FROM t JOIN q USING (token) GROUP BY chunk_id ORDER BY score DESC, chunk_id LIMIT 3""")
+def lexical_top_chunks(spark, d):
+    chunks = chunking.fixed(table(spark, d, "documents"), 600).select((F.col("doc_id") * 100000 + F.col("chunk_index")).alias("chunk_id"), "text")
+    return retrieval.top_k(retrieval.lexical_scores(chunks, "the ing license", "chunk_id"), 3, tie="chunk_id")
+
+
+@named(f"""WITH t AS (SELECT doc_id, {_TOK} AS tokens FROM documents), s AS (SELECT count(*) AS n, avg(len(tokens)) AS m FROM t),
+    tf AS (SELECT doc_id, token, any_value(size) AS size, count(*) AS tf FROM (SELECT doc_id, len(tokens) AS size, unnest(tokens) AS token FROM t) WHERE token IN ('release', 'version', 'mit') GROUP BY ALL),
+    df AS (SELECT token, count(*) AS df FROM tf GROUP BY token)
+    SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * size / m))), 6) AS score FROM tf JOIN df USING (token), s GROUP BY doc_id""")
+def bm25_scores(spark, d):
+    return retrieval.bm25(table(spark, d, "documents"), "release version MIT")
+
+
+@named("""WITH q AS (SELECT list_transform(range(0, 64), lambda i: CASE WHEN i % 2 = 0 THEN 0.125 ELSE -0.125 END) AS q)
+    SELECT vec_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 6) AS score FROM embeddings, q WHERE label IN (1, 2, 3) ORDER BY score DESC, vec_id LIMIT 10""")
+def vector_topk_filtered(spark, d):
+    v = table(spark, d, "embeddings").where(F.col("label").isin(1, 2, 3))
+    return retrieval.top_k(retrieval.vector_scores(v, [0.125 if i % 2 == 0 else -0.125 for i in range(64)]).select("vec_id", "score"), 10, tie="vec_id")
+
+
+@named("""WITH e AS (SELECT label, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+    m AS (SELECT label, i, avg(x) AS x FROM e GROUP BY ALL),
+    p AS (SELECT a.label, b.label AS other, sum(a.x * b.x) / (sqrt(sum(a.x * a.x)) * sqrt(sum(b.x * b.x))) AS c FROM m a JOIN m b ON a.i = b.i AND a.label <> b.label GROUP BY ALL)
+    SELECT label, arg_max(other, c) AS nearest, round(max(c), 6) AS cosine FROM p GROUP BY label""")
+def nearest_other_centroid(spark, d):
+    e = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
+    m = e.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))  # a row for each label and dimension
+    a, b = m.alias("a"), m.alias("b")
+    p = a.join(b, (F.col("a.i") == F.col("b.i")) & (F.col("a.label") != F.col("b.label"))).groupBy(F.col("a.label").alias("label"), F.col("b.label").alias("other"))
+    p = p.agg((F.sum(F.col("a.x") * F.col("b.x")) / (F.sqrt(F.sum(F.col("a.x") * F.col("a.x"))) * F.sqrt(F.sum(F.col("b.x") * F.col("b.x"))))).alias("c"))
+    return p.groupBy("label").agg(F.max_by("other", "c").alias("nearest"), F.round(F.max("c"), 6).alias("cosine"))
+
+
+@named("""WITH s AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS dense, abs(CAST(embedding[2] AS DOUBLE)) AS lexical, CAST(label = 1 AS INT) AS structure FROM embeddings),
+    p AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY dense DESC, vec_id) AS a, row_number() OVER (ORDER BY lexical DESC, vec_id) AS b FROM s) WHERE a <= 12 OR b <= 12),
+    f AS (SELECT vec_id, round(0.68 / (0.68 + 0.24) * (dense + 1) / 2 + 0.24 / (0.68 + 0.24) * lexical + 0.08 * structure, 6) AS fused FROM p)
+    SELECT vec_id, fused, row_number() OVER (ORDER BY fused DESC, vec_id) AS rank FROM f""")
+def hybrid_rank_topk(spark, d):
+    e = table(spark, d, "embeddings")
+    rows = e.select("vec_id", F.col("embedding")[0].cast("double").alias("dense"), F.abs(F.col("embedding")[1].cast("double")).alias("lexical"), (F.col("label") == 1).cast("int").alias("structure"))
+    return retrieval.fused_ranks(rows, "dense", "lexical", "structure", "vec_id").select("vec_id", "fused", F.col("rank").cast("long").alias("rank"))
+
+
+# ---- quality of chunks
+
+_LISTS = r"regexp_matches(text, '(^|\n)\s*([-*]|\d+[.)])\s')"
+_ADJ = f"""WITH c AS ({_FIXED.format(n=600)}), t AS (SELECT *, list_distinct({_TOK}) AS t FROM c),
+    l AS (SELECT *, lag(t) OVER w AS p, lead(t) OVER w AS q FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_index)),
+    j AS (SELECT doc_id, chunk_index, text, round(greatest(
+      coalesce(CASE WHEN len(list_distinct(list_concat(t, p))) = 0 THEN 0 ELSE len(list_intersect(t, p)) / len(list_distinct(list_concat(t, p))) END, 0),
+      coalesce(CASE WHEN len(list_distinct(list_concat(t, q))) = 0 THEN 0 ELSE len(list_intersect(t, q)) / len(list_distinct(list_concat(t, q))) END, 0)), 6) AS adjacent,
+      p IS NULL AS no_p, q IS NULL AS no_q FROM l)"""
+
+
+@named(f"{_ADJ} SELECT doc_id, chunk_index, CASE WHEN no_p AND no_q THEN 0 ELSE adjacent END AS adjacent FROM j")
+def adjacent_jaccard(spark, d):
+    return scoring.adjacent_similarity(chunking.fixed(table(spark, d, "documents"), 600)).select("doc_id", "chunk_index", "adjacent")
+
+
+@named(f"""{_ADJ}, s AS (SELECT doc_id, chunk_index, round(greatest(0, least(1, CAST(1.0 AS DOUBLE)
+      - CASE WHEN length(text) < 80 AND NOT {_LISTS} THEN CAST(0.35 AS DOUBLE) ELSE 0 END - CASE WHEN length(text) - length(replace(text, '|', '')) >= 6 THEN CAST(0.25 AS DOUBLE) ELSE 0 END
+      - CASE WHEN adjacent >= 0.84 THEN CAST(0.20 AS DOUBLE) ELSE 0 END
+      - CASE WHEN length(regexp_replace(text, '[A-Za-z0-9À-ɏ\\s]', '', 'g')) / greatest(length(text), 1) >= 0.48 AND length(text) < 320 THEN CAST(0.15 AS DOUBLE) ELSE 0 END
+      + CASE WHEN {_LISTS} THEN CAST(0.10 AS DOUBLE) ELSE 0 END)), 6) AS quality FROM j)
+    SELECT doc_id, chunk_index, quality, CASE WHEN quality < 0.3 THEN 'drop' WHEN quality < 0.52 THEN 'context_only' ELSE 'usable' END AS status FROM s""")
+def chunk_quality(spark, d):
+    return scoring.chunk_quality(scoring.adjacent_similarity(chunking.fixed(table(spark, d, "documents"), 600))).select("doc_id", "chunk_index", "quality", "status")
+
+
+# ---- questions and answers
+
+_PAIRS = "SELECT conv_id, turn, text AS question, nr AS role2, nt AS answer FROM (SELECT *, lead(role) OVER w AS nr, lead(text) OVER w AS nt FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)) WHERE role = 'user' AND nr = 'assistant'"
+
+
+def _pairs(spark, d) -> DataFrame:
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = table(spark, d, "conversations").withColumns({"nr": F.lead("role").over(w), "nt": F.lead("text").over(w)})
+    return rows.where("role = 'user' AND nr = 'assistant'").select("conv_id", "turn", F.col("text").alias("question"), F.col("nt").alias("answer"))
+
+
+@named(f"SELECT conv_id, turn, question, answer FROM ({_PAIRS})")
+def qa_pairs_from_turns(spark, d):
+    return _pairs(spark, d)
+
+
+@named(f"SELECT question, answer, min(conv_id) AS first_conv, count(*) AS n FROM ({_PAIRS}) GROUP BY question, answer")
+def qa_dedup_exact(spark, d):
+    return _pairs(spark, d).groupBy("question", "answer").agg(F.min("conv_id").alias("first_conv"), F.count("*").alias("n"))
+
+
+@named(f"""WITH p AS (SELECT conv_id, turn, {_NORM.format(c='answer')} AS na, {_NORM.format(c='question')} AS nq FROM ({_PAIRS})),
+    w AS (SELECT conv_id, turn, na, nq, list_filter(string_split(na, ' '), lambda x: x <> '') AS a, list_filter(string_split(nq, ' '), lambda x: x <> '') AS r FROM p),
+    o AS (SELECT *, coalesce(list_sum(list_transform(list_distinct(list_intersect(a, r)), lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(r, lambda y: y = x))))), 0) AS o FROM w)
+    SELECT conv_id, turn, CAST(na = nq AS INT) AS exact, CASE WHEN len(a) + len(r) = 0 THEN 1.0 ELSE round(2 * o / (len(a) + len(r)), 6) END AS f1,
+    CASE WHEN len(a) = 0 THEN 0.0 ELSE round(100 * o / len(a), 6) END AS bleu FROM o""")
+def em_f1_bleu(spark, d):
+    return scoring.answer_scores(_pairs(spark, d), "answer", "question").select("conv_id", "turn", "exact", "f1", "bleu")
+
+
+@named(f"""WITH p AS (SELECT conv_id, turn, lower(question) AS q, lower(answer) AS a FROM ({_PAIRS})),
+    g AS (SELECT conv_id, turn, q, a, CASE WHEN length(q) >= 3 THEN list_distinct(list_transform(range(1, length(q) - 1), lambda i: substr(q, i, 3))) ELSE [] END AS g FROM p)
+    SELECT conv_id, turn, CASE WHEN len(g) = 0 THEN CAST(contains(a, q) AS DOUBLE) ELSE round(len(list_filter(g, lambda x: contains(a, x))) / len(g), 6) END AS recall FROM g""")
+def ngram_recall(spark, d):
+    return _pairs(spark, d).select("conv_id", "turn", scoring.ngram_recall(F.lower("question"), F.lower("answer")).alias("recall"))
+
+
+@named("""WITH s AS (SELECT label, greatest(CAST(embedding[1] AS DOUBLE), 0) AS s, CAST(embedding[1] AS DOUBLE) AS raw FROM embeddings),
+    p AS (SELECT label, sqrt(s * count(*) OVER (PARTITION BY label ORDER BY raw RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / count(*) OVER (PARTITION BY label)) AS p FROM s)
+    SELECT label, round(avg(p), 6) AS recall, count(*) AS n FROM p GROUP BY label""")
+def coverage_recall(spark, d):
+    return scoring.coverage_recall(table(spark, d, "embeddings").select("label", F.col("embedding")[0].cast("double").alias("s")), "label", "s")
+
+
+@named("""WITH g AS (SELECT source, avg(quality) AS q, avg(toxic) AS t FROM labels JOIN documents USING (doc_id) GROUP BY source)
+    SELECT round(avg(q), 6) AS macro_quality, round(avg(t), 6) AS macro_toxic, count(*) AS n_groups FROM g""")
+def suite_macro_means(spark, d):
+    g = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "source"), "doc_id").groupBy("source").agg(F.avg("quality").alias("q"), F.avg("toxic").alias("t"))
+    return g.agg(F.round(F.avg("q"), 6).alias("macro_quality"), F.round(F.avg("t"), 6).alias("macro_toxic"), F.count("*").alias("n_groups"))
+
+
+@named("SELECT CAST(0.5 AS DOUBLE) AS threshold, count(*) AS original, CAST(count_if(quality >= 0.5) AS BIGINT) AS filtered, CAST(count(*) - count_if(quality >= 0.5) AS BIGINT) AS removed FROM labels")
+def threshold_filter_info(spark, d):
+    kept = F.count_if(F.col("quality") >= 0.5)
+    return table(spark, d, "labels").agg(F.count("*").alias("original"), kept.alias("filtered"), (F.count("*") - kept).alias("removed")).select(F.lit(0.5).alias("threshold"), "original", "filtered", "removed")
+
+
+# ---- rules and classification
+
+
+@named("""SELECT doc_id, CAST(round(CASE WHEN contains(lower(text), 'license') OR contains(lower(text), 'copyright') THEN 0.5 ELSE 0 END
+    + CASE WHEN contains(lower(text), 'released') AND contains(lower(text), 'mit') THEN 0.3 ELSE 0 END + CASE WHEN regexp_matches(lower(text), 'version [0-9]') THEN 0.2 ELSE 0 END, 6) AS DOUBLE) AS score FROM documents""")
+def rule_scores(spark, d):
+    return table(spark, d, "documents").select("doc_id", scoring.rule_score(F.col("text"), ["license", "copyright"], ["released", "mit"], "version [0-9]").alias("score"))
+
+
+@named("SELECT quality, toxic, count(*) AS n FROM labels GROUP BY ALL")
+def label_confusion(spark, d):
+    return table(spark, d, "labels").groupBy("quality", "toxic").agg(F.count("*").alias("n"))
+
+
+@named("""WITH h AS (SELECT doc_id, lang, CAST('0x' || substr(sha1('split' || doc_id), 1, 6) AS BIGINT) / 16777216 AS h FROM documents)
+    SELECT lang, CASE WHEN h < 0.8 THEN 'train' WHEN h < 0.9 THEN 'dev' ELSE 'test' END AS split, count(*) AS n FROM h GROUP BY ALL""")
+def stratified_split(spark, d):
+    return table(spark, d, "documents").select("lang", scoring.split_of(F.col("doc_id")).alias("split")).groupBy("lang", "split").agg(F.count("*").alias("n"))
+
+
+# ---- records
+
+
+@named("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus IN ('O', 'F') AND o_totalprice >= 100000 ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 20 OFFSET 20")
+def list_filter_page(spark, d):
+    o = table(spark, d, "orders").where(records.conjunction([F.col("o_orderstatus").isin("O", "F"), F.col("o_totalprice") >= 100000]))
+    return records.page(o.select("o_orderkey", "o_orderstatus", "o_totalprice"), 2, 20, "o_totalprice", "o_orderkey")
+
+
+@named("SELECT c_custkey, coalesce(n, 0) AS n_orders, coalesce(spent, 0.0) AS spent FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS spent FROM orders GROUP BY 1) o ON c_custkey = o_custkey")
+def left_default_meta(spark, d):
+    side = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("spent"))
+    return records.with_defaults(table(spark, d, "customer").select("c_custkey"), side, "c_custkey", {"n_orders": 0, "spent": 0.0})
+
+
+@named("""WITH n AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN upper(c_mktsegment) END AS c_mktsegment, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_custkey % 3 = 0
+      UNION ALL SELECT -1, 'NEW', 0.0)
+    SELECT coalesce(n.c_custkey, o.c_custkey) AS c_custkey, coalesce(n.c_mktsegment, o.c_mktsegment) AS c_mktsegment, coalesce(n.c_acctbal, o.c_acctbal) AS c_acctbal
+    FROM customer o FULL JOIN n ON n.c_custkey = o.c_custkey""")
+def upsert_coalesce(spark, d):
+    old = table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    new = old.where("c_custkey % 3 = 0").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.upper("c_mktsegment")).alias("c_mktsegment"), (F.col("c_acctbal") + 1).alias("c_acctbal"))
+    return records.upsert(old, new.union(spark.createDataFrame([(-1, "NEW", 0.0)], new.schema)), "c_custkey")
+
+
+@named("SELECT s_suppkey, s_name, s_acctbal FROM supplier WHERE s_suppkey % 5 <> 0 UNION ALL SELECT s_suppkey, 'replaced', 0.0 FROM supplier WHERE s_suppkey % 5 = 0")
+def replace_by_id(spark, d):
+    old = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    return records.replace_by_id(old, old.where("s_suppkey % 5 = 0").select("s_suppkey", F.lit("replaced").alias("s_name"), F.lit(0.0).alias("s_acctbal")), "s_suppkey")
+
+
+@named("""SELECT c_mktsegment, CAST(count_if(o IS NOT NULL) AS BIGINT) AS with_orders, CAST(count_if(o IS NULL) AS BIGINT) AS without FROM customer LEFT JOIN (SELECT DISTINCT o_custkey AS o FROM orders) ON c_custkey = o GROUP BY 1""")
+def semi_anti_ids(spark, d):
+    c, o = table(spark, d, "customer"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    both = c.join(o, "c_custkey", "left_semi").withColumn("has", F.lit(1)).unionByName(c.join(o, "c_custkey", "left_anti").withColumn("has", F.lit(0)))
+    return both.groupBy("c_mktsegment").agg(F.sum("has").alias("with_orders"), F.sum(1 - F.col("has")).alias("without"))
+
+
+@named("SELECT l_orderkey, l_linenumber, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber) AS r FROM lineitem) WHERE r <= 2")
+def variants_topn(spark, d):
+    return records.top_per_key(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), "l_orderkey", 2, F.desc("l_quantity"), F.col("l_linenumber"))
+
+
+@named("SELECT o_orderpriority, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS share FROM orders GROUP BY 1")
+def category_distribution(spark, d):
+    g = table(spark, d, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+    return g.join(F.broadcast(g.agg(F.sum("n").alias("total")))).select("o_orderpriority", "n", F.round(100 * F.col("n") / F.col("total"), 6).alias("share"))
+
+
+@named("SELECT coalesce(l_shipmode, 'OVERALL') AS grp, n, mean_price FROM (SELECT l_returnflag AS l_shipmode, count(*) AS n, round(avg(l_extendedprice), 4) AS mean_price FROM lineitem GROUP BY ROLLUP (l_returnflag))")
+def file_rollup_mean(spark, d):
+    r = table(spark, d, "lineitem").rollup("l_returnflag").agg(F.count("*").alias("n"), F.round(F.avg("l_extendedprice"), 4).alias("mean_price"))
+    return r.select(F.coalesce("l_returnflag", F.lit("OVERALL")).alias("grp"), "n", "mean_price")
+
+
+@named("SELECT l_linestatus, round(avg(l_quantity), 6) AS mean, round(quantile_cont(l_quantity, 0.5), 6) AS p50, max(l_quantity) AS largest, count(*) AS n FROM lineitem GROUP BY 1")
+def stats_median(spark, d):
+    return records.stats(table(spark, d, "lineitem"), "l_quantity", "l_linestatus")
+
+
+@named("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey BETWEEN 1 AND 6 OR l_orderkey BETWEEN 10 AND 12 OR l_orderkey = 40")
+def row_ranges_select(spark, d):
+    return table(spark, d, "lineitem").where(records.in_ranges(F.col("l_orderkey"), row_ranges("10-12,1-3, 4-6,2,40"))).select("l_orderkey", "l_linenumber")
+
+
+# ---- events
+
+
+@named("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts) AS ts FROM events GROUP BY user_id")
+def latest_status(spark, d):
+    return records.latest(table(spark, d, "events").select("user_id", "ts", "event_id", "event_type"), "user_id", "ts", "event_id").select("user_id", "event_type", "ts")
+
+
+@named("SELECT user_id, max(ts) AS last_seen FROM events WHERE ts > TIMESTAMP '2024-01-25 00:00:00' - INTERVAL 1 DAY GROUP BY user_id")
+def ttl_expiry(spark, d):
+    return live_until(table(spark, d, "events"), "1 day", "2024-01-25 00:00:00")
+
+
+@named("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def event_window_counts(spark, d):
+    return windowed_counts(table(spark, d, "events"))
+
+
+@named("""WITH i AS (SELECT user_id, event_type AS stage, epoch(date_trunc('second', ts)) AS a, epoch(date_trunc('second', ts)) + 60 + CAST(floor(abs(value)) AS INT) % 600 AS b FROM events WHERE event_id % 10 = 0),
+    c AS (SELECT DISTINCT user_id, unnest([a, b]) AS x FROM i), s AS (SELECT user_id, x, lead(x) OVER (PARTITION BY user_id ORDER BY x) AS y FROM c),
+    t AS (SELECT DISTINCT s.user_id, x, y, stage FROM s JOIN i ON s.user_id = i.user_id AND a <= x AND b >= y WHERE y IS NOT NULL),
+    n AS (SELECT *, count(*) OVER (PARTITION BY user_id, x) AS n FROM t)
+    SELECT user_id, stage, round(sum((y - x) / n), 6) AS seconds FROM n GROUP BY ALL""")
+def wall_interval_attribution(spark, d):
+    start = F.unix_timestamp("ts")
+    rows = table(spark, d, "events").where("event_id % 10 = 0").select("user_id", F.col("event_type").alias("stage"), start.alias("a"), (start + 60 + F.floor(F.abs("value")).cast("int") % 600).alias("b"))
+    return records.attribute_wall(rows, "user_id", "a", "b", "stage")
+
+
+@named("""SELECT n_name, r_name, 'root/' || r_name || '/' || n_name AS path, count(c_custkey) AS n_customers FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL""")
+def tree_paths(spark, d):
+    n = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    c = table(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n_customers"))
+    rows = n.join(c, F.col("n_nationkey") == F.col("c_nationkey"), "left")
+    return rows.select("n_name", "r_name", F.concat_ws("/", F.lit("root"), "r_name", "n_name").alias("path"), F.coalesce("n_customers", F.lit(0)).alias("n_customers"))
