@@ -222,7 +222,7 @@ def training_rows(df: DataFrame, settings: Settings, id_col: str = "doc_id", tex
         share = F.when(F.col("lang") == r["lang"], min(1.0, settings.sample_per_language / r["n"])).otherwise(share)
     picked = pool.where(F.col("h") < share * F.lit(1 << 30))
     # a stretch around a hashed place is enough of a long text for training
-    near = F.greatest(F.lit(1), (F.pmod(F.hash("h"), F.length("text")) - 2000).cast("int"))
+    near = F.greatest(F.lit(1), (F.pmod(F.hash("h"), F.greatest(F.length("text"), F.lit(1))) - 2000).cast("int"))
     return [(r["text"], r["lang"]) for r in picked.select(F.expr("text").substr(near, F.lit(4000)).alias("text"), "lang").collect()]
 
 
