@@ -27,8 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from .common import small_batches
+
 #: Distinct words kept in a worker's table of encoded words; a full table starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 _CONTROLS = regex.compile("[\x1c-\x1f]")
 
 
@@ -97,14 +99,13 @@ class WordTokenizer:
         self.inner = {t[:k]: -1 for t in self.inner for k in range(1, len(t))} | self.inner
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.label |= {i: t for t, i in added.items()}
-        self.added = {t: (i.to_bytes(4, "little"), t) for t, i in added.items()}
+        self.added = {t: i.to_bytes(4, "little") for t, i in added.items()}
         self.special = regex.compile("(" + "|".join(map(regex.escape, added)) + ")")
         self.bytes = {b: c for b, c in byte_alphabet().items()}
         splits = [p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
         self.words = regex.compile(splits[0])
         self.space = regex.compile(r"\s+")
-        self.paths: dict[str, list[int]] = {}
-        self.known: dict[str, tuple[bytes, str]] = {}
+        self.known: dict[str, bytes] = {}
 
     def path_of(self, word: str) -> list[int]:
         """Labels of the one accepted path over a word in the byte alphabet."""
@@ -132,29 +133,30 @@ class WordTokenizer:
             out.append(label)
         return out[::-1]
 
-    def chunk(self, chunk: str) -> tuple[bytes, str]:
-        """Of text without white space: ids as little-endian 32-bit numbers, and their labels joined by a space."""
-        labels = []
+    def chunk(self, chunk: str) -> bytes:
+        """Ids, as little-endian 32-bit numbers, of text without white space."""
+        known, parts = self.known, []
         for w in self.words.findall(chunk):
-            path = self.paths.get(w)
-            if path is None:
-                path = self.path_of(w.encode("utf-8", "replace").decode("latin-1").translate(self.bytes))
-                if len(self.paths) >= CACHE_WORDS:
-                    self.paths.clear()
-                if len(w) < 60:
-                    self.paths[w] = path
-            labels += path
-        got = array("I", labels).tobytes(), " ".join([self.label[x] for x in labels])
+            ids = known.get(w)
+            if ids is None:
+                ids = array("I", self.path_of(w.encode("utf-8", "replace").decode("latin-1").translate(self.bytes))).tobytes()
+                self._keep(w, ids)
+            parts.append(ids)
+        whole = b"".join(parts)
+        if len(parts) != 1:
+            self._keep(chunk, whole)
+        return whole
+
+    def _keep(self, chunk: str, ids: bytes) -> None:
         if len(self.known) >= CACHE_WORDS:
             self.known.clear()
         if len(chunk) < 60:
-            self.known[chunk] = got
-        return got
+            self.known[chunk] = ids
 
-    def encode(self, text: str | None) -> tuple[bytes, str]:
-        """Ids of a whole text as bytes, and what they decode to (labels joined by a space)."""
+    def encode(self, text: str | None) -> bytes:
+        """Ids of a whole text, as little-endian 32-bit numbers."""
         text = text or ""
-        parts: list[tuple[bytes, str]] = []
+        parts: list[bytes] = []
         for piece in self.special.split(text) if "<|" in text else [text]:
             if piece in self.added:
                 parts.append(self.added[piece])
@@ -164,12 +166,14 @@ class WordTokenizer:
             piece, known = piece.lower(), self.known
             # words never span white space; str.split() also splits at four controls that are none
             for w in self.space.split(piece) if _CONTROLS.search(piece) else piece.split():
-                parts.append(known.get(w) or self.chunk(w))
-        parts = [p for p in parts if p[0]]
-        return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
+                ids = known.get(w)
+                parts.append(self.chunk(w) if ids is None else ids)
+        return b"".join(parts)
 
     def decode(self, ids: bytes) -> str:
-        return " ".join([self.label[int.from_bytes(ids[i : i + 4], "little")] for i in range(0, len(ids), 4)])
+        """Labels of the arcs that the ids name; the file has no decoder, so a space stands between them."""
+        label = self.label
+        return " ".join([label[x] for x in array("I", ids)])
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -191,8 +195,8 @@ def digests(text: Column, path: str) -> Column:
         for texts in parts:
             rows = []
             for text in texts:
-                ids, decoded = t.encode(text)
-                rows.append((len(ids) // 4, sha(ids).hexdigest(), sha(decoded.encode()).hexdigest()))
+                ids = t.encode(text)
+                rows.append((len(ids) // 4, sha(ids).hexdigest(), sha(t.decode(ids).encode()).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return of.asNondeterministic()(text)
@@ -205,7 +209,7 @@ def encode_column(text: Column, path: str) -> Column:
     def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         t = tokenizer(path)
         for texts in parts:
-            yield pd.Series([list(memoryview(t.encode(x)[0]).cast("I")) for x in texts])
+            yield pd.Series([list(array("I", t.encode(x))) for x in texts])
 
     return of.asNondeterministic()(text)
 
@@ -229,5 +233,6 @@ def encode_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     return repeated rows, an empty table none. No shuffle. ``path`` is a tokenizer file that every
     executor can open.
     """
+    small_batches(df.sparkSession)
     out = df.select(F.col(id_col), F.col(text_col).alias("__t")).withColumn("__d", digests(F.col("__t"), path))
     return out.select(id_col, "__d.*")

@@ -24,6 +24,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Texts go to Python in batches of at most ``rows``, so that a worker's memory stays small.
+
+    Where the session has a smaller number of its own, that stays.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the lineage ends in files that every executor can read."""
     shared_dir(df.sparkSession)

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from .common import small_batches
+
 SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 #: bytes to bytes: A-Z to a-z (before the separators are blanked), the other separators to a space
 _TABLE = bytes(c + 32 if 0x41 <= c <= 0x5A else 0x20 if c in SEPARATORS else c for c in range(256))
@@ -141,6 +143,7 @@ def with_hits(df: DataFrame, items: DataFrame, text_col: str = "text", item_col:
     blocks of at most ``block_chars`` characters (one item more); each block is one scan of the text in the same
     task, so a large benchmark needs more scans, not more memory. No shuffle.
     """
+    small_batches(df.sparkSession)
     sc = df.sparkSession.sparkContext
     text = F.col(text_col)
     parts = [_scanner(sc.broadcast(b), window)(text) for b in _blocks(items.select(item_col, item_text), block_chars)]

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from .common import small_batches
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 #: Elements whose content is never part of an article.
@@ -257,5 +259,6 @@ def main_text(df: DataFrame, html_col: str = "html", carry: tuple[str, ...] = ("
     are read as far as they go. Nothing of the main text is dropped or capped. Repeated rows return
     repeated rows, an empty table none. Other columns are ignored. No shuffle.
     """
+    small_batches(df.sparkSession)
     out = df.select(*carry, F.col(html_col).alias("__html")).withColumn("text", extract_column(F.col("__html")))
     return out.select(*carry, "text", F.length("text").cast("long").alias("n_chars"))

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from .common import small_batches
+
 PAD = 256
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -252,6 +254,7 @@ def with_language(df: DataFrame, settings: Settings = Settings(), id_col: str =
     could be learned from. Null labels are not learned; null ids count as fold null and are not learned either.
     Repeated rows get equal predictions; an empty table returns no row.
     """
+    small_batches(df.sparkSession)
     net = train(training_rows(df, settings, id_col, text_col, lang_col), settings)
     return df.withColumn(name, prediction_column(F.col(text_col), net, settings))
 

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from .common import small_batches
+
 # Wording of public licenses and of the notices that name them (fixed values).
 TEMPLATES = {
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0",
@@ -154,5 +156,6 @@ def licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", temp
     have none. A license that occurs twice is reported twice; different licenses may overlap. Repeated rows
     return repeated rows, an empty table none. Other columns are ignored. No shuffle.
     """
+    small_batches(df.sparkSession)
     out = df.select(F.col(id_col), F.col(text_col).alias("__t")).withColumn("matches", scan_column(F.col("__t"), templates, least))
     return out.select(id_col, "matches")

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import checkpoint, connected_components
+from .common import checkpoint, connected_components, small_batches
 
 BASE = 0x9E3779B97F4A7C15
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -182,6 +182,7 @@ def similar_pairs(prints: DataFrame, k: int = 2, blocks_per_family: int = 10, gr
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, seed: int = 42) -> DataFrame:
     """``id``, ``fp`` (long) of every row."""
+    small_batches(df.sparkSession)
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).select("id", fingerprint_column(F.col("t"), shingle_words, seed).alias("fp"))
 
 

@@ -18,7 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-CACHE_WORDS = 400_000
+from .common import small_batches
+
+CACHE_WORDS = 300_000
 
 
 class Counter:
@@ -205,5 +207,6 @@ def edited_counts(df: DataFrame, path: str, pattern: str, edits: Column, id_col:
     Null texts are empty; null edits change nothing; places beyond the text mean its end. Repeated
     rows return repeated rows, an empty table none. Other columns are ignored. No shuffle.
     """
+    small_batches(df.sparkSession)
     out = df.select(F.col(id_col), F.col(text_col).alias("__t"), edits.alias("__e")).withColumn("__c", counts_column(F.col("__t"), F.col("__e"), path, pattern))
     return out.select(id_col, "__c.*")

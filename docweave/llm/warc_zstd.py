@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, shared_dir
+from .common import checkpoint, shared_dir, small_batches
 
 SKIPPABLE = 0x184D2A5D
 FRAME = 0xFD2FB528
@@ -220,6 +220,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     firsts = firsts.where("n > 1 and first is not null").select("digest", "first")
     rows = rows.join(firsts, "digest", "left").withColumn("again", F.coalesce(~F.col("page_id").eqNullSafe(F.col("first")) & F.col("first").isNotNull(), F.lit(False)))
     rows = rows.select("page_id", "url", F.when(~F.col("again"), F.col("html")).alias("html"), "digest", "size", F.when(F.col("again"), F.col("first")).alias("refers"), "again")
+    small_batches(pages.sparkSession)
     store, base = fs.FileSystem.from_uri(folder)
     store.create_dir(base, recursive=True)
     return checkpoint(rows.mapInArrow(_writer(folder, roll_bytes, samples), "path string, records long"))

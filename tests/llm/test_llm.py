@@ -256,9 +256,9 @@ def test_bpe_equals_library(spark, docs):
     texts += ["".join(rng.choice("abehinostt  \n'éßΣ中1²_-%<|>") for _ in range(rng.randrange(30))) for _ in range(800)]
     for t in texts:
         want = library.encode(t, add_special_tokens=False).ids
-        ids, decoded = own.encode(t)
+        ids = own.encode(t)
         assert list(memoryview(ids).cast("I")) == want, t[:80]
-        assert decoded == own.decode(ids) == library.decode(want, skip_special_tokens=False)
+        assert own.decode(ids) == library.decode(want, skip_special_tokens=False)
 
 
 def test_bpe_columns(spark):
