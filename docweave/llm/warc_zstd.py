@@ -256,8 +256,12 @@ def _reader(folder: str):
 
 
 def read_archives(listing: DataFrame, folder: str) -> DataFrame:
-    """Records of the listed archives, validated: page_id, url, payload_bytes, payload_digest, record_type, refers_to, html (null for revisits)."""
-    return listing.repartition("path").mapInArrow(_reader(folder), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string")
+    """Records of the listed archives, validated: page_id, url, payload_bytes, payload_digest, record_type, refers_to, html (null for revisits).
+
+    One task reads the archives of one partition of the listing; :func:`write_archives` has one for each writing task. The listing is
+    not shuffled: it is so small that adaptive execution would put all of it in one task.
+    """
+    return listing.mapInArrow(_reader(folder), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string")
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", folder: str | None = None) -> DataFrame:
