@@ -45,3 +45,14 @@ def char_ngrams(text: Column, n: int) -> Column:
 def title_parts(path: Column) -> Column:
     """Parts of a title path that is joined by ' > '."""
     return F.filter(F.transform(F.split(path, ">"), F.trim), lambda x: x != "")
+
+
+#: Marks of Markdown and what stands for them, in this order.
+MARKS = (("(?m)^#{1,6}[ \\t]+", ""), ("(?m)^>[ \\t]?", ""), ("!\\[([^\\]]*)\\]\\([^)]*\\)", "{1}"), ("\\[([^\\]]*)\\]\\([^)]*\\)", "{1}"), ("[*]{2}([^*\n]+)[*]{2}", "{1}"), ("`([^`\n]*)`", "{1}"))
+
+
+def without_markdown(text: Column) -> Column:
+    """Text without the marks of headings, quotes, images, links, bold and code."""
+    for pattern, put in MARKS:
+        text = F.regexp_replace(text, pattern, put.replace("{1}", "$1"))
+    return text

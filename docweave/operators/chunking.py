@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from ..functions.text import sentences
 
@@ -70,3 +74,46 @@ def headings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         out = out.withColumn(f"t{k}", F.last(F.when(F.col("level").between(1, k), F.struct("level", "title")), True).over(order))
     path = F.filter(F.array(*[F.when((F.col(f"t{k}.level") == k) & (F.col("level") > k), F.col(f"t{k}.title")) for k in range(1, 7)]), lambda x: x.isNotNull())
     return out.select(id_col, "section", "level", "title", path.alias("ancestors"), "text")
+
+
+#: From coarse to fine: paragraphs, lines, sentences, words (fixed values of the splitter's default).
+SEPARATORS = ("\n\n", "\n", ". ", " ", "")
+
+
+def pack_spans(text: str, separators: tuple[str, ...], size: int) -> list[str]:
+    """Runs of neighbouring pieces of at most ``size`` characters; a longer piece is cut at the next finer separator.
+
+    A run of pieces is a span of the text, so packing moves two ends and copies nothing. Without a separator
+    left, or at the empty one, the text is cut every ``size`` characters.
+    """
+    if len(text) <= size:
+        return [text] if text else []
+    at = next((i for i, s in enumerate(separators) if not s or s in text), None)
+    if at is None or not separators[at]:
+        return [text[i : i + size] for i in range(0, len(text), size)]
+    mark, finer = separators[at], separators[at + 1 :]
+    out, begin, end, start = [], 0, 0, 0
+    while start <= len(text):
+        stop = text.find(mark, start)
+        stop = len(text) if stop < 0 else stop
+        if begin < end and stop - begin <= size:
+            end = stop
+        else:
+            out += pack_spans(text[begin:end], finer, size)
+            begin, end = start, stop
+        start = stop + len(mark)
+    return out + pack_spans(text[begin:end], finer, size)
+
+
+def recursive(docs: DataFrame, size: int = 600, separators: tuple[str, ...] = SEPARATORS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Doc id, chunk_index, text of :func:`pack_spans`. Null and empty texts give no chunk; repeated rows repeat theirs."""
+    if size < 1:
+        raise ValueError("size must be 1 or more")
+
+    @pandas_udf("array<string>")
+    def cut(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            yield pd.Series([pack_spans(t or "", separators, size) for t in texts])
+
+    out = docs.select(F.col(id_col), F.posexplode(cut(F.col(text_col))).alias("chunk_index", "text"))
+    return out.withColumn("chunk_index", F.col("chunk_index").cast("long"))

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import IntegerType
 
 from ..functions.text import char_ngrams, collapse, jaccard, lexical_tokens
 
@@ -94,3 +100,38 @@ def split_of(key: Column, shares: tuple[float, float] = (0.8, 0.1), seed: str =
     """train, dev or test by a hash of the key: stable under growth and order."""
     h = F.conv(F.substring(F.sha1(F.concat(F.lit(seed), key.cast("string")).cast("binary")), 1, 6), 16, 10).cast("double") / (1 << 24)
     return F.when(h < shares[0], "train").when(h < shares[0] + shares[1], "dev").otherwise("test")
+
+
+def common_subsequence(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence, by bits: one addition of a number of len(a) bits for each word of b."""
+    places: dict[str, int] = defaultdict(int)
+    for i, w in enumerate(a):
+        places[w] |= 1 << i
+    row = full = (1 << len(a)) - 1
+    for w in b:
+        hit = row & places.get(w, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
+
+
+@pandas_udf(IntegerType())
+def _common(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for a, b in pairs:
+        yield pd.Series([common_subsequence(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="int32")
+
+
+def rouge_l(rows: DataFrame, answer: str, reference: str) -> DataFrame:
+    """``rows`` with ``rouge_l``: F1 of the longest common subsequence of lower-cased words; two empty texts agree, null is empty."""
+    tokens = lambda c: F.filter(F.split(collapse(F.lower(F.coalesce(F.col(c), F.lit("")))), " "), lambda x: x != "")
+    rows = rows.withColumns({"__a": tokens(answer), "__r": tokens(reference)})
+    rows = rows.withColumn("__l", _common("__a", "__r"))
+    both = F.size("__a") + F.size("__r")
+    return rows.withColumn("rouge_l", F.when(both == 0, 1.0).otherwise(F.round(2 * F.col("__l") / both, 6))).drop("__a", "__r", "__l")
+
+
+def lexical_anchor(unit: Column, answer: Column) -> Column:
+    """1 where the unit contains the answer, else the share of the answer's character bigrams, repeats counted, that the unit has; 0 for empty or null texts."""
+    u, a = F.regexp_replace(F.lower(unit), "[^a-z0-9]", ""), F.regexp_replace(F.lower(answer), "[^a-z0-9]", "")
+    grams = F.when(F.length(a) >= 2, F.transform(F.sequence(F.lit(1), F.length(a) - 1), lambda i: F.substring(a, i, F.lit(2))))
+    share = F.round(F.size(F.filter(grams, lambda g: F.contains(u, g))) / F.size(grams), 6)
+    return F.when((F.coalesce(F.length(u), F.lit(0)) == 0) | (F.coalesce(F.length(a), F.lit(0)) == 0), 0.0).when(F.contains(u, a), 1.0).when(grams.isNull(), 0.0).otherwise(share)

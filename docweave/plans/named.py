@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, records, retrieval, scoring
+from ..operators import chunking, grounding, language_model, planning, records, retrieval, scoring
 from ..sources.readers import links, row_ranges, table
 from ..streaming.status import live_until, windowed_counts
 
@@ -362,3 +362,104 @@ def tree_paths(spark, d):
     c = table(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n_customers"))
     rows = n.join(c, F.col("n_nationkey") == F.col("c_nationkey"), "left")
     return rows.select("n_name", "r_name", F.concat_ws("/", F.lit("root"), "r_name", "n_name").alias("path"), F.coalesce("n_customers", F.lit(0)).alias("n_customers"))
+
+
+# ---- units, models and grounding
+
+_QUAL = ORACLE_SQL["chunk_quality"]
+_UNITS = f"""c AS ({_FIXED.format(n=600)}), k AS (SELECT c.doc_id, c.chunk_index, c.chunk_index // 4 AS parent, text, status, length(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ')) AS n
+      FROM c JOIN q ON c.doc_id = q.doc_id AND c.chunk_index = q.chunk_index WHERE status <> 'drop'),
+    g AS (SELECT doc_id, parent, min(chunk_index) AS anchor, count(*) AS n_chunks, count_if(status = 'usable') AS n_usable FROM k WHERE n > 0 GROUP BY ALL HAVING count(*) >= 2 AND count_if(status = 'usable') >= 2 AND sum(n) <= 6000),
+    u AS (SELECT doc_id, 'section' AS unit_type, anchor, n_chunks, CAST(n_usable AS BIGINT) AS n_usable, CAST(least(3, n_usable) AS BIGINT) AS potential FROM g
+      UNION ALL SELECT k.doc_id, 'leaf', chunk_index, 1, 1, 1 FROM k ANTI JOIN g ON k.doc_id = g.doc_id AND k.parent = g.parent WHERE status = 'usable' AND n > 0)"""
+
+
+def _units(spark, d) -> DataFrame:
+    chunks = scoring.chunk_quality(scoring.adjacent_similarity(chunking.fixed(table(spark, d, "documents"), 600)))
+    return planning.plan_units(chunks.withColumn("parent", F.floor(F.col("chunk_index") / 4)))
+
+
+@named(f"WITH q AS ({_QUAL}), {_UNITS} SELECT doc_id, unit_type, anchor, n_chunks, n_usable, potential FROM u")
+def unit_plan_counts(spark, d):
+    return _units(spark, d)
+
+
+@named(f"""WITH q AS ({_QUAL}), {_UNITS},
+    p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY anchor, unit_type) AS place FROM u) WHERE place <= 5),
+    l AS (SELECT doc_id, 5 - count(*) AS spare FROM p GROUP BY doc_id),
+    a AS (SELECT doc_id, place, row_number() OVER (PARTITION BY doc_id ORDER BY turn, unit_type = 'leaf', anchor, place) AS k FROM (SELECT *, unnest(range(1, potential)) AS turn FROM p)),
+    m AS (SELECT a.doc_id, place, count(*) AS more FROM a JOIN l ON a.doc_id = l.doc_id WHERE k <= spare GROUP BY ALL)
+    SELECT p.doc_id, unit_type, anchor, 1 + coalesce(more, 0) AS budget FROM p LEFT JOIN m ON p.doc_id = m.doc_id AND p.place = m.place""")
+def unit_budget(spark, d):
+    return planning.allocate_budget(_units(spark, d), 5).select("doc_id", "unit_type", "anchor", "budget")
+
+
+@named("""WITH g AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1), q AS (SELECT event_type, n * 1000 // sum(n) OVER () AS base, n * 1000 % sum(n) OVER () AS r FROM g),
+    k AS (SELECT *, 1000 - sum(base) OVER () AS spare, row_number() OVER (ORDER BY r DESC, event_type) AS k FROM q)
+    SELECT event_type, CAST(base + CAST(k <= spare AS INT) AS BIGINT) AS quota FROM k""")
+def largest_remainder_plan(spark, d):
+    return planning.largest_remainder(table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n")), "event_type", "n", 1000)
+
+
+@named(f"""WITH t AS (SELECT doc_id, {_TOK} AS w FROM documents), g AS (SELECT doc_id, w[i] AS a, w[i + 1] AS b, count(*) AS tf FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM t) GROUP BY ALL),
+    c AS (SELECT a, b, sum(tf) AS c FROM g GROUP BY ALL), p AS (SELECT a, count(*) AS cp FROM (SELECT unnest(w) AS a FROM t) GROUP BY a), v AS (SELECT count(*) AS v FROM p),
+    m AS (SELECT c.a, b, log2((c + 1) / (cp + v)) AS lp FROM c JOIN p ON c.a = p.a, v),
+    s AS (SELECT doc_id, round(sum(tf * lp) / sum(tf), 6) AS score FROM g JOIN m ON g.a = m.a AND g.b = m.b GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(score, 0.0) AS score FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN s ON d.doc_id = s.doc_id""")
+def ngram_lm_score(spark, d):
+    return language_model.ngram_scores(table(spark, d, "documents"), 2)
+
+
+@named(f"""WITH p AS (SELECT conv_id, turn, regexp_replace(lower(question), '[^a-z0-9]', '', 'g') AS u, regexp_replace(lower(answer), '[^a-z0-9]', '', 'g') AS a FROM ({_PAIRS})),
+    g AS (SELECT *, list_transform(range(1, length(a)), lambda i: substr(a, i, 2)) AS g FROM p)
+    SELECT conv_id, turn, CASE WHEN coalesce(length(u), 0) = 0 OR coalesce(length(a), 0) = 0 THEN 0.0 WHEN contains(u, a) THEN 1.0 WHEN len(g) = 0 THEN 0.0
+      ELSE round(len(list_filter(g, lambda x: contains(u, x))) / len(g), 6) END AS anchor FROM g""")
+def lexical_anchor(spark, d):
+    return _pairs(spark, d).select("conv_id", "turn", scoring.lexical_anchor(F.col("question"), F.col("answer")).alias("anchor"))
+
+
+@named(f"SELECT {_NORM.format(c='question')} AS question_key, min(conv_id) AS first_conv, count(*) AS n FROM ({_PAIRS}) GROUP BY 1")
+def qa_dedup_normalised(spark, d):
+    return _pairs(spark, d).groupBy(scoring.normalised(F.col("question")).alias("question_key")).agg(F.min("conv_id").alias("first_conv"), F.count("*").alias("n"))
+
+
+@named("SELECT event_id, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type = 'error' AND CAST(json_extract_string(props, '$.k') AS BIGINT) >= 50")
+def event_log_filter(spark, d):
+    rows = table(spark, d, "events").where("event_type = 'error'").select("event_id", "user_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    return rows.where("k >= 50")
+
+
+def _marks(column: str) -> str:
+    for pattern, put in T.MARKS:
+        shown = put.replace("{1}", "\\1")
+        column = f"regexp_replace({column}, '{pattern}', '{shown}', 'g')"
+    return column
+
+
+@named(f"SELECT doc_id, {_marks('text')} AS plain FROM documents")
+def markdown_strip(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.without_markdown(F.col("text")).alias("plain"))
+
+
+# ---- beyond SQL: tested against brute force
+
+
+def unchecked(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+@unchecked
+def rouge_l(spark, d):
+    return scoring.rouge_l(_pairs(spark, d), "answer", "question").select("conv_id", "turn", "rouge_l")
+
+
+@unchecked
+def doc_recursive_split(spark, d):
+    return chunking.recursive(table(spark, d, "documents"), 600)
+
+
+@unchecked
+def grounding_of_answers(spark, d):
+    pairs = _pairs(spark, d).withColumn("pair", F.struct("conv_id", "turn"))
+    return grounding.grounding_scores(pairs, "pair", "answer", "question").select("pair.conv_id", "pair.turn", "score", "matched")

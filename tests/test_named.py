@@ -22,7 +22,7 @@ def plain(x):
 
 
 @pytest.mark.skipif(not Path(DATA).exists(), reason="no test data")
-@pytest.mark.parametrize("name", sorted(named.QUERIES))
+@pytest.mark.parametrize("name", sorted(named.ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for p in Path(DATA).glob("*.parquet"):
