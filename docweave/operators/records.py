@@ -52,11 +52,27 @@ def stats(rows: DataFrame, value: str, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.round(F.avg(value), 6).alias("mean"), F.round(F.percentile(value, F.lit(0.5)), 6).alias("p50"), F.max(value).alias("largest"), F.count("*").alias("n"))
 
 
-def attribute_wall(intervals: DataFrame, key: str, start: str, stop: str, stage: str) -> DataFrame:
-    """Seconds of each key that each stage is charged with: slices between boundaries, shared by the stages active in them."""
-    rows = intervals.where(F.col(start) < F.col(stop))
-    cuts = rows.select(key, F.explode(F.array(start, stop)).alias("at")).distinct()
-    slices = cuts.withColumn("next", F.lead("at").over(Window.partitionBy(key).orderBy("at"))).where("next is not null")
-    active = slices.join(rows, key).where((F.col(start) <= F.col("at")) & (F.col(stop) >= F.col("next"))).select(key, "at", "next", stage).distinct()
-    shared = active.withColumn("n", F.count("*").over(Window.partitionBy(key, "at")))
-    return shared.groupBy(key, stage).agg(F.round(F.sum((F.col("next") - F.col("at")) / F.col("n")), 6).alias("seconds"))
+def attribute_wall(intervals: DataFrame, key: str, start: str, stop: str, stage: str, width: int = 3600) -> DataFrame:
+    """Seconds of each key that each stage is charged with: slices between boundaries, shared by the stages active in them.
+
+    Starts and stops are +1 and -1 of running sums; no slice meets an interval. Intervals are cut at the borders
+    of windows of ``width`` seconds, which changes no share, so that a key with many rows is many groups.
+    """
+    rows = intervals.where(F.col(key).isNotNull() & (F.col(start) < F.col(stop))).select(F.col(key).alias("k"), F.col(stage).alias("s"), F.col(start).alias("a"), F.col(stop).alias("b"))
+    window = lambda c: F.floor(c / width)
+    parts = rows.withColumn("w", F.explode(F.sequence(window(F.col("a")), F.greatest(window(F.col("a")), F.ceil(F.col("b") / width) - 1))))
+    parts = parts.select("k", "s", "w", F.greatest(F.col("a"), F.col("w") * width).alias("a"), F.least(F.col("b"), (F.col("w") + 1) * width).alias("b"))
+    ends = parts.select("k", "s", "w", F.explode(F.array(F.struct(F.col("a").alias("at"), F.lit(1).alias("d")), F.struct(F.col("b").alias("at"), F.lit(-1).alias("d")))).alias("x"))
+    ends = ends.groupBy("k", "s", "w", "x.at").agg(F.sum("x.d").alias("d"))
+    # the spells in which a stage has any interval: they begin and end where its running sum leaves and meets zero
+    ends = ends.withColumn("n", F.sum("d").over(Window.partitionBy("k", "s", "w").orderBy("at")))
+    turns = ends.withColumn("turn", F.when(F.col("n") == F.col("d"), F.signum("n")).when(F.col("n") == 0, -1.0).cast("int")).where("turn <> 0")
+    # charge: seconds over number of active stages, summed up to a boundary; a spell costs the difference of its ends
+    order = Window.partitionBy("k", "w").orderBy("at")
+    cuts = turns.groupBy("k", "w", "at").agg(F.sum("turn").alias("turn"), F.collect_list(F.struct("s", "turn")).alias("stages"))
+    cuts = cuts.withColumns({"n": F.sum("turn").over(order), "next": F.lead("at").over(order)})
+    cuts = cuts.withColumn("share", F.when(F.col("n") > 0, (F.col("next") - F.col("at")) / F.col("n")).cast("decimal(38,18)"))
+    cuts = cuts.withColumn("charge", F.coalesce(F.sum("share").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("decimal(38,18)"))
+    spent = cuts.select("k", "charge", F.explode("stages").alias("x"))
+    spent = spent.groupBy("k", "x.s").agg(F.sum(F.when(F.col("x.turn") < 0, F.col("charge")).otherwise(-F.col("charge"))).alias("seconds"))
+    return spent.select(F.col("k").alias(key), F.col("s").alias(stage), F.round(F.col("seconds").cast("double"), 6).alias("seconds"))

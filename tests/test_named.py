@@ -1,6 +1,7 @@
 """Every named query against its SQL on the small tables, and small cases of the operators."""
 
 import datetime
+import random
 from pathlib import Path
 
 import duckdb
@@ -68,6 +69,40 @@ def test_wall_attribution(spark):
     assert {r["s"]: r["seconds"] for r in records.attribute_wall(rows, "k", "x", "y", "s").collect()} == {"a": 7.5, "b": 2.5}
 
 
+def slow_wall(rows):
+    out = {}
+    for k in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == k and r[2] < r[3]]
+        cuts = sorted({x for r in mine for x in r[2:]})
+        for x, y in zip(cuts, cuts[1:]):
+            active = {r[1] for r in mine if r[2] <= x and r[3] >= y}
+            for s in active:
+                out[k, s] = out.get((k, s), 0) + (y - x) / len(active)
+    return out
+
+
+def test_wall_attribution_of_many(spark):
+    rng = random.Random(7)
+    rows = [(rng.randrange(3), rng.choice(["a", "b", "c", None]), x := rng.randrange(-500, 5000), x + rng.choice([0, 1, 40, 300, 2500])) for _ in range(400)]
+    df = spark.createDataFrame([*rows, (None, "a", 0, 9), (1, "a", None, 9)], "k long, s string, x long, y long")
+    for width in (100, 3600):
+        got = {(r["k"], r["s"]): r["seconds"] for r in records.attribute_wall(df, "k", "x", "y", "s", width).collect()}
+        assert got == pytest.approx(slow_wall(rows), abs=1e-5)
+
+
+def test_wall_attribution_meets_no_interval_with_slices(spark):
+    rows = spark.range(10).selectExpr("1L k", "'a' s", "id x", "id + 5 y")
+    plan = records.attribute_wall(rows, "k", "x", "y", "s")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="no test data")
+def test_wall_attribution_reads_all_events(spark):
+    events = readers.table(spark, DATA, "events")
+    got = named.QUERIES["wall_interval_attribution_all"](spark, DATA).select("user_id", "stage").distinct().count()
+    assert got == events.select("user_id", "event_type").distinct().count()
+
+
 def test_scores_and_language(spark):
     rows = spark.createDataFrame([("A b", "a  B"), ("", ""), ("x x y", "x z"), (None, "a")], "a string, r string")
     got = [(r["exact"], r["f1"], r["bleu"]) for r in scoring.answer_scores(rows, "a", "r").collect()]
