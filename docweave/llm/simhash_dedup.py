@@ -186,25 +186,43 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).select("id", fingerprint_column(F.col("t"), shingle_words, seed).alias("fp"))
 
 
+def _classes(prints: DataFrame, best: Column, k: int) -> DataFrame:
+    """``fp``, its ``component`` (a fingerprint) and the least ``best`` of the component's rows; nulls in ``best`` don't count.
+
+    A fingerprint is a node of its own, so rows without an id link like any other.
+    """
+    nodes = checkpoint(prints.groupBy("fp").agg(F.min(best).alias("rep")))
+    found = connected_components(similar_pairs(nodes.select(F.col("fp").alias("node"), "fp"), k)).select(F.col("node").alias("fp"), "component")
+    linked = nodes.join(found, "fp")
+    least = linked.groupBy("component").agg(F.min("rep").alias("least"))
+    grouped = linked.select("fp", "component").join(least, "component").select("fp", "component", "least")
+    alone = nodes.join(found, "fp", "left_anti").select("fp", F.col("fp").alias("component"), F.col("rep").alias("least"))
+    return grouped.unionByName(alone)
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 2, shingle_words: int = 3, seed: int = 42) -> DataFrame:
     """``id_col``, ``fingerprint`` (16 hex digits), ``component_id`` of every row.
 
+    The component is the smallest id of all rows linked to the row; null where none of them has an id.
     Null or wordless texts have fingerprint zero and link like any other. Rows with a null id have
-    a fingerprint and the component of that fingerprint's smallest id. Equal fingerprints collapse
+    a fingerprint and a component like any other. Equal fingerprints collapse
     before the search, so any number of exact copies costs one row. Repeated ids return repeated
     rows. An empty table returns no row. Other columns are ignored.
     """
     prints = checkpoint(fingerprints(df, id_col, text_col, shingle_words, seed))
-    reps = prints.groupBy("fp").agg(F.min("id").alias("rep"))
-    nodes = checkpoint(reps.select("fp", "rep", F.coalesce("rep", F.lit(-(2**63)).cast("long")).alias("node")))
-    found = connected_components(similar_pairs(nodes.select("node", "fp"), k))
-    classes = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    classes = _classes(prints, F.col("id"), k).select("fp", F.col("least").alias("component_id"))
     out = prints.join(classes, "fp", "left")
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 2, shingle_words: int = 3) -> DataFrame:
-    """The rows of ``df``, with all its columns, whose id is the smallest of its group."""
-    kept = near_duplicates(df, id_col, text_col, k, shingle_words).where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col(id_col).alias("__kept")).distinct()
-    return df.join(kept, df[id_col].eqNullSafe(kept["__kept"]), "left_semi")
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 2, shingle_words: int = 3, seed: int = 42) -> DataFrame:
+    """One row of each group of near copies, with all columns of ``df``: that with the smallest id, null ids last, then by a digest of the row.
+
+    Rows that are equal in all columns are one row.
+    """
+    small_batches(df.sparkSession)
+    keyed = df.withColumn("__row", F.unhex(F.sha2(F.to_json(F.struct(*[df[c] for c in df.columns])), 256)))
+    prints = checkpoint(keyed.select(F.col(id_col).alias("id"), "__row", fingerprint_column(F.col(text_col), shingle_words, seed).alias("fp")))
+    kept = _classes(prints, F.struct(F.col("id").isNull(), "id", "__row"), k).select("component", "least").distinct().select("least.__row")
+    # equal rows collapse before they are dealt, and the join needs no other shuffle
+    return keyed.dropDuplicates(["__row"]).join(kept, "__row", "left_semi").drop("__row")

@@ -232,6 +232,38 @@ def test_simhash_odd(spark):
     assert simhash_dedup.near_duplicates(odd_docs(spark).limit(0)).count() == 0
 
 
+def near_texts(n=2000):
+    """Two texts whose fingerprints differ in one or two bits."""
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    a = " ".join(words)
+    for i in range(n):
+        b = " ".join([*words[:i], "other", *words[i + 1 :]])
+        if 0 < (brute_simhash(a) ^ brute_simhash(b)).bit_count() <= 2:
+            return a, b
+    raise AssertionError("no near text")
+
+
+def test_simhash_null_ids(spark):
+    a, b = near_texts()
+    rows = [(None, a), (7, b), (9, b), (None, "one text of no other"), (None, "quite something else here"), (None, "quite something else here"), (4, "a row with an id"), (4, "a row with an id"), (5, "a row with an id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = simhash_dedup.near_duplicates(df).collect()
+    assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in got) == sorted([("None", "7"), ("7", "7"), ("9", "7"), ("None", "None"), ("None", "None"), ("None", "None"), ("4", "4"), ("4", "4"), ("5", "4")])
+    kept = [(r["doc_id"], r["text"]) for r in simhash_dedup.keep_one(df).collect()]
+    want = [(7, b), (None, "one text of no other"), (None, "quite something else here"), (4, "a row with an id")]
+    assert sorted(kept, key=str) == sorted(want, key=str)
+    assert simhash_dedup.keep_one(df.where("false")).count() == 0
+
+
+def test_simhash_keeps_one_of_equal_ids(spark):
+    rows = [(3, "the same text here", "b"), (3, "The same text HERE", "a"), (None, "the same text here", "c"), (None, "alone without id", "x"), (None, "Alone without id", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    first = [tuple(r) for r in simhash_dedup.keep_one(df).collect()]
+    again = [tuple(r) for r in simhash_dedup.keep_one(df.repartition(3, "source")).collect()]
+    assert sorted(first, key=str) == sorted(again, key=str) and sorted(str(r[0]) for r in first) == ["3", "None"]
+
+
 @pytest.mark.parametrize("group_size", [8, 1024])
 def test_similar_pairs_exact(spark, group_size):
     rng = random.Random(4)
