@@ -136,6 +136,40 @@ def vector_topk_filtered(spark, d):
     return retrieval.top_k(retrieval.vector_scores(v, [0.125 if i % 2 == 0 else -0.125 for i in range(64)]).select("vec_id", "score"), 10, tie="vec_id")
 
 
+# every row whose id is divisible by 50 is a query, against all rows
+
+
+_BEST = "SELECT * FROM (SELECT query_id, {i}, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {i}) AS rank FROM s) WHERE rank <= {k}"
+
+
+@named(f"""WITH c AS ({_FIXED.format(n=600)}), k AS (SELECT doc_id * 100000 + chunk_index AS chunk_id, text FROM c),
+    t AS (SELECT chunk_id, unnest(list_distinct({_TOK})) AS token FROM k), n AS (SELECT count(*) AS n FROM k),
+    w AS (SELECT token, ln((any_value(n) + 1) / (count(*) + 0.5)) + 1 AS idf FROM t, n GROUP BY token),
+    q AS (SELECT chunk_id AS query_id, token, idf FROM t JOIN w USING (token) WHERE chunk_id % 50 = 0), z AS (SELECT query_id, sum(idf) AS total FROM q GROUP BY 1),
+    s AS (SELECT query_id, chunk_id, round(sum(idf) / any_value(total), 6) AS score FROM t JOIN q USING (token) JOIN z USING (query_id) GROUP BY ALL)
+    {_BEST.format(i="chunk_id", k=3)}""")
+def lexical_top_chunks_all(spark, d):
+    chunks = chunking.fixed(table(spark, d, "documents"), 600).select((F.col("doc_id") * 100000 + F.col("chunk_index")).alias("chunk_id"), "text")
+    return retrieval.lexical_top_each(chunks, chunks.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("text").alias("query")), 3, "chunk_id")
+
+
+@named(f"""WITH t AS (SELECT doc_id, {_TOK} AS tokens FROM documents), g AS (SELECT count(*) AS n, avg(len(tokens)) AS m FROM t),
+    tf AS (SELECT doc_id, token, any_value(size) AS size, count(*) AS tf FROM (SELECT doc_id, len(tokens) AS size, unnest(tokens) AS token FROM t) GROUP BY ALL),
+    df AS (SELECT token, count(*) AS df FROM tf GROUP BY token), q AS (SELECT doc_id AS query_id, token FROM tf WHERE doc_id % 50 = 0),
+    s AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * size / m))), 6) AS score FROM q JOIN tf USING (token) JOIN df USING (token), g GROUP BY ALL)
+    {_BEST.format(i="doc_id", k=10)}""")
+def bm25_scores_all(spark, d):
+    docs = table(spark, d, "documents")
+    return retrieval.bm25_top_each(docs, docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query")), 10)
+
+
+@named(f"""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0)
+    {_BEST.format(i="vec_id", k=10)}""")
+def vector_topk_all(spark, d):
+    v = table(spark, d, "embeddings")
+    return retrieval.vector_top_each(v, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 10)
+
+
 @named("""WITH e AS (SELECT label, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
     m AS (SELECT label, i, avg(x) AS x FROM e GROUP BY ALL),
     p AS (SELECT a.label, b.label AS other, sum(a.x * b.x) / (sqrt(sum(a.x * a.x)) * sqrt(sum(b.x * b.x))) AS c FROM m a JOIN m b ON a.i = b.i AND a.label <> b.label GROUP BY ALL)

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 from docweave.functions import text as T
-from docweave.operators import chunking, records, scoring
+from docweave.operators import chunking, records, retrieval, scoring
 from docweave.plans import named
 from docweave.sources import readers
 from pyspark.sql import functions as F
@@ -69,6 +69,19 @@ def test_wall_attribution(spark):
     assert {r["s"]: r["seconds"] for r in records.attribute_wall(rows, "k", "x", "y", "s").collect()} == {"a": 7.5, "b": 2.5}
 
 
+def test_searches_take_many_queries(spark):
+    docs = spark.createDataFrame([(1, "red fox runs"), (2, "red red dog"), (3, "blue dog"), (4, None)], "doc_id long, text string")
+    queries = spark.createDataFrame([(10, "red fox"), (11, "Dog zebra dog"), (12, None)], "query_id long, query string")
+    for each, one in ((retrieval.lexical_top_each, retrieval.lexical_scores), (retrieval.bm25_top_each, retrieval.bm25)):
+        got = {(r["query_id"], r["doc_id"], r["score"]) for r in each(docs, queries, 5).collect()}
+        assert got == {(q, r["doc_id"], r["score"]) for q, text in ((10, "red fox"), (11, "Dog zebra dog")) for r in one(docs, text).collect()}
+    vectors = spark.createDataFrame([(i, [float(i % 7), float(i % 5)]) for i in range(40)], "vec_id long, embedding array<float>")
+    queries = vectors.where("vec_id % 9 = 0").selectExpr("vec_id query_id", "embedding query")
+    got = {(r["query_id"], r["vec_id"]) for r in retrieval.vector_top_each(vectors, queries, 3, block=4).collect()}
+    dot = lambda a, b: (a % 7) * (b % 7) + (a % 5) * (b % 5)
+    assert got == {(q, i) for q in range(0, 40, 9) for i in sorted(range(40), key=lambda i: (-dot(q, i), i))[:3]}
+
+
 def slow_wall(rows):
     out = {}
     for k in {r[0] for r in rows}:
