@@ -19,18 +19,19 @@ import hashlib
 import json
 import unicodedata
 from array import array
-from collections.abc import Iterator
 
-import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
-from .common import small_batches
+from .common import arrow_column
 
-#: Distinct words kept in a worker's table of encoded words; a full table starts anew.
+#: Distinct words kept in a worker's table of encoded words, and arcs and states in its tables; a full table starts anew.
 CACHE_WORDS = 300_000
+CACHE_ARCS = 1_000_000
+CACHE_STATES = 60_000
+#: Bits of a label in the number of an arc.
+LABEL_BITS = 20
 _CONTROLS = regex.compile("[\x1c-\x1f]")
 
 
@@ -45,6 +46,8 @@ class Automaton:
     """Compiled merges; states are numbers, 0 is the start."""
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
+        if max(vocab.values(), default=0) >> LABEL_BITS:
+            raise ValueError(f"a label has more than {LABEL_BITS} bits")
         self.parent = [0]
         self.lost = [(-1, 0)]
         self.spine: dict[int, tuple[tuple[int, int], ...]] = {i: ((i, 1 << 60),) for i in vocab.values()}
@@ -69,6 +72,8 @@ class Automaton:
             label, time = self.lost[s]
             table[label] = min(time, table.get(label, time))
             s = self.parent[s]
+        if len(self._tables) >= CACHE_STATES:
+            self._tables.clear()
         self._tables[state] = table
         return table
 
@@ -77,7 +82,9 @@ class Automaton:
         table = self._tables.get(state)
         if table is None:
             table = self._table(state)
-        there = self.arcs[state << 20 | label] = not any(table.get(x, 1 << 61) <= t for x, t in self.spine[label])
+        if len(self.arcs) >= CACHE_ARCS:
+            self.arcs.clear()
+        there = self.arcs[state << LABEL_BITS | label] = not any(table.get(x, 1 << 61) <= t for x, t in self.spine[label])
         return there
 
 
@@ -110,7 +117,7 @@ class WordTokenizer:
     def path_of(self, word: str) -> list[int]:
         """Labels of the one accepted path over a word in the byte alphabet."""
         n, inner, target, arcs, arc = len(word), self.inner, self.automaton.target, self.automaton.arcs, self.automaton.arc
-        state, back = [-1] * (n + 1), [(0, 0)] * (n + 1)
+        bits, state, back = LABEL_BITS, [-1] * (n + 1), [(0, 0)] * (n + 1)
         state[0] = 0
         for i in range(n):
             if (s := state[i]) < 0:
@@ -120,11 +127,11 @@ class WordTokenizer:
                 if label is None:
                     break
                 if label >= 0 and state[j] < 0:
-                    there = arcs.get(s << 20 | label)
+                    there = arcs.get(s << bits | label)
                     if arc(s, label) if there is None else there:
                         state[j], back[j] = target[label], (i, label)
             if state[n] < 0 and n - i <= self.longest and (label := self.final.get(word[i:])) is not None:
-                there = arcs.get(s << 20 | label)
+                there = arcs.get(s << bits | label)
                 if arc(s, label) if there is None else there:
                     state[n], back[n] = 0, (i, label)
         out, j = [], n
@@ -188,51 +195,44 @@ def tokenizer(path: str) -> WordTokenizer:
 def digests(text: Column, path: str) -> Column:
     """Struct n_tokens, ids_sha256, decoded_sha256 of the whole text."""
 
-    @pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def of(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        t = tokenizer(path)
-        sha = hashlib.sha256
-        for texts in parts:
-            rows = []
-            for text in texts:
-                ids = t.encode(text)
-                rows.append((len(ids) // 4, sha(ids).hexdigest(), sha(t.decode(ids).encode()).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+    def start():
+        t, sha = tokenizer(path), hashlib.sha256
+
+        def one(text: str | None) -> dict:
+            ids = t.encode(text)
+            return {"n_tokens": len(ids) // 4, "ids_sha256": sha(ids).hexdigest(), "decoded_sha256": sha(t.decode(ids).encode()).hexdigest()}
 
-    return of.asNondeterministic()(text)
+        return lambda texts: list(map(one, texts))
+
+    return arrow_column("n_tokens long, ids_sha256 string, decoded_sha256 string", start, text)
 
 
 def encode_column(text: Column, path: str) -> Column:
     """Array of token ids of the whole text (empty for null)."""
 
-    @pandas_udf("array<int>")
-    def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def start():
         t = tokenizer(path)
-        for texts in parts:
-            yield pd.Series([list(array("I", t.encode(x))) for x in texts])
+        return lambda texts: [list(array("I", t.encode(x))) for x in texts]
 
-    return of.asNondeterministic()(text)
+    return arrow_column("array<int>", start, text)
 
 
 def decode_column(ids: Column, path: str) -> Column:
     """Text that an array of token ids decodes to (empty for null)."""
 
-    @pandas_udf("string")
-    def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        t = tokenizer(path)
-        for rows in parts:
-            yield pd.Series([" ".join([t.label[int(i)] for i in ([] if r is None else r)]) for r in rows])
+    def start():
+        label = tokenizer(path).label
+        return lambda rows: [" ".join([label[i] for i in r or []]) for r in rows]
 
-    return of.asNondeterministic()(ids)
+    return arrow_column("string", start, ids)
 
 
 def encode_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` of every row.
 
     Null counts as the empty text, which has no tokens. Any length is encoded whole. Repeated rows
-    return repeated rows, an empty table none. No shuffle. ``path`` is a tokenizer file that every
+    return repeated rows, an empty table none. Other columns are ignored. No shuffle. ``path`` is a tokenizer file that every
     executor can open.
     """
-    small_batches(df.sparkSession)
-    out = df.select(F.col(id_col), F.col(text_col).alias("__t")).withColumn("__d", digests(F.col("__t"), path))
-    return out.select(id_col, "__d.*")
+    out = df.select(F.col(id_col).alias("id"), digests(F.col(text_col), path).alias("digests"))
+    return out.select(F.col("id").alias(id_col), "digests.*")

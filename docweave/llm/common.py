@@ -1,38 +1,74 @@
-"""What the operators of this subpackage share: the shared folder, and connected components."""
+"""What the operators of this subpackage share: the shared folder, Arrow columns, free names, and connected components."""
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset (tests on one machine) a folder of our own is set.
+    Only where that is unset and the master is local (tests on one machine) a folder of our own is
+    set; a cluster without the setting is an error, since its executors would write where nobody reads.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not found:
         found = sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(found)
     return found
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Texts go to Python in batches of at most ``rows``, so that a worker's memory stays small.
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that nothing reads any more, wherever it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    Where the session has a smaller number of its own, that stays.
+
+def free_name(taken: list[str], wish: str) -> str:
+    """``wish``, with as many underscores as it takes to differ from every name of ``taken``."""
+    low = {c.lower() for c in taken}
+    while wish.lower() in low:
+        wish += "_"
+    return wish
+
+
+def arrow_column(returns: str, start: Callable[[], Callable[..., list]], *cols: Column, rows: int = 256) -> Column:
+    """Column of what ``work(*lists)`` returns for the lists of values of some rows; ``start()`` makes ``work`` in each worker.
+
+    Spark sends Arrow batches that its own settings bound in rows and bytes; of a batch only ``rows`` values at
+    a time become Python objects, so the session's settings stay as they are.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+    fields = StructType.fromDDL(returns if " " in returns else f"x {returns}")
+    kind = to_arrow_type(fields if " " in returns else fields[0].dataType)
+
+    def run(arrays: tuple[pa.Array, ...], work: Callable[..., list]) -> pa.Array:
+        parts = [pa.array(work(*(a.slice(at, rows).to_pylist() for a in arrays)), kind) for at in range(0, len(arrays[0]), rows)]
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+    def one(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        work = start()
+        for a in parts:
+            yield run((a,), work)
+
+    def many(parts: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        work = start()
+        for arrays in parts:
+            yield run(arrays, work)
+
+    return F.arrow_udf(one if len(cols) == 1 else many, returns).asNondeterministic()(*cols)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -44,7 +80,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable node of every node that has an edge.
 
-    ``edges`` has long columns ``u`` and ``v``; loops and nulls are dropped, repeats do no harm.
+    ``edges`` has columns ``u`` and ``v`` of one type that can be ordered (long, string, binary); loops
+    and nulls are dropped, repeats do no harm.
     Returns ``node``, ``component`` for nodes with at least one edge to another node (no row
     for an empty table). Alternating large-star and small-star rounds: each keeps
     reachability and ends in stars around the smallest node, in few rounds even for long chains.

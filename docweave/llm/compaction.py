@@ -10,13 +10,15 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import free_name, shared_dir
 
 
 class Conflict(RuntimeError):
@@ -86,29 +88,29 @@ class ShardTable:
         return int(self._fs.getContentSummary(self._path(path)).getLength()) if self._fs.exists(self._path(path)) else 0
 
     def append(self, df: DataFrame, arrival: str, retries: int = 5) -> list[Run]:
-        """Appends one run for each value of the column ``arrival``, written in one pass without a shuffle.
+        """Appends one run for each value of the column ``arrival``, written in one pass without a shuffle and committed as one version.
 
-        Each value is a run of its own and is committed as a version of its own, in order. A null
-        arrival is a run too. No rows: nothing is committed.
+        A null arrival is a run too. No rows: nothing is committed.
         """
         batch = uuid.uuid4().hex[:12]
         top = f"{self.folder}/data/{batch}"
-        df.withColumn("__arrival", F.col(arrival)).write.partitionBy("__arrival").parquet(top)
+        part = free_name(df.columns, "arrived")
+        value = F.sha2(F.col(arrival).cast("string"), 256)  # a folder name that needs no escapes
+        df.withColumn(part, F.coalesce(F.substring(value, 1, 24), F.lit("none"))).write.partitionBy(part).parquet(top)
         new = []
         for s in sorted(self._fs.listStatus(self._path(top)), key=lambda s: s.getPath().getName()):
             name = s.getPath().getName()
-            if s.isDirectory() and name.startswith("__arrival="):
+            if s.isDirectory() and name.startswith(f"{part}="):
                 size = self._size(f"{top}/{name}")
                 new.append(Run(f"{batch}-{name.partition('=')[2]}", f"{top}/{name}", size, self.tier(size)))
-        for run in new:
-            for left in range(retries, -1, -1):
-                base = max(self.versions(), default=0)
-                try:
-                    self.commit([*self.runs(base), run], base)
-                    break
-                except Conflict:
-                    if not left:
-                        raise
+        for left in range(retries if new else -1, -1, -1):
+            base = max(self.versions(), default=0)
+            try:
+                self.commit([*self.runs(base), *new], base)
+                break
+            except Conflict:
+                if not left:
+                    raise
         return new
 
     def _merge(self, runs: list[Run]) -> Run:
@@ -120,64 +122,82 @@ class ShardTable:
         size = self._size(path)
         return Run(name, path, size, max(self.tier(size), max(r.tier for r in runs) + 1))
 
-    def compact(self) -> int:
-        """Merges until no tier holds ``fanout`` runs; returns the number of merges. Old runs stay until :meth:`vacuum`."""
+    def compact(self, workers: int = 4) -> int:
+        """Merges until no tier holds ``fanout`` runs; returns the number of merges. Old runs stay until :meth:`vacuum`.
+
+        In a round all full tiers are merged, ``workers`` Spark jobs at a time, and one version is committed.
+        """
         merges = 0
         while True:
             base = max(self.versions(), default=0)
             runs = self.runs(base)
             tiers: dict[int, list[Run]] = {}
-            for r in runs:
+            for r in sorted(runs, key=lambda r: (r.tier, r.bytes, r.name)):
                 tiers.setdefault(r.tier, []).append(r)
-            full = [t for t in sorted(tiers) if len(tiers[t]) >= self.fanout]
-            if not full:
+            many = max(self.fanout, 2)
+            groups = [rs[i : i + many] for rs in tiers.values() for i in range(0, len(rs) - many + 1, many)]
+            if not groups:
                 return merges
-            taken = sorted(tiers[full[0]], key=lambda r: (r.bytes, r.name))[: max(self.fanout, 2)]
-            merged = self._merge(taken)
-            gone = {r.name for r in taken}
+            with ThreadPoolExecutor(workers) as pool:
+                merged = list(pool.map(self._merge, groups))
+            gone = {r.name for g in groups for r in g}
             try:
-                self.commit([*(r for r in runs if r.name not in gone), merged], base)
-                merges += 1
+                self.commit([*(r for r in runs if r.name not in gone), *merged], base)
+                merges += len(groups)
             except Conflict:
-                self._fs.delete(self._path(merged.path), True)
+                for r in merged:
+                    self._fs.delete(self._path(r.path), True)
 
-    def vacuum(self) -> int:
-        """Deletes runs that the latest version doesn't hold; for use when no reader holds an older one."""
+    def vacuum(self, min_age_seconds: float = 86_400) -> int:
+        """Deletes runs that the latest version doesn't hold and that were written ``min_age_seconds`` ago or earlier.
+
+        The age protects runs that another writer has written and not yet committed, and readers of older
+        versions: it must exceed the longest append, merge or read. Zero is for tables that nobody else uses.
+        """
         keep = {r.path.rsplit("/data/", 1)[1] for r in self.runs()}
-        dropped = 0
+        dropped, newest = 0, (time.time() - min_age_seconds) * 1000
         top = self._path(f"{self.folder}/data")
         if not self._fs.exists(top):
             return 0
         for s in self._fs.listStatus(top):
             name = s.getPath().getName()
-            inside = [f"{name}/{x.getPath().getName()}" for x in self._fs.listStatus(s.getPath()) if x.isDirectory()] or [name]
-            for path in inside:
-                if path not in keep:
+            inside = [(f"{name}/{x.getPath().getName()}", x) for x in self._fs.listStatus(s.getPath()) if x.isDirectory()] or [(name, s)]
+            for path, status in inside:
+                if path not in keep and status.getModificationTime() <= newest:
                     dropped += bool(self._fs.delete(self._path(f"{self.folder}/data/{path}"), True))
         return dropped
 
-    def read(self, schema, version: int | None = None) -> DataFrame:
-        """Rows of a version with ``__run`` and ``__tier``; no row for an empty table."""
+    def read(self, schema, version: int | None = None, run: str = "__run", tier: str = "__tier") -> DataFrame:
+        """Rows of a version with the name and tier of their run, in columns ``run`` and ``tier`` (names that ``schema`` must not have).
+
+        No row for an empty table. The manifest, a row for each run, is joined by the folder of a row's file.
+        """
+        if {run.lower(), tier.lower()} & {c.lower() for c in schema.names}:
+            raise ValueError(f"the table has a column {run} or {tier}; name others")
         runs = self.runs(version)
         if not runs:
-            return self.spark.createDataFrame([], schema).withColumns({"__run": F.lit(""), "__tier": F.lit(0)})
+            return self.spark.createDataFrame([], schema).withColumns({run: F.lit(""), tier: F.lit(0)})
+        folder = free_name([*schema.names, run, tier], "folder")
+        manifest = self.spark.createDataFrame([(r.path.rsplit("/data/", 1)[1], r.name, r.tier) for r in runs], f"`{folder}` string, `{run}` string, `{tier}` int")
         parts = self.spark.read.schema(schema).parquet(*[r.path for r in runs])
-        where = F.col("_metadata.file_path")
-        run, tier = F.lit(None).cast("string"), F.lit(None).cast("int")
-        for r in runs:
-            here = F.contains(where, F.lit("/data/" + r.path.rsplit("/data/", 1)[1] + "/"))
-            run, tier = F.when(here, r.name).otherwise(run), F.when(here, r.tier).otherwise(tier)
-        return parts.withColumns({"__run": run, "__tier": tier})
+        where = F.regexp_extract(F.col("_metadata.file_path"), "^.*/data/(.+)/[^/]+$", 1)
+        return parts.withColumn(folder, where).join(F.broadcast(manifest), folder, "left").select(*schema.names, run, tier)
 
 
 def shard(df: DataFrame, arrival, folder: str | None = None, fanout: int = 4, target_bytes: int = 128 << 20, base_bytes: int = 1 << 20) -> DataFrame:
-    """Appends ``df`` run by run of the column expression ``arrival``, compacts, vacuums, and returns what the table then holds.
+    """Appends ``df`` run by run of the column expression ``arrival``, compacts, and returns what the table then holds.
 
-    All columns come back (nulls, repeats and empty texts included) with ``__run`` and ``__tier``.
+    All columns come back (nulls, repeats and empty texts included) with the run and its tier, in
+    ``__run`` and ``__tier`` (with underscores added where ``df`` has such columns itself). An empty table returns no row.
+    Without a ``folder`` the table is a new one in the shared folder, and its merged runs are deleted at once; in a
+    given folder they stay for :meth:`ShardTable.vacuum`. The table itself stays until its owner removes it.
     """
     spark = df.sparkSession
     table = ShardTable(spark, folder or f"{shared_dir(spark).rstrip('/')}/shards-{uuid.uuid4().hex}", fanout, target_bytes, base_bytes)
-    table.append(df.withColumn("__when", arrival), "__when")
+    when = free_name(df.columns, "when")
+    table.append(df.withColumn(when, arrival), when)
     table.compact()
-    table.vacuum()
-    return table.read(df.schema)
+    if folder is None:
+        table.vacuum(0)
+    run, tier = free_name(df.columns, "__run"), free_name(df.columns, "__tier")
+    return table.read(df.schema, run=run, tier=tier)

@@ -2,38 +2,38 @@
 
 The network reads UTF-8 bytes in both directions, labels every position with a distribution over the
 languages, and a document's probabilities are the mean over all its positions. It is written and
-trained in numpy by backpropagation through time. Long texts are read in stretches of ``steps``
-bytes, each from a zero state; every byte of every text is read.
+trained in numpy by backpropagation through time. Long texts are read in overlapping stretches: each has
+``context`` bytes of its neighbours on either side, which move the states but are not labelled, so that every byte of
+every text is labelled once, by states that have read what lies around it.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
-from .common import small_batches
+from .common import arrow_column, free_name
 
 PAD = 256
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass(frozen=True)
 class Settings:
     """Production parameters.
 
-    ``sample_per_language`` bounds the training rows: about so many documents of each language,
-    chosen by a hash of the id, each giving ``windows`` stretches from places spread over the whole text.
+    ``sample_per_language`` bounds the training rows: at most so many documents of each language,
+    chosen by a hash of id and text, each giving ``windows`` stretches of ``steps`` characters (cut to as many
+    bytes) from hashed places of the whole text. ``inner`` and ``context`` are the bytes of a stretch that are labelled, and
+    those read before and after them.
     """
 
     hidden: int = 8
     steps: int = 64
+    inner: int = 96
+    context: int = 32
     sample_per_language: int = 400
     windows: int = 6
     batch: int = 192
@@ -87,14 +87,18 @@ class Network:
             h += new
         return states, tape
 
-    def forward(self, ids: np.ndarray) -> np.ndarray:
-        """Summed position probabilities [C, B] over the positions that hold a byte; ids: [T, B]."""
-        f, _ = self._direction("f", ids, False)
-        b, _ = self._direction("b", ids, False)
+    def forward(self, ids: np.ndarray, context: int = 0) -> np.ndarray:
+        """Summed position probabilities [C, B] over the positions that hold a byte; ids: [T, B].
+
+        The first and last ``context`` positions are read but not summed.
+        """
+        first, stop = context, len(ids) - context
+        f, _ = self._direction("f", ids[:stop], False)
+        b, _ = self._direction("b", ids[first:], False)
         total = np.zeros((len(self.labels), ids.shape[1]), np.float32)
-        for t in range(len(ids)):
+        for t in range(first, stop):
             e = self.p["fo"] @ f[t]
-            e += self.p["bo"] @ b[t]
+            e += self.p["bo"] @ b[t - first]
             e += self.p["c"]
             np.minimum(e, 60, out=e)
             np.exp(e, out=e)
@@ -145,33 +149,35 @@ class Network:
         return loss, grad
 
 
-def stretches(texts: list[str | None], steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of the texts as columns [steps, n] of byte numbers, and the number of columns of each text."""
-    data = [(t or "").encode("utf-8", "replace") for t in texts]
-    counts = np.array([-(-len(d) // steps) for d in data], dtype=np.int64)
-    out = np.full(int(counts.sum()) * steps, PAD, np.int16)
-    at = 0
-    for d, n in zip(data, counts, strict=True):
-        out[at : at + len(d)] = np.frombuffer(d, np.uint8)
-        at += int(n) * steps
-    return np.ascontiguousarray(out.reshape(-1, steps).T), counts
-
-
-def train(rows: list[tuple[str, str]], settings: Settings) -> Network | None:
-    """Network from (text, lang) rows, or None without any labelled text; the same rows give the same network."""
-    rows = sorted((lang, text) for text, lang in rows if lang is not None and text)
+def stretches(texts: list[str | None], inner: int, context: int) -> tuple[np.ndarray, np.ndarray]:
+    """Columns [context + inner + context, n] of byte numbers, and the number of columns of each text."""
+    width, parts, counts = inner + 2 * context, [], []
+    for t in texts:
+        data = np.frombuffer((t or "").encode("utf-8", "replace"), np.uint8)
+        n = -(-len(data) // inner)
+        counts.append(n)
+        if n:
+            line = np.full(n * inner + 2 * context, PAD, np.int16)
+            line[context : context + len(data)] = data
+            parts.append(np.lib.stride_tricks.sliding_window_view(line, width)[::inner])
+    ids = np.concatenate(parts).T if parts else np.empty((width, 0), np.int16)
+    return np.ascontiguousarray(ids), np.array(counts, dtype=np.int64)
+
+
+def train(rows: list[tuple[str, list[str]]], settings: Settings) -> Network | None:
+    """Network from rows of a language and stretches of text, or None without any; the same rows give the same network."""
+    rows = sorted((lang, sorted({w for w in windows if w})) for lang, windows in rows if lang is not None)
+    rows = [r for r in rows if r[1]]
     labels = sorted({lang for lang, _ in rows})
     if not labels:
         return None
     rng, net = np.random.default_rng(settings.seed), Network(labels, settings.hidden, settings.seed)
     windows, truth = [], []
-    for lang, text in rows:
-        data = text.encode("utf-8", "replace")
-        free = max(len(data) - settings.steps, 0)
-        for at in sorted({int(x) for x in rng.integers(0, free + 1, settings.windows)}):
+    for lang, pieces in rows:
+        for piece in pieces:
+            data = piece.encode("utf-8", "replace")[: settings.steps]
             window = np.full(settings.steps, PAD, np.int16)
-            piece = data[at : at + settings.steps]
-            window[: len(piece)] = np.frombuffer(piece, np.uint8)
+            window[: len(data)] = np.frombuffer(data, np.uint8)
             windows.append(window)
             truth.append(labels.index(lang))
     x, y = np.array(windows).T, np.array(truth)
@@ -190,22 +196,25 @@ def train(rows: list[tuple[str, str]], settings: Settings) -> Network | None:
     return net
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether any character is a letter (Unicode category L; numerals such as Roman and circled ones are none)."""
+    return any(map(str.isalpha, text or ""))
+
+
 def predict(net: Network | None, texts: list[str | None], settings: Settings, columns: int = 2048) -> list[tuple[str, float]]:
     """(language, pooled probability) of each whole text; ("und", 0) for null and letterless texts."""
-    sums = []
-    ids, counts = stretches(texts, settings.steps)
+    sums = np.zeros((len(net.labels) if net else 0, 0))
+    ids, counts = stretches(texts, settings.inner, settings.context)
     if net is not None and ids.shape[1]:
-        sums = np.concatenate([net.forward(np.ascontiguousarray(ids[:, i : i + columns])) for i in range(0, ids.shape[1], columns)], axis=1).astype(np.float64)
-        starts = np.r_[0, np.cumsum(counts)]
-        whole = np.c_[np.zeros(len(net.labels)), np.cumsum(sums, axis=1)]
-        sums = whole[:, starts[1:]] - whole[:, starts[:-1]]
-    out = []
-    for i, t in enumerate(texts):
-        if net is None or not t or not _LETTER.search(t):
+        sums = np.concatenate([net.forward(np.ascontiguousarray(ids[:, i : i + columns]), settings.context) for i in range(0, ids.shape[1], columns)], axis=1).astype(np.float64)
+    out, at = [], 0
+    for t, n in zip(texts, counts.tolist(), strict=True):
+        own, at = sums[:, at : at + n].sum(axis=1), at + n
+        if net is None or not has_letter(t):
             out.append(("und", 0.0))
         else:
-            k = int(np.argmax(sums[:, i]))
-            out.append((net.labels[k], float(min(1.0, sums[k, i] / sums[:, i].sum()))))
+            k = int(np.argmax(own))
+            out.append((net.labels[k], float(min(1.0, own[k] / own.sum()))))
     return out
 
 
@@ -213,59 +222,76 @@ def _fold(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4
 
 
-def training_rows(df: DataFrame, settings: Settings, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
-    """A bounded sample: about ``sample_per_language`` rows of each language outside fold 2."""
-    pool = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (_fold(id_col) != 2)).select(
-        F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(settings.seed)), F.lit(1 << 30)).alias("h")
+def training_rows(df: DataFrame, settings: Settings, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, list[str]]]:
+    """A bounded sample, (lang, stretches): ``sample_per_language`` documents of each language outside fold 2.
+
+    Rows that repeat an id and a text count as one. The driver gets one row for each language (the network has an output for each) and
+    the sample, of which only the stretches leave the executors.
+    """
+    text = F.col(text_col)
+    pool = df.where(F.col(lang_col).isNotNull() & text.isNotNull() & (_fold(id_col) != 2)).select(
+        text.alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string"), text, F.lit(settings.seed)).alias("h")
     )
-    counts = pool.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], min(1.0, settings.sample_per_language / r["n"])).otherwise(share)
-    picked = pool.where(F.col("h") < share * F.lit(1 << 30))
-    # a stretch around a hashed place is enough of a long text for training
-    near = F.greatest(F.lit(1), (F.pmod(F.hash("h"), F.greatest(F.length("text"), F.lit(1))) - 2000).cast("int"))
-    return [(r["text"], r["lang"]) for r in picked.select(F.expr("text").substr(near, F.lit(4000)).alias("text"), "lang").collect()]
+    sizes = pool.groupBy("lang").agg(F.count("*").alias("n"))
+    # about twice the sample by a share of the hashes, then exactly the smallest hashes
+    share = {r["lang"]: min(1.0, (2 * settings.sample_per_language + 40) / r["n"]) for r in sizes.collect()}
+    if not share:
+        return []
+    limits = df.sparkSession.createDataFrame([(k, int(v * (1 << 30))) for k, v in share.items()], "lang string, most long")  # a row for each language
+    near = pool.join(F.broadcast(limits), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("most"))
+    last = F.greatest(F.length("text") - settings.steps + 1, F.lit(1))
+    places = [(F.pmod(F.xxhash64("h", F.lit(i)), last) + 1).cast("int") for i in range(settings.windows)]
+    near = near.select("lang", "h", F.array(*[F.substring("text", p, F.lit(settings.steps)) for p in places]).alias("windows"))
+    picked = near.groupBy("lang", "h").agg(F.min("windows").alias("windows"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))
+    return [(r["lang"], list(r["windows"])) for r in picked.withColumn("rank", rank).where(F.col("rank") <= settings.sample_per_language).collect()]
 
 
 def prediction_column(text: Column, net: Network | None, settings: Settings) -> Column:
     """Struct lang_pred, score of the whole text."""
 
-    @pandas_udf("lang_pred string, score double")
-    def of(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in parts:
+    def start():
+        def work(texts: list[str | None]) -> list[dict]:
             rows, block, size = [], [], 0
-            for t in texts:  # blocks of a few MB keep the working arrays small
+            for t in texts:  # blocks of a MB keep the working arrays small
                 block.append(t)
                 size += len(t or "")
                 if size >= 1_000_000:
                     rows += predict(net, block, settings)
                     block, size = [], 0
             rows += predict(net, block, settings) if block else []
-            yield pd.DataFrame(rows, columns=["lang_pred", "score"])
+            return [{"lang_pred": k, "score": s} for k, s in rows]
 
-    return of.asNondeterministic()(text)
+        return work
 
+    return arrow_column("lang_pred string, score double", start, text)
 
-def with_language(df: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", name: str = "language") -> DataFrame:  # noqa: B008
-    """``df`` with a struct column ``name`` of lang_pred and score.
+
+def learn(df: DataFrame, settings: Settings, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
+    """The network of the bounded sample of ``df``; None if nothing is labelled."""
+    return train(training_rows(df, settings, id_col, text_col, lang_col), settings)
+
+
+def identify(df: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:  # noqa: B008
+    """``id_col``, ``held_out``, ``lang_pred``, ``score`` of every row.
 
     ``und`` with score 0 where the text is null, empty or without a letter, and everywhere if no row
     could be learned from. Null labels are not learned; null ids count as fold null and are not learned either.
-    Repeated rows get equal predictions; an empty table returns no row.
+    Repeated rows get equal predictions; an empty table returns no row. Other columns are ignored.
     """
-    small_batches(df.sparkSession)
-    net = train(training_rows(df, settings, id_col, text_col, lang_col), settings)
-    return df.withColumn(name, prediction_column(F.col(text_col), net, settings))
+    net = learn(df, settings, id_col, text_col, lang_col)
+    out = df.select(F.col(id_col), (F.coalesce(_fold(id_col) == 2, F.lit(False))).alias("held_out"), prediction_column(F.col(text_col), net, settings).alias("language"))
+    return out.select(F.col(id_col), "held_out", "language.lang_pred", "language.score")
 
 
-def identify(df: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:  # noqa: B008
-    """``id_col``, ``held_out``, ``lang_pred``, ``score`` of every row; see :func:`with_language`."""
-    out = with_language(df.select(id_col, text_col, lang_col), settings, id_col, text_col, lang_col, "__l")
-    return out.select(id_col, F.coalesce(_fold(id_col) == 2, F.lit(False)).alias("held_out"), "__l.lang_pred", "__l.score")
-
+def accepted(df: DataFrame, settings: Settings = Settings(), margin: float = 0.13, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:  # noqa: B008
+    """The rows of ``df``, with its columns, that are clearly in some learned language.
 
-def accepted(df: DataFrame, settings: Settings = Settings(), least: float = 0.35, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:  # noqa: B008
-    """The rows of ``df`` that are in some learned language with a pooled probability of ``least`` or more."""
-    out = with_language(df, settings, id_col, text_col, lang_col, "__language")
-    return out.where((F.col("__language.lang_pred") != "und") & (F.col("__language.score") >= least)).drop("__language")
+    The pooled probability of the best of n languages has to exceed chance by ``margin`` of what is left:
+    1/n + margin (1 - 1/n), that is 0.35 for four. Texts that are null, empty or without a letter go, and every text if nothing could be learned.
+    """
+    net = learn(df, settings, id_col, text_col, lang_col)
+    chance = 1 / max(1, len(net.labels)) if net else 1.0
+    name = free_name(df.columns, "language")
+    out = df.withColumn(name, prediction_column(F.col(text_col), net, settings))
+    return out.where((F.col(f"{name}.lang_pred") != "und") & (F.col(f"{name}.score") >= chance + margin * (1 - chance))).drop(name)

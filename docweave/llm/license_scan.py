@@ -9,16 +9,14 @@ covers enough of the template is reported with its span in the text.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
-from .common import small_batches
+from .common import arrow_column
 
 # Wording of public licenses and of the notices that name them (fixed values).
 TEMPLATES = {
@@ -37,6 +35,8 @@ TEMPLATES = {
 }
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _WORD = re.compile(rb"[^ ]+")
+#: What a text word that the template lacks takes off an alignment's score.
+GAP = 0.25
 
 
 def _data(text: str | None) -> bytes:
@@ -59,12 +59,14 @@ def _gram_keys(ids: np.ndarray, k: int) -> np.ndarray:
 class Scanner:
     """Inverted index of the templates; built once in each worker."""
 
-    def __init__(self, templates: dict[str, str], k: int = 3, window: int = 3, band: int = 6, least: float = 0.8):
-        self.k, self.band, self.least = k, band, least
+    def __init__(self, templates: dict[str, str], k: int = 3, window: int = 3, band: int = 24, least: float = 0.8):
+        self.k, self.least = k, least
         self.names = sorted(templates)
         words = [_data(templates[n]).split() for n in self.names]
         self.number = {w: i for i, w in enumerate(sorted({w for ws in words for w in ws}))}
         self.templates = [np.array([self.number[w] for w in ws], dtype=np.int64) for ws in words]
+        # half width of the alignment: how far left out words may move the rest; a template of few words may follow itself at once
+        self.bands = [max(1, min(band, int((1 - least) * len(ws)) + 1, len(ws) // 3)) for ws in words]
         self.index: dict[int, list[tuple[int, int]]] = {}
         for t, ids in enumerate(self.templates):
             keys = _gram_keys(ids, min(k, max(len(ids), 1)))
@@ -77,24 +79,32 @@ class Scanner:
                 self.index.setdefault(int(keys[at]), []).append((t, at))
         self.keys = np.array(sorted(self.index), dtype=np.int64)
 
-    def align(self, template: np.ndarray, text: np.ndarray, shift: int) -> tuple[int, int, int]:
-        """Most template words matched in order along the band around ``shift`` (text place minus template place), and the span in the text [from, to)."""
-        width = 2 * self.band + 1
-        best = [(0, -1, -1)] * (width + 2)  # matched, first text word, last text word; for the row above
+    def align(self, template: np.ndarray, text: list[int], shift: int, band: int) -> tuple[int, int, int]:
+        """Template words matched in order along the band around ``shift`` (text place minus template place), and the span in the text [from, to).
+
+        A match counts one, a text word skipped inside the span takes ``GAP`` off, so that a span doesn't reach over
+        a copy's ends for the sake of a word that happens to stand there.
+        """
+        width = 2 * band + 1
+        none = (0.0, -1, -1, 0)  # score, first text word, last text word, matched
+        best = [none] * (width + 2)
+        low, count = shift - band - 1, len(text)
         for i, word in enumerate(template.tolist()):
-            row = [(0, -1, -1)] * (width + 2)
+            row = [none] * (width + 2)
             for d in range(1, width + 1):
-                j = i + shift + d - 1 - self.band
-                got = max(best[d + 1], row[d - 1], key=lambda x: (x[0], x[1]))
-                if 0 <= j < len(text) and text[j] == word:
-                    m, a, _ = best[d]
-                    took = (m + 1, j if a < 0 else a, j)
-                    got = max(got, took, key=lambda x: (x[0], x[1]))
-                elif best[d][0] > got[0]:
-                    got = best[d]
+                j = low + i + d
+                got, left = best[d + 1], row[d - 1]
+                if left[0] - GAP > got[0]:
+                    got = (left[0] - GAP, *left[1:])
+                if 0 <= j < count and text[j] == word:
+                    s, a, _, m = best[d]
+                    if s + 1 >= got[0]:
+                        got = (s + 1, j if a < 0 else a, j, m + 1)
+                elif best[d][0] - GAP > got[0]:
+                    got = (best[d][0] - GAP, *best[d][1:])
                 row[d] = got
             best = row
-        matched, start, stop = max(best, key=lambda x: (x[0], x[1]))
+        _, start, stop, matched = max(best, key=lambda x: (x[0], x[1]))
         return matched, start, stop + 1
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
@@ -107,6 +117,7 @@ class Scanner:
         hits = np.flatnonzero(np.isin(keys, self.keys)) if len(keys) else []
         if not len(hits):
             return []
+        numbers = ids.tolist()
         diagonals: dict[int, list[int]] = {}
         for at in hits.tolist():
             for t, place in self.index[int(keys[at])]:
@@ -116,46 +127,51 @@ class Scanner:
             shifts.sort()
             seen = -(10**9)
             for s in shifts:
-                if s - seen <= self.band:
+                if s - seen <= self.bands[t]:
                     continue
                 seen = s
-                matched, a, b = self.align(self.templates[t], ids, s)
+                matched, a, b = self.align(self.templates[t], numbers, s, self.bands[t])
                 coverage = matched / len(self.templates[t])
-                if coverage >= self.least and (b - a) <= len(self.templates[t]) / self.least + self.band:
+                if coverage >= self.least and (b - a) <= len(self.templates[t]) / self.least + self.bands[t]:
                     found.append((self.names[t], coverage, a, b))
         if not found:
             return []
-        # of overlapping reports of one license the fuller one stays
-        found.sort(key=lambda x: (x[0], -x[1], x[2]))
-        kept: list[tuple[str, float, int, int]] = []
-        for x in found:
-            if not any(x[0] == y[0] and x[2] < y[3] and y[2] < x[3] for y in kept[-64:]):
-                kept.append(x)
+        kept = fullest(found)
         at = [m.span() for m in _WORD.finditer(data)]
         chars = np.cumsum((np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8) & 0xC0) != 0x80)
         return sorted(((n, c, int(chars[at[a][0]]) - 1, int(chars[at[b - 1][1] - 1])) for n, c, a, b in kept), key=lambda x: (x[2], x[0]))
 
 
+def fullest(found: list[tuple[str, float, int, int]]) -> list[tuple[str, float, int, int]]:
+    """Of overlapping reports (license, coverage, from, to) of one license the fullest stays; of equally full ones the first, then the shorter."""
+    kept: list[tuple[str, float, int, int]] = []
+    places: dict[str, tuple[list[int], list[int]]] = {}  # by license: starts of the kept reports, and their stops, both rising
+    for x in sorted(found, key=lambda x: (x[0], -x[1], x[2], x[3])):
+        starts, stops = places.setdefault(x[0], ([], []))
+        i = bisect_left(starts, x[3])  # kept reports do not overlap: only the last that starts before the end can
+        if not i or stops[i - 1] <= x[2]:
+            starts.insert(i, x[2])
+            stops.insert(i, x[3])
+            kept.append(x)
+    return kept
+
+
 def scan_column(text: Column, templates: dict[str, str] | None = None, least: float = 0.8) -> Column:
     """Array of structs license, coverage, start, stop (characters of the whole original text)."""
     chosen = TEMPLATES if templates is None else templates
 
-    @pandas_udf("array<struct<license:string,coverage:double,start:long,stop:long>>")
-    def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def start():
         scanner = Scanner(chosen, least=least)
-        for texts in parts:
-            yield pd.Series([[dict(zip(("license", "coverage", "start", "stop"), x, strict=True)) for x in scanner.scan(t)] for t in texts])
+        return lambda texts: [[dict(zip(("license", "coverage", "start", "stop"), x, strict=True)) for x in scanner.scan(t)] for t in texts]
 
-    return of.asNondeterministic()(text)
+    return arrow_column("array<struct<license:string,coverage:double,start:bigint,stop:bigint>>", start, text)
 
 
 def licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, least: float = 0.8) -> DataFrame:
     """``id_col`` and ``matches`` of every row.
 
     A match covers at least ``least`` of its template's words, in order, near one diagonal. Null and empty texts
-    have none. A license that occurs twice is reported twice; different licenses may overlap. Repeated rows
+    have none. A license that occurs twice is reported twice, also side by side; different licenses may overlap. Repeated rows
     return repeated rows, an empty table none. Other columns are ignored. No shuffle.
     """
-    small_batches(df.sparkSession)
-    out = df.select(F.col(id_col), F.col(text_col).alias("__t")).withColumn("matches", scan_column(F.col("__t"), templates, least))
-    return out.select(id_col, "matches")
+    return df.select(F.col(id_col), scan_column(F.col(text_col), templates, least).alias("matches"))

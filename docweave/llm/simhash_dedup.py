@@ -5,28 +5,30 @@ fingerprints (pivots). By the triangle inequality two fingerprints within ``k``
 most ``k`` in every coordinate, so a pair whose largest coordinate difference is over ``k`` is
 discarded without a comparison; survivors are verified on the 64 bits.
 
-The pivots are one base fingerprint and copies of it with one block of bits flipped. The
-differences of a row to its base coordinate then give the distance inside each block, and a pair
-within ``k`` bits can differ in at most ``k`` of those. The blocks are dealt to ``k + 1``
-families: in one of them the pair's coordinates are all equal. That makes the table's coordinates
-of a family an equality key that Spark can shuffle on, and the search is exact.
+The pivots are a base fingerprint, its copies with one bit flipped, and some with half of the bits
+flipped. A one-bit coordinate is one more or one less than the base coordinate, and two rows within ``k``
+bits agree in all but ``k`` of these 64 differences. They are dealt to ``blocks`` groups; the pair agrees in at
+least ``blocks - k`` whole groups. For every choice of so many groups their coordinates are one equality
+key that Spark can shuffle on: the search is exact, and a key has half of the bits (two of four groups for
+``k`` = 2), so that it stays rare in a table of 10^9 rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
-from .common import checkpoint, connected_components, small_batches
+from .common import arrow_column, checkpoint, connected_components, free_name
 
 BASE = 0x9E3779B97F4A7C15
+#: Pivots with half of the bits flipped, that serve the largest-difference test alone.
+HALVES = 16
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _COLUMN = (np.arange(8, dtype=np.int64) * 256)[None, :]
 
@@ -50,42 +52,49 @@ def fingerprint(text: str | None, shingle_words: int = 3, seed: int = 42) -> int
 def fingerprint_column(text: Column, shingle_words: int = 3, seed: int = 42) -> Column:
     """Fingerprint as a signed long holding the 64 bits."""
 
-    @pandas_udf("long")
-    def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in parts:
-            yield pd.Series(np.array([fingerprint(t, shingle_words, seed) for t in texts], dtype=np.uint64).view(np.int64))
+    def start():
+        return lambda texts: [_signed(fingerprint(t, shingle_words, seed)) for t in texts]
 
-    return of.asNondeterministic()(text)
-
-
-def pivots(k: int, blocks_per_family: int) -> tuple[list[int], list[list[int]]]:
-    """Block masks, and the blocks of each of the k + 1 families (neighbouring blocks)."""
-    m = (k + 1) * blocks_per_family
-    edges = [round(64 * i / m) for i in range(m + 1)]
-    masks = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
-    return masks, [list(range(f * blocks_per_family, (f + 1) * blocks_per_family)) for f in range(k + 1)]
+    return arrow_column("long", start, text)
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def half_masks() -> list[int]:
+    """Masks of about half of the bits: those of multiples of an odd constant."""
+    return [(BASE * (2 * i + 3)) & ((1 << 64) - 1) for i in range(HALVES)]
+
+
+def families(k: int, blocks: int) -> list[list[int]]:
+    """For every choice of ``blocks - k`` of the blocks, the one-bit pivots (bit numbers) whose coordinates make the key."""
+    if not 0 < blocks - k:
+        raise ValueError("more blocks than differing bits are needed")
+    edges = [round(64 * i / blocks) for i in range(blocks + 1)]
+    return [[b for g in chosen for b in range(edges[g], edges[g + 1])] for chosen in combinations(range(blocks), blocks - k)]
+
+
 def pivot_distance(fp: Column, pivot: int) -> Column:
     return F.bit_count(fp.bitwiseXOR(F.lit(_signed(pivot))))
 
 
-def pivot_keys(fp: Column, k: int, blocks_per_family: int) -> Column:
-    """Array of the families' keys; each is made of the pivot table's coordinates of the family."""
-    masks, families = pivots(k, blocks_per_family)
-    base = pivot_distance(fp, BASE)
+def one_bit_coordinates(fp: Column) -> Column:
+    """The 64 one-bit coordinates as a long: bit b is set where pivot b is one nearer than the base, clear where it is one further.
+
+    The distance to ``BASE ^ (1 << b)`` is the distance to the base, less one if bit b of fingerprint and base differ, else plus
+    one. All 64 of these differences together are the bits of the exclusive or with the base.
+    """
+    return fp.bitwiseXOR(F.lit(_signed(BASE)))
+
+
+def pivot_keys(fp: Column, k: int, blocks: int) -> Column:
+    """Array of the families' keys; each is made of the family's coordinates in the pivot table."""
+    table = one_bit_coordinates(fp)
     out = []
-    for number, blocks in enumerate(families):
-        key = F.lit(0).cast("long")
-        for b in blocks:
-            size = masks[b].bit_count()
-            inside = (base - pivot_distance(fp, BASE ^ masks[b]) + F.lit(size)) / 2
-            key = key * F.lit(size + 1) + inside.cast("long")
-        out.append(F.struct(F.lit(number).alias("family"), key.alias("key")))
+    for number, bits in enumerate(families(k, blocks)):
+        mask = _signed(sum(1 << b for b in bits))
+        out.append(F.struct(F.lit(number).alias("family"), table.bitwiseAND(F.lit(mask)).alias("key")))
     return F.array(*out)
 
 
@@ -129,9 +138,9 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
     return u, v
 
 
-def _search(k: int, blocks_per_family: int):
-    masks, _ = pivots(k, blocks_per_family)
-    refs = np.array([BASE, *(BASE ^ m for m in masks)], dtype=np.uint64)
+def _search(k: int):
+    # one-bit coordinates differ by the base coordinate and two at most: base and halves decide the largest difference
+    refs = np.array([BASE, *(BASE ^ m for m in half_masks())], dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] = []
@@ -159,14 +168,14 @@ def _search(k: int, blocks_per_family: int):
     return run
 
 
-def similar_pairs(prints: DataFrame, k: int = 2, blocks_per_family: int = 10, group_size: int = 1024) -> DataFrame:
+def similar_pairs(prints: DataFrame, k: int = 2, blocks: int | None = None, group_size: int = 1024) -> DataFrame:
     """Links ``u``, ``v`` (enough to keep reachability) between distinct fingerprints within k bits.
 
-    ``prints``: one row per fingerprint, long columns ``node`` and ``fp``. A key with more than
+    ``prints``: one row per fingerprint, long columns ``node`` and ``fp``. ``blocks`` is k + 2 if not given. A key with more than
     ``group_size`` fingerprints is split in chunks, and each pair of chunks is a group of its own, so
     that a common key is spread over many tasks and no pair is lost.
     """
-    keyed = prints.select("node", "fp", F.explode(pivot_keys(F.col("fp"), k, blocks_per_family)).alias("x")).select("node", "fp", "x.family", "x.key")
+    keyed = prints.select("node", "fp", F.explode(pivot_keys(F.col("fp"), k, blocks or k + 2)).alias("x")).select("node", "fp", "x.family", "x.key")
     large = keyed.groupBy("family", "key").agg(F.count("*").alias("n")).where(F.col("n") > group_size)
     large = large.select("family", "key", F.ceil(F.col("n") / group_size).cast("int").alias("chunks"))
     dealt = keyed.join(large, ["family", "key"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
@@ -177,13 +186,12 @@ def similar_pairs(prints: DataFrame, k: int = 2, blocks_per_family: int = 10, gr
     )
     # within one chunk (side 2) all pairs count; between two chunks only those of different sides
     dealt = dealt.repartition("family", "key", "lo", "hi").sortWithinPartitions("family", "key", "lo", "hi")
-    return dealt.mapInArrow(_search(k, blocks_per_family), "u long, v long")
+    return dealt.mapInArrow(_search(k), "u long, v long")
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, seed: int = 42) -> DataFrame:
     """``id``, ``fp`` (long) of every row."""
-    small_batches(df.sparkSession)
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).select("id", fingerprint_column(F.col("t"), shingle_words, seed).alias("fp"))
+    return df.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), shingle_words, seed).alias("fp"))
 
 
 def _classes(prints: DataFrame, best: Column, k: int) -> DataFrame:
@@ -220,9 +228,9 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
 
     Rows that are equal in all columns are one row.
     """
-    small_batches(df.sparkSession)
-    keyed = df.withColumn("__row", F.unhex(F.sha2(F.to_json(F.struct(*[df[c] for c in df.columns])), 256)))
-    prints = checkpoint(keyed.select(F.col(id_col).alias("id"), "__row", fingerprint_column(F.col(text_col), shingle_words, seed).alias("fp")))
-    kept = _classes(prints, F.struct(F.col("id").isNull(), "id", "__row"), k).select("component", "least").distinct().select("least.__row")
+    row = free_name(df.columns, "row")
+    keyed = df.withColumn(row, F.unhex(F.sha2(F.to_json(F.struct(*[df[c] for c in df.columns])), 256)))
+    prints = checkpoint(keyed.select(F.col(id_col).alias("id"), F.col(row).alias("row"), fingerprint_column(F.col(text_col), shingle_words, seed).alias("fp")))
+    kept = _classes(prints, F.struct(F.col("id").isNull(), "id", "row"), k).select("component", "least").distinct().select(F.col("least.row").alias(row))
     # equal rows collapse before they are dealt, and the join needs no other shuffle
-    return keyed.dropDuplicates(["__row"]).join(kept, "__row", "left_semi").drop("__row")
+    return keyed.dropDuplicates([row]).join(kept, row, "left_semi").drop(row)

@@ -1,26 +1,29 @@
 """Token counts that follow edits.
 
 A document is cut in pre-tokens, and runs of them are the leaves of a segment tree whose nodes sum
-characters and tokens. An edit finds its leaves by the character sums, cuts and encodes anew from the last
-pre-token that may change to where the new cuts meet the old ones, and updates the sums above. The pattern of the
-pre-tokens depends on at most two characters behind a pre-token, so what ends well before the edit stays.
+characters and tokens. The tree is kept as a column of a table (:func:`with_trees`); edits are applied to a
+kept tree (:func:`edit_trees`), whose untouched leaves are never counted again. An edit finds its leaves by the
+character sums, cuts and encodes anew from the last pre-token that may change to where the new cuts meet the
+old ones, and updates the sums above.
+
+What ends two characters or more before an edit stays, because the pattern of the pre-tokens looks at
+two characters behind a pre-token at most. That holds for patterns without alternatives that reach over line
+ends; others are refused.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
 
-import pandas as pd
 import regex
 import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
-from .common import small_batches
+from .common import arrow_column, free_name
 
 CACHE_WORDS = 300_000
+TREE = "struct<leaves:array<struct<words:array<string>,counts:array<int>>>,chars:array<bigint>,tokens:array<bigint>>"
 
 
 class Counter:
@@ -29,6 +32,8 @@ class Counter:
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        if "\\r" in pattern or "\\n" in pattern or "\r" in pattern or "\n" in pattern:
+            raise ValueError("a pattern that names line ends may look further than two characters behind a pre-token")
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.pattern = regex.compile(pattern)
         self.known: dict[str, int] = {}
@@ -45,26 +50,46 @@ class Counter:
 
 
 class CountTree:
-    """Segment tree over leaves of about ``leaf`` pre-tokens; ``encoded`` counts pre-tokens encoded so far."""
+    """Segment tree over leaves of about ``leaf`` pre-tokens; ``encoded`` counts pre-tokens encoded since it was made or loaded."""
 
     def __init__(self, text: str, counter: Counter, leaf: int = 64):
         self.counter, self.leaf, self.encoded = counter, leaf, 0
-        self._fill(counter.pattern.findall(text))
+        words = counter.pattern.findall(text)
+        self._fill(words, self._count(words))
+
+    @classmethod
+    def load(cls, kept: dict, counter: Counter, leaf: int = 64) -> CountTree:
+        """The tree that :meth:`kept` described; nothing is encoded or summed."""
+        tree = cls.__new__(cls)
+        tree.counter, tree.leaf, tree.encoded = counter, leaf, 0
+        tree.leaves = [x["words"] for x in kept["leaves"]]
+        tree.counts = [x["counts"] for x in kept["leaves"]]
+        tree.chars, tree.tokens = list(kept["chars"]), list(kept["tokens"])
+        tree.size = len(tree.chars) // 2
+        return tree
+
+    def kept(self) -> dict:
+        return {"leaves": [{"words": w, "counts": c} for w, c in zip(self.leaves, self.counts, strict=True)], "chars": self.chars, "tokens": self.tokens}
+
+    def _count(self, words: list[str]) -> list[int]:
+        known, count = self.counter.known, self.counter.count
+        self.encoded += len(words)
+        return [known.get(w) or count(w) for w in words]
 
-    def _fill(self, words: list[str]) -> None:
-        self.leaves = [words[i : i + self.leaf] for i in range(0, len(words), self.leaf)] or [[]]
+    def _fill(self, words: list[str], counts: list[int]) -> None:
+        starts = range(0, len(words), self.leaf)
+        self.leaves = [words[i : i + self.leaf] for i in starts] or [[]]
+        self.counts = [counts[i : i + self.leaf] for i in starts] or [[]]
         self.size = 1 << (len(self.leaves) - 1).bit_length()
         self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
         for k in range(len(self.leaves)):
             self._sum_leaf(k)
         for k in range(self.size - 1, 0, -1):
             self._sum(k)
-        self.encoded += len(words)
 
     def _sum_leaf(self, k: int) -> None:
-        words, known, count = self.leaves[k], self.counter.known, self.counter.count
-        self.chars[self.size + k] = sum(map(len, words))
-        self.tokens[self.size + k] = sum([known.get(w) or count(w) for w in words])
+        self.chars[self.size + k] = sum(map(len, self.leaves[k]))
+        self.tokens[self.size + k] = sum(self.counts[k])
 
     def _sum(self, k: int) -> None:
         self.chars[k] = self.chars[2 * k] + self.chars[2 * k + 1]
@@ -111,6 +136,7 @@ class CountTree:
             keep += 1
         last, last_start = self._find(min(at + delete, max(self.length - 1, 0)))
         old = [w for k in range(first, last + 1) for w in self.leaves[k]][keep:]
+        old_counts = [c for k in range(first, last + 1) for c in self.counts[k]][keep:]
         end = last_start + self.chars[self.size + last]
         tail_at, joined = at - offset, "".join(old)
         new_text = joined[:tail_at] + insert + joined[tail_at + delete :]
@@ -144,29 +170,30 @@ class CountTree:
             stops.add(len(new_text))
             new_text += "".join(joined)
             old = old + joined
+            old_counts = old_counts + self.counts[more]
             end += self.chars[self.size + more]
             more += 1
-        rest, pos = [], 0
-        for w in old:
+        same, pos = len(old), 0  # from which old pre-token on the new cuts are the old ones
+        for i, w in enumerate(old):
             if pos - delete + len(insert) >= place and pos >= tail_at + delete:
-                rest.append(w)
+                same = i
+                break
             pos += len(w)
-        self.encoded += len(fresh)
-        words = self.leaves[first][:keep] + fresh + rest
-        self._replace(first, more, words)
+        words = self.leaves[first][:keep] + fresh + old[same:]
+        self._replace(first, more, words, self.counts[first][:keep] + self._count(fresh) + old_counts[same:])
 
-    def _replace(self, first: int, stop: int, words: list[str]) -> None:
-        """Deals ``words`` to the leaves first..stop-1 and updates the sums above them."""
+    def _replace(self, first: int, stop: int, words: list[str], counts: list[int]) -> None:
+        """Deals ``words`` and their counts to the leaves first..stop-1 and updates the sums above them."""
         n = stop - first
-        if len(words) > 4 * self.leaf * n:  # grown out of its leaves: a new tree over the words
-            before, every = self.encoded, [w for k in range(first) for w in self.leaves[k]] + words + [w for k in range(stop, len(self.leaves)) for w in self.leaves[k]]
-            self._fill(every)
-            self.encoded = before
+        if len(words) > 4 * self.leaf * n:  # grown out of its leaves: new leaves over the words, with the counts there are
+            around = lambda xs, own: [x for k in range(first) for x in xs[k]] + own + [x for k in range(stop, len(xs)) for x in xs[k]]
+            self._fill(around(self.leaves, words), around(self.counts, counts))
             return
         share = -(-len(words) // n) if words else 1
         touched = set()
         for i in range(n):
             self.leaves[first + i] = words[i * share : (i + 1) * share]
+            self.counts[first + i] = counts[i * share : (i + 1) * share]
             self._sum_leaf(first + i)
             touched.add((self.size + first + i) // 2)
         while touched and 0 not in touched:
@@ -178,35 +205,81 @@ class CountTree:
 _COUNTERS: dict[tuple[str, str], Counter] = {}
 
 
-def counts_column(text: Column, edits: Column, path: str, pattern: str, leaf: int = 64) -> Column:
-    """Struct n_tokens, n_tokens_edited, n_pretokens, n_recoded, edited of the whole text.
+def _counter(path: str, pattern: str) -> Counter:
+    return _COUNTERS.get((path, pattern)) or _COUNTERS.setdefault((path, pattern), Counter(path, pattern))
+
+
+def tree_column(text: Column, path: str, pattern: str, leaf: int = 64) -> Column:
+    """Tree of the whole text, as a struct of leaves (pre-tokens with their counts) and sums; null is the empty text."""
+
+    def start():
+        counter = _counter(path, pattern)
+        return lambda texts: [CountTree(t or "", counter, leaf).kept() for t in texts]
+
+    return arrow_column(TREE, start, text, rows=32)
+
+
+def edited_tree_column(tree: Column, edits: Column, path: str, pattern: str, leaf: int = 64) -> Column:
+    """Struct of the ``tree`` after the edits and ``n_recoded``, the pre-tokens that were encoded for them."""
+
+    def start():
+        counter = _counter(path, pattern)
+
+        def one(kept: dict, changes: list[dict] | None) -> dict:
+            t = CountTree.load(kept, counter, leaf)
+            for e in changes or []:
+                if e is not None:
+                    t.edit(int(e["at"] or 0), int(e["remove"] or 0), e["put"] or "")
+            return {"tree": t.kept(), "n_recoded": t.encoded}
+
+        return lambda trees, changes: [one(*x) for x in zip(trees, changes, strict=True)]
 
-    ``edits``: array of structs (at, remove, put), each for the text that the earlier ones left.
+    return arrow_column(f"struct<tree:{TREE},n_recoded:bigint>", start, tree, edits, rows=32)
+
+
+def n_tokens(tree: Column) -> Column:
+    """Tokens of a whole text: the root of its tree."""
+    return tree["tokens"][1]
+
+
+def n_chars(tree: Column) -> Column:
+    return tree["chars"][1]
+
+
+def n_pretokens(tree: Column) -> Column:
+    return F.aggregate(tree["leaves"], F.lit(0).cast("long"), lambda s, x: s + F.size(x["words"]))
+
+
+def tree_text(tree: Column) -> Column:
+    return F.array_join(F.flatten(F.transform(tree["leaves"], lambda x: x["words"])), "")
+
+
+def with_trees(df: DataFrame, path: str, pattern: str, text_col: str = "text", name: str = "tree", leaf: int = 64) -> DataFrame:
+    """``df`` with the tree of every row's text in the column ``name``, to be kept as a table. No shuffle.
+
+    Null and empty texts have a tree of one empty leaf. An empty table returns no row; repeated rows repeat theirs. A column of that
+    name is replaced.
     """
+    return df.withColumn(name, tree_column(F.col(text_col), path, pattern, leaf))
+
 
-    @pandas_udf("n_tokens long, n_tokens_edited long, n_pretokens long, n_recoded long, n_chars_edited long")
-    def of(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        counter = _COUNTERS.get((path, pattern)) or _COUNTERS.setdefault((path, pattern), Counter(path, pattern))
-        for texts, changes in parts:
-            rows = []
-            for t, es in zip(texts, changes, strict=True):
-                tree = CountTree(t or "", counter, leaf)
-                before, words = tree.total, tree.encoded
-                for e in [] if es is None else es:
-                    if e is not None:
-                        tree.edit(int(e["at"] or 0), int(e["remove"] or 0), e["put"] or "")
-                rows.append((before, tree.total, words, tree.encoded - words, tree.length))
-            yield pd.DataFrame(rows, columns=["n_tokens", "n_tokens_edited", "n_pretokens", "n_recoded", "n_chars_edited"])
+def edit_trees(df: DataFrame, edits: Column, path: str, pattern: str, name: str = "tree", recoded: str = "n_recoded", leaf: int = 64) -> DataFrame:
+    """``df`` with the trees of the column ``name`` after ``edits``, and how many pre-tokens that took. No shuffle.
 
-    return of.asNondeterministic()(text, edits)
+    ``edits``: array of structs (at, remove, put), each for the text that the earlier ones left. Null edits change nothing; places
+    beyond the text mean its end; null fields mean 0 and the empty text.
+    """
+    both = free_name(df.columns, "edited")
+    out = df.withColumn(both, edited_tree_column(F.col(name), edits, path, pattern, leaf))
+    return out.withColumns({name: F.col(f"{both}.tree"), recoded: F.col(f"{both}.n_recoded")}).drop(both)
 
 
 def edited_counts(df: DataFrame, path: str, pattern: str, edits: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts before and after the column expression ``edits``, for every row.
+    """Counts before and after ``edits`` (see :func:`edit_trees`) of every row: n_tokens, n_tokens_edited, n_pretokens, n_recoded, n_chars_edited.
 
-    Null texts are empty; null edits change nothing; places beyond the text mean its end. Repeated
-    rows return repeated rows, an empty table none. Other columns are ignored. No shuffle.
+    Null texts are empty. Repeated rows return repeated rows, an empty table none. Other columns are ignored.
     """
-    small_batches(df.sparkSession)
-    out = df.select(F.col(id_col), F.col(text_col).alias("__t"), edits.alias("__e")).withColumn("__c", counts_column(F.col("__t"), F.col("__e"), path, pattern))
-    return out.select(id_col, "__c.*")
+    trees = df.select(F.col(id_col).alias("id"), tree_column(F.col(text_col), path, pattern).alias("tree"), edits.alias("edits"))
+    before = trees.select("id", "edits", "tree", n_tokens(F.col("tree")).alias("n_tokens"), n_pretokens(F.col("tree")).alias("n_pretokens"))
+    after = edit_trees(before, F.col("edits"), path, pattern)
+    return after.select(F.col("id").alias(id_col), "n_tokens", n_tokens(F.col("tree")).alias("n_tokens_edited"), "n_pretokens", "n_recoded", n_chars(F.col("tree")).alias("n_chars_edited"))

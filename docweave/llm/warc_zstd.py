@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, shared_dir, small_batches
+from .common import checkpoint, shared_dir
 
 SKIPPABLE = 0x184D2A5D
 FRAME = 0xFD2FB528
@@ -206,24 +206,37 @@ def _writer(root: str, roll_bytes: int, samples: int):
     return write
 
 
+#: Groups that the rows of one digest, and the rows that have no digest to look up, are dealt to.
+SALTS, SPREAD = 16, 4096
+
+
+def with_first_copies(rows: DataFrame, least: int) -> DataFrame:
+    """``rows`` (page_id, url, html, digest, size) with ``refers``, the smallest page_id of the payload, and ``again``, whether the row is a revisit.
+
+    Digests of repeated payloads of ``least`` bytes are looked up by digest and one of ``SALTS`` groups, so
+    a payload that a third of all rows share is many groups; shorter payloads carry a group number that no
+    digest has and are spread evenly, though a million of them may be equal. The html of revisits doesn't leave the join.
+    """
+    firsts = rows.where(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    firsts = firsts.where("n > 1 and first is not null").select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("group"))
+    own = F.xxhash64("page_id", "url")
+    group = F.when(F.col("size") >= least, F.pmod(own, F.lit(SALTS))).otherwise(SALTS + F.pmod(own, F.lit(SPREAD)))
+    rows = rows.withColumn("group", group.cast("int")).join(firsts, ["digest", "group"], "left").drop("group")
+    again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    return rows.select("page_id", "url", F.when(~again, F.col("html")).alias("html"), "digest", "size", F.when(again, F.col("first")).alias("refers"), again.alias("again"))
+
+
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 100, roll_bytes: int = 16_000_000, samples: int = 200) -> DataFrame:
     """Writes a record for every row; returns the checkpointed listing ``path``, ``records``.
 
     Of the rows with equal payloads of at least ``least`` bytes that with the smallest id is the
-    response (all its repeats too, if the id is repeated); the others are revisits. Payload digests are
-    joined with the smallest id of each repeated payload; both sides are shuffled by the digest, and
-    adaptive execution splits a digest that holds a large share of the rows.
+    response (all its repeats too, if the id is repeated); the others are revisits. The folder stays until its owner removes it.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.withColumns({"digest": F.sha2(F.col("html").cast("binary"), 256), "size": F.octet_length("html").cast("long")})
-    firsts = rows.where(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    firsts = firsts.where("n > 1 and first is not null").select("digest", "first")
-    rows = rows.join(firsts, "digest", "left").withColumn("again", F.coalesce(~F.col("page_id").eqNullSafe(F.col("first")) & F.col("first").isNotNull(), F.lit(False)))
-    rows = rows.select("page_id", "url", F.when(~F.col("again"), F.col("html")).alias("html"), "digest", "size", F.when(F.col("again"), F.col("first")).alias("refers"), "again")
-    small_batches(pages.sparkSession)
     store, base = fs.FileSystem.from_uri(folder)
     store.create_dir(base, recursive=True)
-    return checkpoint(rows.mapInArrow(_writer(folder, roll_bytes, samples), "path string, records long"))
+    return checkpoint(with_first_copies(rows, least).mapInArrow(_writer(folder, roll_bytes, samples), "path string, records long"))
 
 
 def _page(name: str) -> int | None:
