@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from docweave.llm import bpe_automaton, decontaminate, language_id, simhash_dedup
-from docweave.llm.common import shared_dir
+from docweave.llm.common import remove_folder, shared_dir
 from docweave.llm.queries import WORD_BPE
 
 
@@ -43,10 +43,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over the documents of ``sf_dir``; what lies between them goes to the shared folder."""
+    """The stages over the documents of ``sf_dir``.
+
+    What lies between them goes to the shared folder, each stage's output until the next one is written; the last
+    one's stays for the reader. Nulls in any column, empty tables, repeated rows and further columns are what the stages say they are.
+    """
     top = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{top}/{i}-{name}")
         docs = spark.read.parquet(f"{top}/{i}-{name}")
+        if i:
+            remove_folder(spark, f"{top}/{i - 1}-{STAGES[i - 1][0]}")
     return docs
