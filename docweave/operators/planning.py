@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.signals import LIST_ITEM
 from ..functions.text import collapse
 
-LIST_LINE = r"^\s*([-*•]|\d+[.)、]|[一二三四五六七八九十]+[、.])\s*\S"
-
 
 def inner_parts(text: Column) -> Column:
     """List lines or paragraphs of a chunk, whichever are more."""
-    lists = F.size(F.filter(F.split(text, "\n"), lambda x: F.regexp_like(x, F.lit(LIST_LINE))))
+    lists = F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike(LIST_ITEM)))
     paragraphs = F.size(F.filter(F.split(text, r"\n\s*\n"), lambda x: collapse(x) != ""))
     return F.greatest(lists, paragraphs)
 
@@ -60,12 +59,48 @@ def largest_remainder(groups: DataFrame, key: str, weight: str, total: int) -> D
     """``key`` and ``quota``: ``total`` shared in proportion to ``weight``, leftovers to the largest remainders.
 
     ``groups`` holds a row per group (an aggregate, not the data). Ties go to the smaller key. Null or
-    zero weights get nothing.
+    zero weights get nothing. Remainders are counted by bucket first, and rows ranked inside their bucket, so that many groups are many tasks.
     """
-    whole = Window.partitionBy(F.lit(0))
-    exact = F.coalesce(F.col(weight), F.lit(0)) * F.lit(total)
-    rows = groups.select(key, F.expr(f"coalesce({weight}, 0)").alias("__w"), exact.alias("__x")).withColumn("__s", F.sum("__w").over(whole)).where("__s > 0")
-    rows = rows.withColumns({"quota": F.floor(F.col("__x") / F.col("__s")), "__r": F.col("__x") % F.col("__s")})
-    spare = F.lit(total) - F.sum("quota").over(whole)
-    order = whole.orderBy(F.desc("__r"), F.asc_nulls_last(key))
-    return rows.withColumns({"__spare": spare, "__k": F.row_number().over(order)}).select(key, (F.col("quota") + (F.col("__k") <= F.col("__spare")).cast("int")).cast("long").alias("quota"))
+    rows = groups.select(F.col(key).alias("k"), F.coalesce(F.col(weight), F.lit(0)).alias("w"))
+    sums = rows.agg(F.sum("w").alias("s")).where("s > 0")  # one row
+    exact = F.col("w") * F.lit(total)
+    rows = rows.join(F.broadcast(sums)).select("k", F.floor(exact / F.col("s")).cast("long").alias("base"), (exact % F.col("s")).alias("r"), "s")
+    rows = rows.withColumn("b", F.floor(F.col("r") * 1024 / F.col("s")))
+    spare = rows.agg((F.lit(total) - F.sum("base")).alias("spare"))  # one row
+    counts = rows.groupBy("b").agg(F.count("*").alias("n"))  # 1024 rows at most
+    above = Window.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("b", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("above"))
+    place = F.col("above") + F.row_number().over(Window.partitionBy("b").orderBy(F.desc("r"), F.asc_nulls_last("k")))
+    out = rows.join(F.broadcast(counts), "b").join(F.broadcast(spare)).withColumn("place", place)
+    return out.select(F.col("k").alias(key), (F.col("base") + (F.col("place") <= F.col("spare")).cast("int")).cast("long").alias("quota"))
+
+
+def typed_plan(quotas: DataFrame, key: str, seed: str = "plan") -> DataFrame:
+    """A slot for each granted share: ``slot`` (from 1), ``key``; in an order shuffled by a hash of the seed. ``quotas`` as :func:`largest_remainder` returns them."""
+    each = quotas.where("quota > 0").select(key, F.explode(F.sequence(F.lit(1).cast("long"), F.col("quota"))).alias("i"))
+    return each.select(F.row_number().over(Window.orderBy(F.md5(F.concat_ws("/", F.lit(seed), key, F.col("i").cast("string"))))).cast("long").alias("slot"), key)
+
+
+def match_plan(plan: DataFrame, items: DataFrame, key: str, order: str) -> DataFrame:
+    """``items`` with the ``slot`` they fill: the n-th item of a type takes the n-th slot of that type; items and slots left over are dropped."""
+    nth = lambda rows, by: rows.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(by)))
+    return nth(items, order).join(nth(plan, "slot"), [key, "nth"]).drop("nth")
+
+
+def batch_limits(files: DataFrame, key: str, total: int) -> DataFrame:
+    """``files`` (one row each) with ``limit``: ``total`` in equal parts, the remainder one each to the first by ``key``."""
+    n = files.agg(F.count("*").alias("n"))  # one row
+    first = files.select(key).orderBy(key).limit(max(0, total)).withColumn("place", F.row_number().over(Window.orderBy(key)))
+    rows = files.join(first, key, "left").join(F.broadcast(n))
+    return rows.withColumn("limit", (F.floor(F.lit(total) / F.col("n")) + F.coalesce((F.col("place") <= F.lit(total) % F.col("n")).cast("int"), F.lit(0))).cast("long")).drop("place", "n")
+
+
+def unit_modes(units: DataFrame, mode: str = "auto") -> DataFrame:
+    """``units`` with ``mode``: as given, or for auto summary for sections and virtual parents and point for leaves."""
+    return units.withColumn("mode", F.when(F.col("unit_type") == "leaf", "point").otherwise("summary") if mode == "auto" else F.lit(mode))
+
+
+def plan_summary(units: DataFrame) -> DataFrame:
+    """``kind``, ``value``, ``n``: how many units there are of each unit_type and mode."""
+    rows = units.select(F.explode(F.create_map(F.lit("unit_type"), "unit_type", F.lit("mode"), "mode")).alias("kind", "value"))
+    return rows.groupBy("kind", "value").agg(F.count("*").alias("n"))

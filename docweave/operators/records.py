@@ -9,24 +9,74 @@ from pyspark.sql import functions as F
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """New values win, null new values keep the old one."""
+    """New values win, null new values keep the old one. Columns that only one side has are kept, null for the other's rows. Null keys meet nothing."""
     n = new.select(*[F.col(c).alias(c if c == key else f"__n_{c}") for c in new.columns])
     out = old.join(n, key, "full_outer")
-    return out.select(key, *[F.coalesce(f"__n_{c}", c).alias(c) for c in old.columns if c != key])
+    every = [*old.columns, *[c for c in new.columns if c not in old.columns]]
+    value = lambda c: F.coalesce(*[F.col(x) for x, there in ((f"__n_{c}", c in new.columns), (c, c in old.columns)) if there]).alias(c)
+    return out.select(key, *[value(c) for c in every if c != key])
 
 
 def replace_by_id(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    return old.join(new.select(key), key, "left_anti").unionByName(new)
+    """``old`` without the keys of ``new``, and ``new``; repeated keys of ``new`` stay repeated, null keys replace nothing."""
+    return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def patch(rows: DataFrame, key: str, ids: DataFrame, **values) -> DataFrame:
+    """``rows`` with the given values in the rows whose key is in ``ids``; all other rows and columns as they are."""
+    marked = rows.join(ids.select(key).distinct().withColumn("__hit", F.lit(True)), key, "left")
+    out = marked.withColumns({c: F.when(F.col("__hit"), v if isinstance(v, Column) else F.lit(v)).otherwise(F.col(c)) for c, v in values.items()})
+    return out.select(*rows.columns)
+
+
+def soft_delete(meta: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """``meta`` with the rows of ``ids`` inactive and their review status deleted; ids without a row get one."""
+    gone = ids.select(key).distinct().select(key, F.lit(False).alias("is_active"), F.lit("deleted").alias("review_status"))
+    return upsert(meta, gone, key)
+
+
+def hard_delete(rows: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is left without the ids, and what was taken out, to be kept as a backup."""
+    return rows.join(ids.select(key), key, "left_anti"), rows.join(ids.select(key), key, "left_semi")
 
 
 def with_defaults(rows: DataFrame, side: DataFrame, key: str, defaults: dict) -> DataFrame:
+    """``rows`` with the columns of ``side`` (unique keys), and the defaults where there is no row or a null."""
     return rows.join(side, key, "left").fillna(defaults)
 
 
 def conjunction(conditions: list[Column]) -> Column:
+    """All of the conditions; true for none."""
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 
 
+def filters(columns: dict[str, object], evaluated: Column | None = None) -> Column:
+    """Conjunction of conditions by column: a list is any of, a pair ("min", x) at least, a Boolean or value equal; None means any."""
+    made = []
+    for name, want in columns.items():
+        if want is None:
+            continue
+        c = F.col(name)
+        made.append(c.isin(*want) if isinstance(want, list) else c >= want[1] if isinstance(want, tuple) else c == F.lit(want))
+    return conjunction(made + ([] if evaluated is None else [evaluated]))
+
+
+def contains_anywhere(needle: str, *columns: str) -> Column:
+    """Whether any of the columns, read as one text, has the needle in any case; an empty needle is in every row."""
+    return F.contains(F.lower(F.concat_ws(" ", *columns)), F.lit(needle.lower()))
+
+
+def tri_state(column: str, state: str) -> Column:
+    """all, true or false of a Boolean column; a null counts as false."""
+    value = F.coalesce(F.col(column), F.lit(False))
+    return {"true": value, "false": ~value}.get(state.lower(), F.lit(True))
+
+
+def evaluated(method: str, scores: str) -> Column:
+    """Whether an item has an evaluation: a method, or scores other than an empty JSON value."""
+    return (F.coalesce(F.trim(method), F.lit("")) != "") | ~F.coalesce(F.trim(scores), F.lit("")).isin("", "{}", "null")
+
+
 def page(rows: DataFrame, number: int, size: int, newest: str, key: str, most: int = 200) -> DataFrame:
     """One page, newest first, then by key descending."""
     size, number = max(1, min(size, most)), max(1, number)
@@ -34,6 +84,7 @@ def page(rows: DataFrame, number: int, size: int, newest: str, key: str, most: i
 
 
 def top_per_key(rows: DataFrame, key: str, n: int, *order: Column) -> DataFrame:
+    """The first ``n`` rows of each key, the null key included; Spark cuts each task's rows to n before it shuffles."""
     ranked = rows.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
     return ranked.where(F.col("__r") <= n).drop("__r")
 
@@ -45,15 +96,32 @@ def latest(rows: DataFrame, key: str, *order: str) -> DataFrame:
 
 
 def in_ranges(number: Column, ranges: list[tuple[int, int]]) -> Column:
+    """Whether a number lies in one of the ranges, ends included; false for no range."""
     return reduce(lambda a, b: a | b, [number.between(a, b) for a, b in ranges], F.lit(False))
 
 
-def stats(rows: DataFrame, value: str, *keys: str) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.round(F.avg(value), 6).alias("mean"), F.round(F.percentile(value, F.lit(0.5)), 6).alias("p50"), F.max(value).alias("largest"), F.count("*").alias("n"))
+def stats(rows: DataFrame, value: str, *keys: str, exact: bool = True) -> DataFrame:
+    """mean, p50 (interpolated), largest and n (rows with a null included) by key.
+
+    The exact median holds a key's distinct values in one task; without ``exact`` it is approximate, in bounded memory.
+    """
+    half = F.percentile(value, F.lit(0.5)) if exact else F.percentile_approx(value, 0.5, 10_000).cast("double")
+    return rows.groupBy(*keys).agg(F.round(F.avg(value), 6).alias("mean"), F.round(half, 6).alias("p50"), F.max(value).alias("largest"), F.count("*").alias("n"))
+
+
+def numbered(rows: DataFrame, *order: str, name: str = "row") -> DataFrame:
+    """``rows`` with their number (from 1) in the order, over the whole table: ranges of a sort are counted, then numbered on their own."""
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    parts = dealt.withColumns({"__p": F.spark_partition_id(), "__i": F.monotonically_increasing_id()}).withColumn("__i", F.col("__i").bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = parts.groupBy("__p").agg(F.count("*").alias("__n"))  # a row for each partition
+    start = sizes.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__s"))
+    return parts.join(F.broadcast(start), "__p").withColumn(name, F.col("__s") + F.col("__i") + 1).drop("__p", "__i", "__s")
+
 
+def attribute_wall(intervals: DataFrame, key: str, start: str, stop: str, stage: str, width: int = 3600, gap: str | None = None) -> DataFrame:
+    """Time of each key that each stage is charged with: slices between boundaries, shared by the stages active in them.
 
-def attribute_wall(intervals: DataFrame, key: str, start: str, stop: str, stage: str, width: int = 3600) -> DataFrame:
-    """Seconds of each key that each stage is charged with: slices between boundaries, shared by the stages active in them.
+    ``gap`` names a stage that gets what is left of the time from a key's first start to its last stop. Times are whole numbers.
 
     Starts and stops are +1 and -1 of running sums; no slice meets an interval. Intervals are cut at the borders
     of windows of ``width`` seconds, which changes no share, so that a key with many rows is many groups.
@@ -75,4 +143,10 @@ def attribute_wall(intervals: DataFrame, key: str, start: str, stop: str, stage:
     cuts = cuts.withColumn("charge", F.coalesce(F.sum("share").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("decimal(38,18)"))
     spent = cuts.select("k", "charge", F.explode("stages").alias("x"))
     spent = spent.groupBy("k", "x.s").agg(F.sum(F.when(F.col("x.turn") < 0, F.col("charge")).otherwise(-F.col("charge"))).alias("seconds"))
-    return spent.select(F.col("k").alias(key), F.col("s").alias(stage), F.round(F.col("seconds").cast("double"), 6).alias("seconds"))
+    spent = spent.select("k", "s", F.round(F.col("seconds").cast("double"), 6).alias("seconds"))
+    if gap is not None:
+        whole = rows.groupBy("k").agg((F.max("b") - F.min("a")).cast("double").alias("whole"))
+        used = spent.groupBy("k").agg(F.sum("seconds").alias("used"))
+        rest = whole.join(used, "k").select("k", F.lit(gap).alias("s"), F.round(F.greatest(F.lit(0.0), F.col("whole") - F.col("used")), 3).alias("seconds"))
+        spent = spent.unionByName(rest)
+    return spent.select(F.col("k").alias(key), F.col("s").alias(stage), "seconds")

@@ -1,8 +1,8 @@
-"""Metrics of answers against references, quality of chunks, and rules."""
+"""Metrics of answers against references, quality of chunks, and stable splits."""
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,97 +11,111 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import IntegerType
 
-from ..functions.text import char_ngrams, collapse, jaccard, lexical_tokens
+from ..functions import signals as S
+from ..functions.text import anchor_form, collapse, given, grams, jaccard, metric_tokens, normalised, quality_tokens
 
 
-def normalised(text: Column) -> Column:
-    """Lower case, white space collapsed, only letters, digits, underscores and blanks kept (ASCII and Latin)."""
-    return F.regexp_replace(collapse(F.lower(text)), "[^a-z0-9_ À-ɏ]", "")
-
-
-def words(text: Column) -> Column:
-    return F.filter(F.split(normalised(text), " "), lambda x: x != "")
-
-
-def overlap_size(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two arrays."""
-    common = F.array_intersect(a, b)
-    times = lambda xs, w: F.size(F.filter(xs, lambda x: x == w))
-    return F.aggregate(common, F.lit(0), lambda s, w: s + F.least(times(a, w), times(b, w)))
+@pandas_udf(IntegerType())
+def overlap_size(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Size of the multiset intersection of two arrays, in time proportional to them."""
+    for a, b in pairs:
+        yield pd.Series([sum((Counter(x) & Counter(y)).values()) for x, y in zip(a, b, strict=True)], dtype="int32")
 
 
 def answer_scores(rows: DataFrame, answer: str, reference: str) -> DataFrame:
-    """exact, f1 and unigram bleu (hit rate x 100) on normalised words; two empty texts agree."""
-    rows = rows.withColumns({"__a": words(F.col(answer)), "__r": words(F.col(reference))})
-    rows = rows.withColumn("__o", overlap_size(F.col("__a"), F.col("__r")))
-    both = F.size("__a") + F.size("__r")
+    """``rows`` with exact, f1, bleu and missing_reference; a blank or null reference scores 0 with missing_reference 1.
+
+    exact and f1 compare normalised texts (two empty ones agree), bleu is the share of the answer's own tokens that
+    the reference has, times 100. Tokens are what stands between white space, or characters where there is none.
+    """
+    null_free = lambda c: F.coalesce(F.col(c), F.lit(""))
+    a, r = null_free(answer), null_free(reference)
+    rows = rows.withColumns({"__a": metric_tokens(normalised(a)), "__r": metric_tokens(normalised(r)), "__t": metric_tokens(a), "__s": metric_tokens(r)})
+    rows = rows.withColumn("__o", overlap_size("__a", "__r"))
+    both, missing = F.size("__a") + F.size("__r"), collapse(r) == ""
+    hits = F.size(F.filter("__t", lambda x: F.array_contains("__s", x)))
+    score = lambda c: F.when(missing, 0.0).otherwise(F.round(c, 6))
     return rows.withColumns(
         {
-            "exact": (normalised(F.col(answer)) == normalised(F.col(reference))).cast("int"),
-            "f1": F.when(both == 0, 1.0).otherwise(F.round(2 * F.col("__o") / both, 6)),
-            "bleu": F.when(F.size("__a") == 0, 0.0).otherwise(F.round(100 * F.col("__o") / F.size("__a"), 6)),
+            "exact": F.when(missing, 0).otherwise((normalised(a) == normalised(r)).cast("int")),
+            "f1": score(F.when(both == 0, 1.0).otherwise(2 * F.col("__o") / both)),
+            "bleu": score(F.when(F.size("__t") == 0, 0.0).otherwise(100 * hits / F.size("__t"))),
+            "missing_reference": missing.cast("int"),
         }
-    ).drop("__a", "__r", "__o")
+    ).drop("__a", "__r", "__t", "__s", "__o")
 
 
 def ngram_recall(needle: Column, hay: Column, n: int = 3) -> Column:
-    """Share of the needle's distinct n-grams that the hay contains; plain containment for shorter needles."""
-    grams = char_ngrams(needle, n)
-    found = F.size(F.filter(grams, lambda g: F.contains(hay, g)))
-    return F.when(F.size(grams) == 0, F.contains(hay, needle).cast("double")).otherwise(F.round(found / F.size(grams), 6))
+    """Share of the needle's n-grams, repeats counted, that the hay contains; containment for shorter needles; 0 for empty or null texts."""
+    every = grams(needle, n)
+    share = given(hay, lambda h: F.round(F.size(F.filter(every, lambda g: F.contains(h, g))) / F.size(every), 6))
+    empty = (F.coalesce(F.length(needle), F.lit(0)) == 0) | (F.coalesce(F.length(hay), F.lit(0)) == 0)
+    return F.when(empty, 0.0).when(F.size(every) == 0, F.contains(hay, needle).cast("double")).otherwise(share)
 
 
 def adjacent_similarity(chunks: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Largest token Jaccard with the chunk before or after."""
+    """``chunks`` with ``adjacent``, the largest Jaccard of quality tokens with the chunk before or after; 0 where there is none, or no token."""
     order = Window.partitionBy(id_col).orderBy("chunk_index")
-    rows = chunks.withColumn("__t", F.array_distinct(lexical_tokens(F.col("text"))))
+    rows = chunks.withColumn("__t", quality_tokens(F.col("text")))
     rows = rows.withColumns({"__p": F.lag("__t").over(order), "__n": F.lead("__t").over(order)})
     score = lambda c: F.coalesce(jaccard(F.col("__t"), F.col(c)), F.lit(0.0))
     return rows.withColumn("adjacent", F.round(F.greatest(score("__p"), score("__n")), 6)).drop("__t", "__p", "__n")
 
 
-def chunk_quality(chunks: DataFrame) -> DataFrame:
-    """Score in 0..1 from length, table look, repetition, noise and structure of the chunk, and a status."""
-    text = F.col("text")
-    size = F.length(text)
-    odd = F.length(F.regexp_replace(text, "[A-Za-z0-9À-ɏ\\s]", "")) / F.greatest(size, F.lit(1))
-    lists = F.regexp_like(text, F.lit(r"(^|\n)\s*([-*]|\d+[.)])\s"))
-    table = F.length(text) - F.length(F.replace(text, F.lit("|"), F.lit(""))) >= 6
-    minus = lambda c, v: F.when(c, v).otherwise(0.0)
-    score = 1.0 - minus((size < 80) & ~lists, 0.35) - minus(table, 0.25) - minus(F.col("adjacent") >= 0.84, 0.20) - minus((odd >= 0.48) & (size < 320), 0.15) + minus(lists, 0.10)
-    score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 6)
-    return chunks.withColumn("quality", score).withColumn("status", F.when(F.col("quality") < 0.3, "drop").when(F.col("quality") < 0.52, "context_only").otherwise("usable"))
-
-
-def coverage_recall(pairs: DataFrame, group: str, similarity: str) -> DataFrame:
-    """Mean over units of sqrt(s * F(s)), F the share of the group's similarities up to s (ties included)."""
-    whole = Window.partitionBy(group)
-    upto = whole.orderBy(similarity).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    s = F.greatest(F.col(similarity), F.lit(0.0))
-    rows = pairs.withColumn("p", F.sqrt(s * F.count("*").over(upto) / F.count("*").over(whole)))
-    return rows.groupBy(group).agg(F.round(F.avg("p"), 6).alias("recall"), F.count("*").alias("n"))
-
-
-def rule_score(text: Column, any_of: list[str], all_of: list[str], pattern: str) -> Column:
-    """0.5 for any of the terms, 0.3 for all of them, 0.2 for the pattern."""
-    low = F.lower(text)
-    has = [F.contains(low, F.lit(t)) for t in any_of]
-    every = [F.contains(low, F.lit(t)) for t in all_of]
-    one, whole = has[0], every[0]
-    for c in has[1:]:
-        one = one | c
-    for c in every[1:]:
-        whole = whole & c
-    value = lambda c, v: F.when(c, v).otherwise(0.0)
-    return F.round(value(one, 0.5) + value(whole, 0.3) + value(F.regexp_like(low, F.lit(pattern)), 0.2), 6)
+def chunk_quality(chunks: DataFrame, title: str | None = None) -> DataFrame:
+    """``chunks`` (text, adjacent) with quality in 0..1, status (usable, context_only, drop) and the reasons for marks taken off.
+
+    ``title`` names a column with title paths. Null texts count as empty and are dropped.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    path = F.coalesce(F.col(title), F.lit("")) if title else F.lit("")
+    rows = chunks.withColumns({"__t": text, "__path": path, "__clean": collapse(text)})
+    t, path, clean = F.col("__t"), F.col("__path"), F.col("__clean")
+    # what is used more than once is a column of its own, so that it is computed once
+    rows = rows.withColumns({"__facts": S.has_facts(t), "__lists": S.has_list(t), "__odd": S.symbol_share(t), "__structure": S.structure(t) | S.structure(path)})
+    rows = rows.withColumns({"__title": S.title_only(t, path), "__filler": S.placeholder(t), "__table": S.table_rows(t) & ~F.col("__facts")})
+    titled, size, copied = path != "", F.length(clean), F.col("adjacent")
+    facts, only_title, filler, table = (F.col(c) for c in ("__facts", "__title", "__filler", "__table"))
+    faults = [
+        ("short_without_structure", 0.35, (size < 80) & ~titled & ~F.col("__lists")), ("title_only", 0.30, only_title), ("table_fragment_without_fact_sentence", 0.25, table),
+        ("placeholder_without_qa_text", 0.25, filler), ("high_adjacent_duplicate", 0.20, copied >= 0.84), ("symbol_digit_ratio_abnormal", 0.15, (F.col("__odd") >= 0.48) & (size < 320)),
+    ]
+    score = F.lit(1.0)
+    for _, off, found in faults:
+        score = score - F.when(found, off).otherwise(0.0)
+    for more in (titled, F.col("__structure") | facts, copied.between(0.18, 0.72) & titled):
+        score = score + F.when(more, 0.10).otherwise(0.0)
+    rows = rows.withColumn("quality", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 6))
+    status = F.when((clean == "") | filler | (only_title & ~facts), "drop").when(table | (F.col("quality") < 0.52) | ((copied >= 0.90) & ~facts), "context_only").otherwise("usable")
+    reasons = F.array_compact(F.array(*[F.when(found, name) for name, _, found in faults]))
+    return rows.withColumns({"status": status, "reasons": reasons}).drop("__t", "__path", "__clean", "__facts", "__lists", "__odd", "__structure", "__title", "__filler", "__table")
 
 
 def split_of(key: Column, shares: tuple[float, float] = (0.8, 0.1), seed: str = "split") -> Column:
-    """train, dev or test by a hash of the key: stable under growth and order."""
+    """train, dev or test by a hash of the key: stable under growth and order. Null for a null key."""
     h = F.conv(F.substring(F.sha1(F.concat(F.lit(seed), key.cast("string")).cast("binary")), 1, 6), 16, 10).cast("double") / (1 << 24)
     return F.when(h < shares[0], "train").when(h < shares[0] + shares[1], "dev").otherwise("test")
 
 
+def stratified_split(rows: DataFrame, key: str, label: str, dev: float = 0.1, test: float = 0.1, least: int = 1, seed: str = "split") -> DataFrame:
+    """``rows`` with ``split``: of each label the first by hash are test, then dev, the rest train; null labels train.
+
+    A label of n distinct keys gives each part ``floor(n * share)`` of them, but ``least`` where it has enough to leave one for
+    training. Rows of one key stay together. Ranks come from counts of hash buckets, so a label with a third of all rows is many groups.
+    """
+    h = F.md5(F.concat(F.lit(seed), F.col(key).cast("string")).cast("binary"))
+    keys = rows.select(F.col(label).alias("l"), F.col(key).alias("k"), h.alias("h")).distinct().withColumn("b", F.substring("h", 1, 3))
+    buckets = keys.groupBy("l", "b").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("l").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # at most 4096 rows a label
+    buckets = buckets.select("l", "b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"), F.sum("n").over(Window.partitionBy("l")).alias("total"))
+    joined = keys.join(buckets, ["b", "l"])
+    place = F.col("start") + F.row_number().over(Window.partitionBy("l", "b").orderBy("h", "k"))
+    share = lambda s: F.greatest(F.floor(F.col("total") * s), F.when(F.col("total") > 2 * least, least).otherwise(0))
+    part = F.when(F.col("p") <= share(test), "test").when(F.col("p") <= share(test) + share(dev), "dev").otherwise("train")
+    parts = joined.withColumn("p", place).select(F.col("k").alias(key), F.col("l").alias(label), part.alias("split"))
+    return rows.join(parts, [key, label], "left").withColumn("split", F.coalesce("split", F.lit("train")))
+
+
 def common_subsequence(a: list[str], b: list[str]) -> int:
     """Length of the longest common subsequence, by bits: one addition of a number of len(a) bits for each word of b."""
     places: dict[str, int] = defaultdict(int)
@@ -120,18 +134,61 @@ def _common(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]
         yield pd.Series([common_subsequence(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="int32")
 
 
+def common_run(a: list[str], b: list[str]) -> int:
+    """Length of the longest run of tokens that both lists have, by growing run lengths of earlier matches."""
+    places: dict[str, list[int]] = defaultdict(list)
+    for j, w in enumerate(b):
+        places[w].append(j)
+    best, before = 0, {}
+    for w in a:
+        here = {j: before.get(j - 1, 0) + 1 for j in places.get(w, ())}
+        best = max(best, max(here.values(), default=0))
+        before = here
+    return best
+
+
+@pandas_udf(IntegerType())
+def _run(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for a, b in pairs:
+        yield pd.Series([common_run(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="int32")
+
+
 def rouge_l(rows: DataFrame, answer: str, reference: str) -> DataFrame:
-    """``rows`` with ``rouge_l``: F1 of the longest common subsequence of lower-cased words; two empty texts agree, null is empty."""
-    tokens = lambda c: F.filter(F.split(collapse(F.lower(F.coalesce(F.col(c), F.lit("")))), " "), lambda x: x != "")
-    rows = rows.withColumns({"__a": tokens(answer), "__r": tokens(reference)})
+    """``rows`` with ``rouge_l``: F1 of the longest common subsequence of tokens as they are; two empty texts agree, null is empty."""
+    rows = rows.withColumns({"__a": metric_tokens(F.col(answer)), "__r": metric_tokens(F.col(reference))})
     rows = rows.withColumn("__l", _common("__a", "__r"))
     both = F.size("__a") + F.size("__r")
     return rows.withColumn("rouge_l", F.when(both == 0, 1.0).otherwise(F.round(2 * F.col("__l") / both, 6))).drop("__a", "__r", "__l")
 
 
+def reading_tokens(text: Column) -> Column:
+    """Single CJK characters, and runs of other characters between white space and marks, in lower case; "=" is a token too."""
+    low = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\p{P}\p{S}&&[^=]]+", " ")
+    return F.regexp_extract_all(low, F.lit(r"([一-鿿]|=|[\p{L}\p{N}&&[^一-鿿]]+)"), F.lit(1))
+
+
+def reading_scores(rows: DataFrame, key: str, answer: str, references: str) -> DataFrame:
+    """``key``, ``f1``, ``em`` (both in 0..100): the best over the array of ``references``, by the longest common run of tokens and by equality.
+
+    Rows with no reference score 0. ``key`` is unique.
+    """
+    pairs = rows.select(F.col(key).alias("k"), reading_tokens(F.col(answer)).alias("a"), F.explode_outer(references).alias("ref"))
+    pairs = pairs.withColumn("r", reading_tokens(F.col("ref"))).withColumn("n", _run("a", "r"))
+    both = F.size("a") + F.size("r")
+    f1 = F.when(F.col("ref").isNull() | (F.col("n") == 0), 0.0).otherwise(200 * F.col("n") / both)
+    em = F.when(F.col("ref").isNotNull() & (F.col("a") == F.col("r")), 100.0).otherwise(0.0)
+    return pairs.groupBy(F.col("k").alias(key)).agg(F.round(F.max(f1), 6).alias("f1"), F.max(em).alias("em"))
+
+
 def lexical_anchor(unit: Column, answer: Column) -> Column:
-    """1 where the unit contains the answer, else the share of the answer's character bigrams, repeats counted, that the unit has; 0 for empty or null texts."""
-    u, a = F.regexp_replace(F.lower(unit), "[^a-z0-9]", ""), F.regexp_replace(F.lower(answer), "[^a-z0-9]", "")
-    grams = F.when(F.length(a) >= 2, F.transform(F.sequence(F.lit(1), F.length(a) - 1), lambda i: F.substring(a, i, F.lit(2))))
-    share = F.round(F.size(F.filter(grams, lambda g: F.contains(u, g))) / F.size(grams), 6)
-    return F.when((F.coalesce(F.length(u), F.lit(0)) == 0) | (F.coalesce(F.length(a), F.lit(0)) == 0), 0.0).when(F.contains(u, a), 1.0).when(grams.isNull(), 0.0).otherwise(share)
+    """1 where the unit contains the answer, else the share of the answer's character bigrams, repeats counted, that are bigrams of the unit.
+
+    Both as ASCII letters, digits and CJK. 0 for empty or null texts; a single character is its own bigram.
+    """
+    whole = lambda t: F.when(F.length(t) <= 2, F.array(t)).otherwise(grams(t, 2))
+
+    def score(u: Column, a: Column) -> Column:
+        share = given(whole(a), lambda mine: F.round(F.size(F.filter(mine, lambda g: F.contains(u, g))) / F.size(mine), 6))  # two characters are a bigram where they stand
+        return F.when((F.length(u) == 0) | (F.length(a) == 0), 0.0).when(F.contains(u, a), 1.0).otherwise(share)
+
+    return given(F.struct(anchor_form(unit).alias("u"), anchor_form(answer).alias("a")), lambda x: score(x["u"], x["a"]))

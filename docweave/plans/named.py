@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import chunking, grounding, language_model, planning, records, retrieval, scoring
 from ..sources.readers import links, row_ranges, table
+from .sql import FIXED as _FIXED
+from .sql import PAIRS as _PAIRS
+from .sql import chunk_faults, collapse_sql, metric_tokens_sql, normalised_sql, quality_tokens_sql, sentences_sql, tokens_sql
 from ..streaming.status import live_until, windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-_TOK = "regexp_extract_all(lower(text), '[a-z0-9_]{2,}')"
-_FIXED = "SELECT doc_id, (i // {n}) AS chunk_index, substr(text, i + 1, {n}) AS text FROM (SELECT doc_id, text, unnest(range(0, length(text), {n})) AS i FROM documents WHERE length(text) > 0)"
-_NORM = "regexp_replace(trim(regexp_replace(lower({c}), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), '[^a-z0-9_ À-ɏ]', '', 'g')"
-_SENT = "list_filter(list_transform(regexp_extract_all(text, '[^.!?;]+[.!?;]*'), lambda x: trim(regexp_replace(x, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))), lambda x: length(x) >= {n})"
+_TOK = tokens_sql("text")
 
 
 def named(sql: str):
@@ -30,6 +30,12 @@ def named(sql: str):
     return keep
 
 
+def unchecked(f):
+    """A query that SQL can't express; its tests hold it against plain Python."""
+    QUERIES[f.__name__] = f
+    return f
+
+
 # ---- documents to chunks
 
 
@@ -62,7 +68,7 @@ def noise_lines(spark, d):
     return chunking.noise_lines(table(spark, d, "documents"))
 
 
-@named(f"SELECT doc_id, length(text) AS n_chars, len({_SENT.format(n=10)}) AS n_sentences FROM documents")
+@named(f"SELECT doc_id, length(text) AS n_chars, len({sentences_sql('text', 10)}) AS n_sentences FROM documents")
 def sentence_counts(spark, d):
     docs = table(spark, d, "documents")
     return docs.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.size(T.sentences(F.col("text"), 10)).cast("long").alias("n_sentences"))
@@ -115,10 +121,10 @@ def link_extract(spark, d):
     t AS (SELECT chunk_id, unnest(list_distinct({_TOK})) AS token FROM k), n AS (SELECT count(*) AS n FROM k),
     w AS (SELECT token, ln((any_value(n) + 1) / (count(*) + 0.5)) + 1 AS idf FROM t, n WHERE token IN ('the', 'ing', 'license') GROUP BY token),
     q AS (SELECT token, coalesce(idf, 1.0) AS idf FROM (SELECT unnest(['the', 'ing', 'license']) AS token) LEFT JOIN w USING (token))
-    SELECT chunk_id, round(sum(idf) / (SELECT sum(idf) FROM q), 6) AS score FROM t JOIN q USING (token) GROUP BY chunk_id ORDER BY score DESC, chunk_id LIMIT 3""")
+    SELECT chunk_id, round(0.75 * sum(idf) / (SELECT sum(idf) FROM q), 6) AS score FROM t JOIN q USING (token) GROUP BY chunk_id ORDER BY score DESC, chunk_id LIMIT 3""")
 def lexical_top_chunks(spark, d):
     chunks = chunking.fixed(table(spark, d, "documents"), 600).select((F.col("doc_id") * 100000 + F.col("chunk_index")).alias("chunk_id"), "text")
-    return retrieval.top_k(retrieval.lexical_scores(chunks, "the ing license", "chunk_id"), 3, tie="chunk_id")
+    return retrieval.top_k(retrieval.lexical_scores(chunks, "the ing license", id_col="chunk_id"), 3, tie="chunk_id")
 
 
 @named(f"""WITH t AS (SELECT doc_id, {_TOK} AS tokens FROM documents), s AS (SELECT count(*) AS n, avg(len(tokens)) AS m FROM t),
@@ -146,7 +152,7 @@ _BEST = "SELECT * FROM (SELECT query_id, {i}, score, row_number() OVER (PARTITIO
     t AS (SELECT chunk_id, unnest(list_distinct({_TOK})) AS token FROM k), n AS (SELECT count(*) AS n FROM k),
     w AS (SELECT token, ln((any_value(n) + 1) / (count(*) + 0.5)) + 1 AS idf FROM t, n GROUP BY token),
     q AS (SELECT chunk_id AS query_id, token, idf FROM t JOIN w USING (token) WHERE chunk_id % 50 = 0), z AS (SELECT query_id, sum(idf) AS total FROM q GROUP BY 1),
-    s AS (SELECT query_id, chunk_id, round(sum(idf) / any_value(total), 6) AS score FROM t JOIN q USING (token) JOIN z USING (query_id) GROUP BY ALL)
+    s AS (SELECT query_id, chunk_id, round(0.75 * sum(idf) / any_value(total), 6) AS score FROM t JOIN q USING (token) JOIN z USING (query_id) GROUP BY ALL)
     {_BEST.format(i="chunk_id", k=3)}""")
 def lexical_top_chunks_all(spark, d):
     chunks = chunking.fixed(table(spark, d, "documents"), 600).select((F.col("doc_id") * 100000 + F.col("chunk_index")).alias("chunk_id"), "text")
@@ -183,47 +189,28 @@ def nearest_other_centroid(spark, d):
     return p.groupBy("label").agg(F.max_by("other", "c").alias("nearest"), F.round(F.max("c"), 6).alias("cosine"))
 
 
-@named("""WITH s AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS dense, abs(CAST(embedding[2] AS DOUBLE)) AS lexical, CAST(label = 1 AS INT) AS structure FROM embeddings),
-    p AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY dense DESC, vec_id) AS a, row_number() OVER (ORDER BY lexical DESC, vec_id) AS b FROM s) WHERE a <= 12 OR b <= 12),
-    f AS (SELECT vec_id, round(0.68 / (0.68 + 0.24) * (dense + 1) / 2 + 0.24 / (0.68 + 0.24) * lexical + 0.08 * structure, 6) AS fused FROM p)
-    SELECT vec_id, fused, row_number() OVER (ORDER BY fused DESC, vec_id) AS rank FROM f""")
-def hybrid_rank_topk(spark, d):
-    e = table(spark, d, "embeddings")
-    rows = e.select("vec_id", F.col("embedding")[0].cast("double").alias("dense"), F.abs(F.col("embedding")[1].cast("double")).alias("lexical"), (F.col("label") == 1).cast("int").alias("structure"))
-    return retrieval.fused_ranks(rows, "dense", "lexical", "structure", "vec_id").select("vec_id", "fused", F.col("rank").cast("long").alias("rank"))
-
-
 # ---- quality of chunks
 
-_LISTS = r"regexp_matches(text, '(^|\n)\s*([-*]|\d+[.)])\s')"
-_ADJ = f"""WITH c AS ({_FIXED.format(n=600)}), t AS (SELECT *, list_distinct({_TOK}) AS t FROM c),
+_ADJ = f"""WITH c AS ({_FIXED.format(n=600)}), t AS (SELECT *, {quality_tokens_sql("text")} AS t FROM c),
     l AS (SELECT *, lag(t) OVER w AS p, lead(t) OVER w AS q FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_index)),
     j AS (SELECT doc_id, chunk_index, text, round(greatest(
       coalesce(CASE WHEN len(list_distinct(list_concat(t, p))) = 0 THEN 0 ELSE len(list_intersect(t, p)) / len(list_distinct(list_concat(t, p))) END, 0),
-      coalesce(CASE WHEN len(list_distinct(list_concat(t, q))) = 0 THEN 0 ELSE len(list_intersect(t, q)) / len(list_distinct(list_concat(t, q))) END, 0)), 6) AS adjacent,
-      p IS NULL AS no_p, q IS NULL AS no_q FROM l)"""
+      coalesce(CASE WHEN len(list_distinct(list_concat(t, q))) = 0 THEN 0 ELSE len(list_intersect(t, q)) / len(list_distinct(list_concat(t, q))) END, 0)), 6) AS similar_, p, q FROM l),
+    a AS (SELECT doc_id, chunk_index, text, CASE WHEN p IS NULL AND q IS NULL THEN 0 ELSE similar_ END AS adjacent FROM j)"""
 
 
-@named(f"{_ADJ} SELECT doc_id, chunk_index, CASE WHEN no_p AND no_q THEN 0 ELSE adjacent END AS adjacent FROM j")
+@named(f"{_ADJ} SELECT doc_id, chunk_index, adjacent FROM a")
 def adjacent_jaccard(spark, d):
     return scoring.adjacent_similarity(chunking.fixed(table(spark, d, "documents"), 600)).select("doc_id", "chunk_index", "adjacent")
 
 
-@named(f"""{_ADJ}, s AS (SELECT doc_id, chunk_index, round(greatest(0, least(1, CAST(1.0 AS DOUBLE)
-      - CASE WHEN length(text) < 80 AND NOT {_LISTS} THEN CAST(0.35 AS DOUBLE) ELSE 0 END - CASE WHEN length(text) - length(replace(text, '|', '')) >= 6 THEN CAST(0.25 AS DOUBLE) ELSE 0 END
-      - CASE WHEN adjacent >= 0.84 THEN CAST(0.20 AS DOUBLE) ELSE 0 END
-      - CASE WHEN length(regexp_replace(text, '[A-Za-z0-9À-ɏ\\s]', '', 'g')) / greatest(length(text), 1) >= 0.48 AND length(text) < 320 THEN CAST(0.15 AS DOUBLE) ELSE 0 END
-      + CASE WHEN {_LISTS} THEN CAST(0.10 AS DOUBLE) ELSE 0 END)), 6) AS quality FROM j)
-    SELECT doc_id, chunk_index, quality, CASE WHEN quality < 0.3 THEN 'drop' WHEN quality < 0.52 THEN 'context_only' ELSE 'usable' END AS status FROM s""")
+@named(f"{_ADJ}, {chunk_faults()} SELECT doc_id, chunk_index, quality, status FROM s")
 def chunk_quality(spark, d):
     return scoring.chunk_quality(scoring.adjacent_similarity(chunking.fixed(table(spark, d, "documents"), 600))).select("doc_id", "chunk_index", "quality", "status")
 
 
 # ---- questions and answers
 
-_PAIRS = "SELECT conv_id, turn, text AS question, nr AS role2, nt AS answer FROM (SELECT *, lead(role) OVER w AS nr, lead(text) OVER w AS nt FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)) WHERE role = 'user' AND nr = 'assistant'"
-
-
 def _pairs(spark, d) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = table(spark, d, "conversations").withColumns({"nr": F.lead("role").over(w), "nt": F.lead("text").over(w)})
@@ -240,36 +227,23 @@ def qa_dedup_exact(spark, d):
     return _pairs(spark, d).groupBy("question", "answer").agg(F.min("conv_id").alias("first_conv"), F.count("*").alias("n"))
 
 
-@named(f"""WITH p AS (SELECT conv_id, turn, {_NORM.format(c='answer')} AS na, {_NORM.format(c='question')} AS nq FROM ({_PAIRS})),
-    w AS (SELECT conv_id, turn, na, nq, list_filter(string_split(na, ' '), lambda x: x <> '') AS a, list_filter(string_split(nq, ' '), lambda x: x <> '') AS r FROM p),
+@named(f"""WITH w AS (SELECT conv_id, turn, {collapse_sql("question")} = '' AS missing, {normalised_sql("answer")} = {normalised_sql("question")} AS same, {metric_tokens_sql(normalised_sql("answer"))} AS a,
+      {metric_tokens_sql(normalised_sql("question"))} AS r, {metric_tokens_sql("answer")} AS t, {metric_tokens_sql("question")} AS s FROM ({_PAIRS})),
     o AS (SELECT *, coalesce(list_sum(list_transform(list_distinct(list_intersect(a, r)), lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(r, lambda y: y = x))))), 0) AS o FROM w)
-    SELECT conv_id, turn, CAST(na = nq AS INT) AS exact, CASE WHEN len(a) + len(r) = 0 THEN 1.0 ELSE round(2 * o / (len(a) + len(r)), 6) END AS f1,
-    CASE WHEN len(a) = 0 THEN 0.0 ELSE round(100 * o / len(a), 6) END AS bleu FROM o""")
+    SELECT conv_id, turn, CASE WHEN missing THEN 0 ELSE CAST(same AS INT) END AS exact, CASE WHEN missing THEN 0 WHEN len(a) + len(r) = 0 THEN 1.0 ELSE round(2 * o / (len(a) + len(r)), 6) END AS f1,
+    CASE WHEN missing OR len(t) = 0 THEN 0.0 ELSE round(100 * len(list_filter(t, lambda x: list_contains(s, x))) / len(t), 6) END AS bleu, CAST(missing AS INT) AS missing_reference FROM o""")
 def em_f1_bleu(spark, d):
-    return scoring.answer_scores(_pairs(spark, d), "answer", "question").select("conv_id", "turn", "exact", "f1", "bleu")
+    return scoring.answer_scores(_pairs(spark, d), "answer", "question").select("conv_id", "turn", "exact", "f1", "bleu", "missing_reference")
 
 
 @named(f"""WITH p AS (SELECT conv_id, turn, lower(question) AS q, lower(answer) AS a FROM ({_PAIRS})),
-    g AS (SELECT conv_id, turn, q, a, CASE WHEN length(q) >= 3 THEN list_distinct(list_transform(range(1, length(q) - 1), lambda i: substr(q, i, 3))) ELSE [] END AS g FROM p)
-    SELECT conv_id, turn, CASE WHEN len(g) = 0 THEN CAST(contains(a, q) AS DOUBLE) ELSE round(len(list_filter(g, lambda x: contains(a, x))) / len(g), 6) END AS recall FROM g""")
+    g AS (SELECT conv_id, turn, q, a, list_transform(range(1, greatest(length(q) - 1, 1)), lambda i: substr(q, i, 3)) AS g FROM p)
+    SELECT conv_id, turn, CASE WHEN coalesce(length(q), 0) = 0 OR coalesce(length(a), 0) = 0 THEN 0.0 WHEN len(g) = 0 THEN CAST(contains(a, q) AS DOUBLE)
+      ELSE round(len(list_filter(g, lambda x: contains(a, x))) / len(g), 6) END AS recall FROM g""")
 def ngram_recall(spark, d):
     return _pairs(spark, d).select("conv_id", "turn", scoring.ngram_recall(F.lower("question"), F.lower("answer")).alias("recall"))
 
 
-@named("""WITH s AS (SELECT label, greatest(CAST(embedding[1] AS DOUBLE), 0) AS s, CAST(embedding[1] AS DOUBLE) AS raw FROM embeddings),
-    p AS (SELECT label, sqrt(s * count(*) OVER (PARTITION BY label ORDER BY raw RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / count(*) OVER (PARTITION BY label)) AS p FROM s)
-    SELECT label, round(avg(p), 6) AS recall, count(*) AS n FROM p GROUP BY label""")
-def coverage_recall(spark, d):
-    return scoring.coverage_recall(table(spark, d, "embeddings").select("label", F.col("embedding")[0].cast("double").alias("s")), "label", "s")
-
-
-@named("""WITH g AS (SELECT source, avg(quality) AS q, avg(toxic) AS t FROM labels JOIN documents USING (doc_id) GROUP BY source)
-    SELECT round(avg(q), 6) AS macro_quality, round(avg(t), 6) AS macro_toxic, count(*) AS n_groups FROM g""")
-def suite_macro_means(spark, d):
-    g = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "source"), "doc_id").groupBy("source").agg(F.avg("quality").alias("q"), F.avg("toxic").alias("t"))
-    return g.agg(F.round(F.avg("q"), 6).alias("macro_quality"), F.round(F.avg("t"), 6).alias("macro_toxic"), F.count("*").alias("n_groups"))
-
-
 @named("SELECT CAST(0.5 AS DOUBLE) AS threshold, count(*) AS original, CAST(count_if(quality >= 0.5) AS BIGINT) AS filtered, CAST(count(*) - count_if(quality >= 0.5) AS BIGINT) AS removed FROM labels")
 def threshold_filter_info(spark, d):
     kept = F.count_if(F.col("quality") >= 0.5)
@@ -279,21 +253,16 @@ def threshold_filter_info(spark, d):
 # ---- rules and classification
 
 
-@named("""SELECT doc_id, CAST(round(CASE WHEN contains(lower(text), 'license') OR contains(lower(text), 'copyright') THEN 0.5 ELSE 0 END
-    + CASE WHEN contains(lower(text), 'released') AND contains(lower(text), 'mit') THEN 0.3 ELSE 0 END + CASE WHEN regexp_matches(lower(text), 'version [0-9]') THEN 0.2 ELSE 0 END, 6) AS DOUBLE) AS score FROM documents""")
-def rule_scores(spark, d):
-    return table(spark, d, "documents").select("doc_id", scoring.rule_score(F.col("text"), ["license", "copyright"], ["released", "mit"], "version [0-9]").alias("score"))
-
-
 @named("SELECT quality, toxic, count(*) AS n FROM labels GROUP BY ALL")
 def label_confusion(spark, d):
     return table(spark, d, "labels").groupBy("quality", "toxic").agg(F.count("*").alias("n"))
 
 
-@named("""WITH h AS (SELECT doc_id, lang, CAST('0x' || substr(sha1('split' || doc_id), 1, 6) AS BIGINT) / 16777216 AS h FROM documents)
-    SELECT lang, CASE WHEN h < 0.8 THEN 'train' WHEN h < 0.9 THEN 'dev' ELSE 'test' END AS split, count(*) AS n FROM h GROUP BY ALL""")
+@named("""WITH h AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('split' || doc_id), doc_id) AS p, count(*) OVER (PARTITION BY lang) AS n FROM documents),
+    z AS (SELECT *, greatest(CAST(floor(n * CAST(0.1 AS DOUBLE)) AS BIGINT), CASE WHEN n > 2 THEN 1 ELSE 0 END) AS k FROM h)
+    SELECT doc_id, lang, CASE WHEN p <= k THEN 'test' WHEN p <= 2 * k THEN 'dev' ELSE 'train' END AS split FROM z""")
 def stratified_split(spark, d):
-    return table(spark, d, "documents").select("lang", scoring.split_of(F.col("doc_id")).alias("split")).groupBy("lang", "split").agg(F.count("*").alias("n"))
+    return scoring.stratified_split(table(spark, d, "documents").select("doc_id", "lang"), "doc_id", "lang")
 
 
 # ---- records
@@ -379,46 +348,45 @@ def event_window_counts(spark, d):
     return windowed_counts(table(spark, d, "events"))
 
 
-_WALL = """WITH i AS (SELECT user_id, event_type AS stage, epoch(date_trunc('second', ts)) AS a, epoch(date_trunc('second', ts)) + 60 + CAST(floor(abs(value)) AS INT) % 600 AS b FROM events),
+_WALL = """WITH i AS (SELECT user_id, event_type AS stage, epoch_us(ts) AS a, epoch_us(ts) + 60000000 + CAST(floor(abs(value)) AS BIGINT) % 600 * 1000000 AS b FROM events),
     c AS (SELECT DISTINCT user_id, unnest([a, b]) AS x FROM i), s AS (SELECT user_id, x, lead(x) OVER (PARTITION BY user_id ORDER BY x) AS y FROM c),
     t AS (SELECT DISTINCT s.user_id, x, y, stage FROM s JOIN i ON s.user_id = i.user_id AND a <= x AND b >= y WHERE y IS NOT NULL),
-    n AS (SELECT *, count(*) OVER (PARTITION BY user_id, x) AS n FROM t)
-    SELECT user_id, stage, round(sum((y - x) / n), 6) AS seconds FROM n GROUP BY ALL"""
+    n AS (SELECT *, count(*) OVER (PARTITION BY user_id, x) AS n FROM t),
+    w AS (SELECT user_id, stage, round(sum((y - x) / n) / 1000000, 4) AS seconds FROM n GROUP BY ALL)"""
 
 
-def _wall(events: DataFrame) -> DataFrame:
-    start = F.unix_timestamp("ts")
-    rows = events.select("user_id", F.col("event_type").alias("stage"), start.alias("a"), (start + 60 + F.floor(F.abs("value")).cast("int") % 600).alias("b"))
-    return records.attribute_wall(rows, "user_id", "a", "b", "stage")
+def _wall(events: DataFrame, gap: str | None = None) -> DataFrame:
+    start = F.expr("timestampdiff(MICROSECOND, timestamp_ntz '1970-01-01 00:00:00', ts)")
+    rows = events.select("user_id", F.col("event_type").alias("stage"), start.alias("a"), (start + 60_000_000 + F.floor(F.abs("value")) % 600 * 1_000_000).alias("b"))
+    spent = records.attribute_wall(rows, "user_id", "a", "b", "stage", 3600 * 1_000_000, gap)
+    return spent.select("user_id", "stage", F.round(F.col("seconds") / 1_000_000, 4).alias("seconds"))
 
 
-@named(_WALL)
+@named(f"{_WALL} SELECT * FROM w")
 def wall_interval_attribution_all(spark, d):
     return _wall(table(spark, d, "events"))
 
 
-@named("""WITH i AS (SELECT user_id, event_type AS stage, epoch(date_trunc('second', ts)) AS a, epoch(date_trunc('second', ts)) + 60 + CAST(floor(abs(value)) AS INT) % 600 AS b FROM events WHERE event_id % 10 = 0),
-    c AS (SELECT DISTINCT user_id, unnest([a, b]) AS x FROM i), s AS (SELECT user_id, x, lead(x) OVER (PARTITION BY user_id ORDER BY x) AS y FROM c),
-    t AS (SELECT DISTINCT s.user_id, x, y, stage FROM s JOIN i ON s.user_id = i.user_id AND a <= x AND b >= y WHERE y IS NOT NULL),
-    n AS (SELECT *, count(*) OVER (PARTITION BY user_id, x) AS n FROM t)
-    SELECT user_id, stage, round(sum((y - x) / n), 6) AS seconds FROM n GROUP BY ALL""")
+@named(f"""{_WALL}, g AS (SELECT user_id, (max(b) - min(a)) / 1000000 AS whole FROM i GROUP BY 1), u AS (SELECT user_id, sum((y - x) / n) / 1000000 AS used FROM n GROUP BY 1)
+    SELECT * FROM w UNION ALL SELECT user_id, 'gap', round(greatest(0, whole - used), 4) FROM g JOIN u USING (user_id)""")
 def wall_interval_attribution(spark, d):
-    """One event in ten, as its SQL has it; wall_interval_attribution_all attributes every event."""
-    return _wall(table(spark, d, "events").where("event_id % 10 = 0"))
+    """Every event's time, and what no stage accounts for."""
+    return _wall(table(spark, d, "events"), "gap")
 
 
-@named("""SELECT n_name, r_name, 'root/' || r_name || '/' || n_name AS path, count(c_custkey) AS n_customers FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL""")
+@named(f"""WITH c AS ({_FIXED.format(n=600)}), p AS (SELECT doc_id, chunk_index, CAST(chunk_index // 8 + 1 AS VARCHAR) AS a, CAST(chunk_index // 2 % 4 + 1 AS VARCHAR) AS b, 'Part ' || (chunk_index // 8) AS ta, 'Section ' || (chunk_index // 2) AS tb FROM c),
+    n AS (SELECT doc_id, chunk_index, a AS node, '' AS parent, 1 AS depth, ta AS title FROM p UNION ALL SELECT doc_id, chunk_index, a || '/' || b, a, 2, tb FROM p)
+    SELECT doc_id, node, parent, CAST(depth AS BIGINT) AS depth, title, count(*) AS n_leaves, min(chunk_index) AS first_chunk FROM n GROUP BY ALL""")
 def tree_paths(spark, d):
-    n = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    c = table(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n_customers"))
-    rows = n.join(c, F.col("n_nationkey") == F.col("c_nationkey"), "left")
-    return rows.select("n_name", "r_name", F.concat_ws("/", F.lit("root"), "r_name", "n_name").alias("path"), F.coalesce("n_customers", F.lit(0)).alias("n_customers"))
+    chunks = chunking.fixed(table(spark, d, "documents"), 600)
+    path = F.concat(F.lit("Part "), F.floor(F.col("chunk_index") / 8).cast("string"), F.lit(" > Section "), F.floor(F.col("chunk_index") / 2).cast("string"))
+    return chunking.document_tree(chunking.index_paths(chunks.withColumn("title_path", path), depth=2))
 
 
 # ---- units, models and grounding
 
 _QUAL = ORACLE_SQL["chunk_quality"]
-_UNITS = f"""c AS ({_FIXED.format(n=600)}), k AS (SELECT c.doc_id, c.chunk_index, c.chunk_index // 4 AS parent, text, status, length(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ')) AS n
+_UNITS = f"""c AS ({_FIXED.format(n=600)}), k AS (SELECT c.doc_id, c.chunk_index, c.chunk_index // 4 AS parent, text, status, length({collapse_sql("text")}) AS n
       FROM c JOIN q ON c.doc_id = q.doc_id AND c.chunk_index = q.chunk_index WHERE status <> 'drop'),
     g AS (SELECT doc_id, parent, min(chunk_index) AS anchor, count(*) AS n_chunks, count_if(status = 'usable') AS n_usable FROM k WHERE n > 0 GROUP BY ALL HAVING count(*) >= 2 AND count_if(status = 'usable') >= 2 AND sum(n) <= 6000),
     u AS (SELECT doc_id, 'section' AS unit_type, anchor, n_chunks, CAST(n_usable AS BIGINT) AS n_usable, CAST(least(3, n_usable) AS BIGINT) AS potential FROM g
@@ -427,7 +395,8 @@ _UNITS = f"""c AS ({_FIXED.format(n=600)}), k AS (SELECT c.doc_id, c.chunk_index
 
 def _units(spark, d) -> DataFrame:
     chunks = scoring.chunk_quality(scoring.adjacent_similarity(chunking.fixed(table(spark, d, "documents"), 600)))
-    return planning.plan_units(chunks.withColumn("parent", F.floor(F.col("chunk_index") / 4)))
+    chunks = chunks.select("doc_id", "chunk_index", F.floor(F.col("chunk_index") / 4).alias("parent"), "text", "status")
+    return planning.plan_units(chunks.persist())  # read three times
 
 
 @named(f"WITH q AS ({_QUAL}), {_UNITS} SELECT doc_id, unit_type, anchor, n_chunks, n_usable, potential FROM u")
@@ -461,17 +430,17 @@ def ngram_lm_score(spark, d):
     return language_model.ngram_scores(table(spark, d, "documents"), 2)
 
 
-@named(f"""WITH p AS (SELECT conv_id, turn, regexp_replace(lower(question), '[^a-z0-9]', '', 'g') AS u, regexp_replace(lower(answer), '[^a-z0-9]', '', 'g') AS a FROM ({_PAIRS})),
-    g AS (SELECT *, list_transform(range(1, length(a)), lambda i: substr(a, i, 2)) AS g FROM p)
-    SELECT conv_id, turn, CASE WHEN coalesce(length(u), 0) = 0 OR coalesce(length(a), 0) = 0 THEN 0.0 WHEN contains(u, a) THEN 1.0 WHEN len(g) = 0 THEN 0.0
-      ELSE round(len(list_filter(g, lambda x: contains(u, x))) / len(g), 6) END AS anchor FROM g""")
+@named(f"""WITH p AS (SELECT conv_id, turn, regexp_replace(lower(coalesce(question, '')), '[^0-9a-z{T.CJK}]', '', 'g') AS u, regexp_replace(lower(coalesce(answer, '')), '[^0-9a-z{T.CJK}]', '', 'g') AS a FROM ({_PAIRS})),
+    g AS (SELECT *, CASE WHEN length(a) <= 2 THEN [a] ELSE list_transform(range(1, length(a)), lambda i: substr(a, i, 2)) END AS g,
+      CASE WHEN length(u) <= 2 THEN [u] ELSE list_transform(range(1, length(u)), lambda i: substr(u, i, 2)) END AS h FROM p)
+    SELECT conv_id, turn, CASE WHEN u = '' OR a = '' THEN 0.0 WHEN contains(u, a) THEN 1.0 ELSE round(len(list_filter(g, lambda x: list_contains(h, x))) / len(g), 6) END AS anchor FROM g""")
 def lexical_anchor(spark, d):
     return _pairs(spark, d).select("conv_id", "turn", scoring.lexical_anchor(F.col("question"), F.col("answer")).alias("anchor"))
 
 
-@named(f"SELECT {_NORM.format(c='question')} AS question_key, min(conv_id) AS first_conv, count(*) AS n FROM ({_PAIRS}) GROUP BY 1")
+@named(f"SELECT {normalised_sql('question')} AS question_key, min(conv_id) AS first_conv, count(*) AS n FROM ({_PAIRS}) GROUP BY 1")
 def qa_dedup_normalised(spark, d):
-    return _pairs(spark, d).groupBy(scoring.normalised(F.col("question")).alias("question_key")).agg(F.min("conv_id").alias("first_conv"), F.count("*").alias("n"))
+    return _pairs(spark, d).groupBy(T.normalised(F.col("question")).alias("question_key")).agg(F.min("conv_id").alias("first_conv"), F.count("*").alias("n"))
 
 
 @named("SELECT event_id, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type = 'error' AND CAST(json_extract_string(props, '$.k') AS BIGINT) >= 50")
@@ -495,11 +464,6 @@ def markdown_strip(spark, d):
 # ---- beyond SQL: tested against brute force
 
 
-def unchecked(f):
-    QUERIES[f.__name__] = f
-    return f
-
-
 @unchecked
 def rouge_l(spark, d):
     return scoring.rouge_l(_pairs(spark, d), "answer", "question").select("conv_id", "turn", "rouge_l")
@@ -514,3 +478,6 @@ def doc_recursive_split(spark, d):
 def grounding_of_answers(spark, d):
     pairs = _pairs(spark, d).withColumn("pair", F.struct("conv_id", "turn"))
     return grounding.grounding_scores(pairs, "pair", "answer", "question").select("pair.conv_id", "pair.turn", "score", "matched")
+
+
+from . import more  # noqa: E402, F401  registers its queries

@@ -117,9 +117,10 @@ def test_wall_attribution_reads_all_events(spark):
 
 
 def test_scores_and_language(spark):
-    rows = spark.createDataFrame([("A b", "a  B"), ("", ""), ("x x y", "x z"), (None, "a")], "a string, r string")
-    got = [(r["exact"], r["f1"], r["bleu"]) for r in scoring.answer_scores(rows, "a", "r").collect()]
-    assert got[:3] == [(1, 1.0, 100.0), (1, 1.0, 0.0), (0, 0.4, 33.333333)]
+    rows = spark.createDataFrame([("A b", "a  B"), ("", ""), ("x x y", "x z"), (None, "a"), ("北京", "上海"), ("Москва", "москва!"), ("北京大学", "北京")], "a string, r string")
+    got = [(r["exact"], r["f1"], r["bleu"], r["missing_reference"]) for r in scoring.answer_scores(rows, "a", "r").collect()]
+    assert got[:4] == [(1, 1.0, 0.0, 0), (0, 0.0, 0.0, 1), (0, 0.4, 66.666667, 0), (0, 0.0, 0.0, 0)]
+    assert got[4:] == [(0, 0.0, 0.0, 0), (1, 1.0, 83.333333, 0), (0, 0.666667, 50.0, 0)]
     langs = spark.createDataFrame([("中文字符",), ("abc",), ("123",)], "t string").select(T.language_of(F.col("t")).alias("l"))
     assert [r["l"] for r in langs.collect()] == ["zh", "en", "unknown"]
 

@@ -29,6 +29,8 @@ def test_common_subsequence():
 def test_rouge_l(spark):
     rows = spark.createDataFrame([(1, "a b c", "a x c"), (2, "", None), (3, "a", ""), (4, None, "a")], "k long, a string, r string")
     assert {r["k"]: r["rouge_l"] for r in scoring.rouge_l(rows, "a", "r").collect()} == {1: 0.666667, 2: 1.0, 3: 0.0, 4: 0.0}
+    rows = spark.createDataFrame([(1, "北京大学", "北大"), (2, "A b", "a b")], "k long, a string, r string")  # characters where there is no blank; case counts
+    assert {r["k"]: r["rouge_l"] for r in scoring.rouge_l(rows, "a", "r").collect()} == {1: 0.666667, 2: 0.5}
 
 
 def test_recursive_split(spark):
@@ -82,7 +84,7 @@ def test_grounding(spark):
     facts = [(1, "built in 1889"), (2, "It is 330 meters tall"), (3, "nothing of the kind"), (4, None), (5, "")]
     rows = spark.createDataFrame([(k, f, source) for k, f in facts], "k long, f string, s string")
     got = {r["k"]: (r["score"], r["matched"]) for r in grounding.grounding_scores(rows, "k", "f", "s").collect()}
-    want = max(SequenceMatcher(None, "itis330meterstall", c).ratio() for c in ("thetowerwasbuiltin1889", "itis330metrestall", "itstandsinparis"))
+    want = max(SequenceMatcher(None, "itis330meterstall", c).ratio() for c in ("thetowerwasbuiltin1889.", "itis330metrestall.", "itstandsinparis."))
     assert got[1][0] == 1.0 and got[2][0] == pytest.approx(want, abs=1e-6) and got[3][0] < 0.86 and got[4] == got[5] == (0.0, False)
     assert {r["k"]: r["grounded"] for r in grounding.grounded_points(rows, "k", "f", "s").collect()} == {1: True, 2: want >= 0.86, 3: False, 4: False, 5: False}
     sums = spark.createDataFrame([(1, "The tower was built in 1889; it is 330 metres tall", source), (2, "built in 1889", source), (3, "It was painted green; it fell in 2001", source), (4, None, source)], "k long, f string, s string")
@@ -90,5 +92,5 @@ def test_grounding(spark):
 
 
 def test_lexical_anchor(spark):
-    rows = spark.createDataFrame([("abc d", "B c"), ("abc", "abx"), ("abc", None), ("a", "b"), ("", "b")], "u string, a string")
-    assert [r["s"] for r in rows.select(scoring.lexical_anchor(F.col("u"), F.col("a")).alias("s")).collect()] == [1.0, 0.5, 0.0, 0.0, 0.0]
+    rows = spark.createDataFrame([("abc d", "B c"), ("abc", "abx"), ("abc", None), ("a", "b"), ("", "b"), ("北京市", "北京"), ("上海市", "北京"), ("abab", "ababab")], "u string, a string")
+    assert [r["s"] for r in rows.select(scoring.lexical_anchor(F.col("u"), F.col("a")).alias("s")).collect()] == [1.0, 0.5, 0.0, 0.0, 0.0, 1.0, 0.0, 1.0]
