@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -340,7 +341,7 @@ def latest_status(spark, d):
 
 @named("SELECT user_id, max(ts) AS last_seen FROM events WHERE ts > TIMESTAMP '2024-01-25 00:00:00' - INTERVAL 1 DAY GROUP BY user_id")
 def ttl_expiry(spark, d):
-    return live_until(table(spark, d, "events"), "1 day", "2024-01-25 00:00:00")
+    return live_until(table(spark, d, "events"), datetime.timedelta(days=1), "2024-01-25 00:00:00")
 
 
 @named("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")

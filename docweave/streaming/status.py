@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ def windowed_counts(events: DataFrame, time: str = "ts", key: str = "event_type"
     return out.select(F.col("w.start").alias("start"), key, "n")
 
 
-def live_until(events: DataFrame, ttl: str, now: str, key: str = "user_id", time: str = "ts") -> DataFrame:
-    """Keys with an event in the ``ttl`` before ``now``."""
-    recent = F.col(time) > F.expr(f"timestamp '{now}' - interval {ttl}")
-    return events.where(recent).groupBy(key).agg(F.max(time).alias("last_seen"))
+def live_until(events: DataFrame, ttl: datetime.timedelta, now: str, key: str = "user_id", time: str = "ts") -> DataFrame:
+    """Keys with an event in the ``ttl`` before ``now`` (ISO text, read as the type of the time column), and when it was. Null times and keys count like any value."""
+    start = F.lit(now).cast(dict(events.dtypes)[time]) - F.lit(ttl)
+    return events.where(F.col(time) > start).groupBy(key).agg(F.max(time).alias("last_seen"))
