@@ -8,26 +8,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docweave.llm import bpe_automaton, decontaminate, language_id, simhash_dedup
 from docweave.llm.common import remove_folder, shared_dir
-from docweave.llm.queries import WORD_BPE
+from docweave.llm.queries import WORD_BPE, bound_batches
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; texts that are null, letterless or of no likely language go."""
+    bound_batches(spark)
     return language_id.accepted(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the smallest doc_id."""
+    bound_batches(spark)
     return simhash_dedup.keep_one(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
+    bound_batches(spark)
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token count and digests of ids and decoded text of every document."""
+    bound_batches(spark)
     return bpe_automaton.encode_digests(docs, WORD_BPE)
 
 
