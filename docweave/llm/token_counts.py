@@ -274,12 +274,30 @@ def edit_trees(df: DataFrame, edits: Column, path: str, pattern: str, name: str
     return out.withColumns({name: F.col(f"{both}.tree"), recoded: F.col(f"{both}.n_recoded")}).drop(both)
 
 
+def counts_column(text: Column, edits: Column, path: str, pattern: str, leaf: int = 64) -> Column:
+    """Struct of the counts of :func:`edited_counts`: a tree is made of the whole text and takes the edits, and its sums are returned without the tree."""
+
+    def start():
+        counter = _counter(path, pattern)
+
+        def one(text: str | None, changes: list[dict] | None) -> dict:
+            t = CountTree(text or "", counter, leaf)
+            before, words = t.total, t.encoded
+            for e in changes or []:
+                if e is not None:
+                    t.edit(int(e["at"] or 0), int(e["remove"] or 0), e["put"] or "")
+            return {"n_tokens": before, "n_tokens_edited": t.total, "n_pretokens": words, "n_recoded": t.encoded - words, "n_chars_edited": t.length}
+
+        return lambda texts, changes: [one(*x) for x in zip(texts, changes, strict=True)]
+
+    return arrow_column("n_tokens long, n_tokens_edited long, n_pretokens long, n_recoded long, n_chars_edited long", start, text, edits)
+
+
 def edited_counts(df: DataFrame, path: str, pattern: str, edits: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts before and after ``edits`` (see :func:`edit_trees`) of every row: n_tokens, n_tokens_edited, n_pretokens, n_recoded, n_chars_edited.
 
-    Null texts are empty. Repeated rows return repeated rows, an empty table none. Other columns are ignored.
+    For texts that are edited once: where more edits follow, keep the trees. Null texts are empty. Repeated rows return repeated rows, an
+    empty table none. Other columns are ignored.
     """
-    trees = df.select(F.col(id_col).alias("id"), tree_column(F.col(text_col), path, pattern).alias("tree"), edits.alias("edits"))
-    before = trees.select("id", "edits", "tree", n_tokens(F.col("tree")).alias("n_tokens"), n_pretokens(F.col("tree")).alias("n_pretokens"))
-    after = edit_trees(before, F.col("edits"), path, pattern)
-    return after.select(F.col("id").alias(id_col), "n_tokens", n_tokens(F.col("tree")).alias("n_tokens_edited"), "n_pretokens", "n_recoded", n_chars(F.col("tree")).alias("n_chars_edited"))
+    out = df.select(F.col(id_col).alias("id"), counts_column(F.col(text_col), edits, path, pattern).alias("counts"))
+    return out.select(F.col("id").alias(id_col), "counts.*")
