@@ -17,29 +17,34 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .bpe_automaton import byte_alphabet
 from .common import arrow_column, checkpoint, shared_dir
 
 #: Distinct chunks between white space whose ids a worker keeps; a full table starts anew.
 CACHE_CHUNKS = 400_000
 #: Rows that become Python objects at a time.
 ROWS = 64
+#: White space that is no ASCII white space, a letter that becomes two when it is small, and controls, which are left to the library.
+ODD = regex.compile("[\\x00-\\x1f\\x7f-\\xa0\\xad\u0130]")
 
 
 class Ids:
     """Ids of whole texts by the tokenizers library, with the ids of chunks between ASCII white space kept.
 
-    The file's splitter never joins what white space parts, so a text's ids are those of its chunks; a text with a
-    special token in it is encoded as a whole.
+    The file's splitter never joins what white space parts, so a text's ids are those of its chunks. A chunk of plain letters and marks is split into words
+    here and only they go to the library's model; everything else goes through the library's whole pipeline, and so does a text with a special token in it.
     """
 
     def __init__(self, path: str):
@@ -48,26 +53,38 @@ class Ids:
         self.tokenizer.no_truncation()
         self.wide = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         with open(path, encoding="utf-8") as f:
-            self.special = [t["content"].encode() for t in json.load(f)["added_tokens"]]
+            spec = json.load(f)
+        self.special = [t["content"].encode() for t in spec["added_tokens"]]
+        self.words = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
+        self.alphabet = byte_alphabet()
         self.known: dict[bytes, bytes] = {}
 
     def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.wide).tobytes()
+        return array("H" if self.wide.itemsize == 2 else "I", ids).tobytes()
 
-    def chunk(self, chunk: bytes) -> bytes:
-        """Ids of a lower-cased chunk; plain words go to the model, everything else through the whole pipeline."""
-        if chunk.isalpha():
-            ids = [t.id for t in self.tokenizer.model.tokenize(chunk.decode())]
-        elif chunk[:-1].isalpha() and chunk[-1:] in b".,;:!?":
-            return (self.known.get(chunk[:-1]) or self.chunk(chunk[:-1])) + (self.known.get(chunk[-1:]) or self.chunk(chunk[-1:]))
-        else:
-            ids = self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids
-        found = self._bytes(ids)
+    def _keep(self, chunk: bytes, ids: bytes) -> bytes:
         if len(chunk) < 60:
             if len(self.known) >= CACHE_CHUNKS:
                 self.known.clear()
-            self.known[chunk] = found
-        return found
+            self.known[chunk] = ids
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        key = word.encode()
+        if (ids := self.known.get(key)) is None:
+            shown = word if word.isascii() else key.decode("latin-1").translate(self.alphabet)
+            ids = self._keep(key, self._bytes([t.id for t in self.tokenizer.model.tokenize(shown)]))
+        return ids
+
+    def chunk(self, chunk: bytes) -> bytes:
+        """Ids of a chunk whose ASCII letters are small."""
+        if chunk.isalpha():
+            return self._keep(chunk, self._bytes([t.id for t in self.tokenizer.model.tokenize(chunk.decode())]))
+        text = chunk.decode()
+        # below this letter nothing is composed or split by NFC, small letters are one character each, and letters are letters in every version of Unicode
+        if max(text) < "\u0250" and not ODD.search(text):
+            return self._keep(chunk, b"".join(map(self._word, self.words.findall(text.lower()))))
+        return self._keep(chunk, self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids))
 
     def encode(self, text: bytes | None) -> bytes:
         """Ids of a UTF-8 text as little-endian numbers of ``wide``; null is empty."""
