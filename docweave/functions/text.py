@@ -200,9 +200,43 @@ def without_markdown(text: Column) -> Column:
 SOURCE_LABELS = "(第[一二三四五六七八九十百零0-9]+[条章节段]|附件[一二三四五六七八九十0-9]+|[一二三四五六七八九十]+、|(?i:Article|Section|Chapter|Rule) [0-9IVX]+)"
 
 
+def labels_with_places(text: Column) -> Column:
+    """Array of label, place (from 1) of every source label, in order."""
+
+    def placed(t: Column) -> Column:
+        gaps, labels = F.split(t, SOURCE_LABELS, -1), F.regexp_extract_all(t, F.lit(SOURCE_LABELS), F.lit(1))
+        start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<label:string,place:int>>").alias("out"))
+        step = lambda s, x: F.struct(
+            (s["at"] + F.length(x["gap"]) + F.length(x["label"])).alias("at"),
+            F.array_append(s["out"], F.struct(x["label"].alias("label"), (s["at"] + F.length(x["gap"])).alias("place"))).alias("out"),
+        )
+        pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(labels)), labels, lambda g, x: F.struct(g.alias("gap"), x.alias("label")))
+        return F.aggregate(pairs, start, step, lambda s: s["out"])
+
+    return given(text, placed)
+
+
 def source_label(text: Column, at: Column) -> Column:
     """The last source label that begins at or before the character ``at`` (from 1) of the text; null if there is none."""
-    return F.try_element_at(F.regexp_extract_all(F.substring(text, F.lit(1), at + 12), F.lit(SOURCE_LABELS), F.lit(1)), F.lit(-1))
+    return F.try_element_at(F.filter(labels_with_places(text), lambda x: x["place"] <= at), F.lit(-1))["label"]
+
+
+def source_of_fact(text: Column, fact: Column) -> Column:
+    """Which label of a text a fact belongs to: the first that the fact names, else the last that begins at or before the fact's place, else the text's only one; null otherwise.
+
+    A label that comes twice counts where it comes first. A blank or null fact has only the last of these.
+    """
+
+    def chosen(labels: Column) -> Column:
+        first = F.filter(labels, lambda x, i: ~F.exists(F.slice(labels, F.lit(1), i), lambda y: y["label"] == x["label"]))
+        clean = strip(F.coalesce(fact, F.lit("")))
+        named = F.try_element_at(F.filter(first, lambda x: F.contains(clean, x["label"])), F.lit(1))["label"]
+        at = F.instr(text, clean)
+        before = F.try_element_at(F.filter(first, lambda x: x["place"] <= at), F.lit(-1))["label"]
+        only = F.when(F.size(first) == 1, first[0]["label"])
+        return F.coalesce(F.when(clean != "", F.coalesce(named, F.when(at > 0, before))), only)
+
+    return given(labels_with_places(text), chosen)
 
 
 def first_filled(*columns: Column) -> Column:

@@ -481,4 +481,4 @@ def grounding_of_answers(spark, d):
     return grounding.grounding_scores(pairs, "pair", "answer", "question").select("pair.conv_id", "pair.turn", "score", "matched")
 
 
-from . import more  # noqa: E402, F401  registers its queries
+from . import more, search  # noqa: E402, F401  register their queries
