@@ -79,7 +79,7 @@ class Block:
         by_term = np.argsort(terms, kind="stable")
         cuts = np.flatnonzero(np.diff(terms[by_term], prepend=-1))
         self.treaps = {}
-        for a, b in zip(cuts, [*cuts[1:], len(terms)], strict=True):
+        for a, b in zip(cuts, np.append(cuts[1:], len(terms))[: len(cuts)], strict=True):
             rows = by_term[a:b]
             rows = rows[worth[rows] > 0]
             if len(rows):
