@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.shared import shared_folder
-from ..operators import vector_index
+from ..operators import tagger, vector_index
 from ..sources.readers import table
 from .named import unchecked
 
@@ -17,3 +17,32 @@ def vector_topk_index(spark, d):
     queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     index = vector_index.build(vectors, shared_folder(spark, "vectors"))
     return vector_index.search(vector_index.calibrated(index, queries, 10), queries, 10)
+
+
+# ---- a tagger that is trained on the documents: the family of a language, the language, and how long the text is
+
+#: Languages of the test tables and their families.
+FAMILIES = {"en": "germanic", "de": "germanic", "fr": "romance", "es": "romance"}
+
+
+def labelled_documents(spark, d):
+    docs = table(spark, d, "documents")
+    family = F.create_map(*[F.lit(x) for pair in FAMILIES.items() for x in pair])
+    size = F.when(F.length("text") >= 1500, "long").otherwise("short")
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
+    return docs.select("doc_id", "text", F.try_element_at(family, F.col("lang")).alias("level1"), F.col("lang").alias("level2"), size.alias("level3"), held_out.alias("held_out"))
+
+
+@unchecked
+def tagger_labels(spark, d):
+    """Every document by a model that learned from those that are not held out (20,000 of them at most)."""
+    docs = labelled_documents(spark, d)
+    model = tagger.fit(docs.where(~F.col("held_out")), "doc_id")
+    return tagger.tagged(docs.select("doc_id", "text", "held_out"), model).drop("text")
+
+
+@unchecked
+def tagger_votes(spark, d):
+    """The same by vote over the snippets of every document."""
+    docs = labelled_documents(spark, d)
+    return tagger.tagged_by_vote(docs, tagger.fit(docs.where(~F.col("held_out")), "doc_id"), "doc_id")
