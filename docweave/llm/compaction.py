@@ -17,6 +17,7 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .common import free_name, shared_dir
 
@@ -31,6 +32,21 @@ class Run:
     path: str
     bytes: int
     tier: int
+    schema: str = ""
+
+    def fields(self) -> list[StructField]:
+        return list(StructType.fromJson(json.loads(self.schema))) if self.schema else []
+
+
+def united(runs: list[Run]) -> StructType:
+    """Columns of all runs, in the order of their first sight; raises where runs disagree about a column's type."""
+    fields: dict[str, StructField] = {}
+    for run in runs:
+        for f in run.fields():
+            before = fields.setdefault(f.name.lower(), f)
+            if before.dataType != f.dataType:
+                raise ValueError(f"column {f.name} is {before.dataType.simpleString()} in one run and {f.dataType.simpleString()} in another")
+    return StructType([StructField(f.name, f.dataType, True) for f in fields.values()])
 
 
 class ShardTable:
@@ -90,11 +106,14 @@ class ShardTable:
     def append(self, df: DataFrame, arrival: str, retries: int = 5) -> list[Run]:
         """Appends one run for each value of the column ``arrival``, written in one pass without a shuffle and committed as one version.
 
-        A null arrival is a run too. No rows: nothing is committed.
+        A null arrival is a run too. No rows: nothing is committed. Runs may differ in columns: those that a run lacks are null in it. A column of another type than
+        in the runs that are there is refused before anything is written.
         """
         batch = uuid.uuid4().hex[:12]
         top = f"{self.folder}/data/{batch}"
         part = free_name(df.columns, "arrived")
+        schema = df.schema.json()
+        united([*self.runs(), Run("", "", 0, 0, schema)])
         value = F.sha2(F.col(arrival).cast("string"), 256)  # a folder name that needs no escapes
         df.withColumn(part, F.coalesce(F.substring(value, 1, 24), F.lit("none"))).write.partitionBy(part).parquet(top)
         new = []
@@ -102,9 +121,10 @@ class ShardTable:
             name = s.getPath().getName()
             if s.isDirectory() and name.startswith(f"{part}="):
                 size = self._size(f"{top}/{name}")
-                new.append(Run(f"{batch}-{name.partition('=')[2]}", f"{top}/{name}", size, self.tier(size)))
+                new.append(Run(f"{batch}-{name.partition('=')[2]}", f"{top}/{name}", size, self.tier(size), schema))
         for left in range(retries if new else -1, -1, -1):
             base = max(self.versions(), default=0)
+            united([*self.runs(base), *new])  # another writer may have come first
             try:
                 self.commit([*self.runs(base), *new], base)
                 break
@@ -118,9 +138,10 @@ class ShardTable:
         name = f"merged-{uuid.uuid4().hex[:12]}"
         path = f"{self.folder}/data/{name}"
         files = max(1, -(-size // self.target_bytes))
-        self.spark.read.parquet(*[r.path for r in runs]).coalesce(files).write.parquet(path)
+        schema = united(runs)
+        self.spark.read.schema(schema).parquet(*[r.path for r in runs]).coalesce(files).write.parquet(path)
         size = self._size(path)
-        return Run(name, path, size, max(self.tier(size), max(r.tier for r in runs) + 1))
+        return Run(name, path, size, max(self.tier(size), max(r.tier for r in runs) + 1), schema.json())
 
     def compact(self, workers: int = 4) -> int:
         """Merges until no tier holds ``fanout`` runs; returns the number of merges. Old runs stay until :meth:`vacuum`.

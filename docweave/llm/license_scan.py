@@ -1,9 +1,13 @@
 """License scans: winnowed fingerprints pick candidates, a banded alignment decides.
 
-Templates are read as words. Hashes of ``k`` consecutive words are winnowed (the smallest of every ``window``
-neighbours is kept) into an inverted index of template and place. A text's k-grams that hit the
+Templates are read as words. Hashes of a few consecutive words are winnowed (the smallest of every ``window``
+neighbours is kept) into an inverted index of template and place. A text's grams that hit the
 index give diagonals; each group of near diagonals is aligned with its template in a band, and what
 covers enough of the template is reported with its span in the text.
+
+How long grams and windows are follows from the template: a copy that lacks so few of its words that it still covers enough keeps
+a run of template words that is at least so long, and a gram of every such run is in the index. So no copy with replaced or left out words is
+lost; a copy into which words are put all over the place, so that no run of it is left, may be.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ TEMPLATES = {
 }
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _WORD = re.compile(rb"[^ ]+")
-#: What a text word that the template lacks takes off an alignment's score.
+#: What a text word that the template lacks takes off an alignment's score. A word in a template word's place takes less off: all that may be replaced, together, less than a match brings.
 GAP = 0.25
 
 
@@ -56,35 +60,45 @@ def _gram_keys(ids: np.ndarray, k: int) -> np.ndarray:
     return np.where(known, key, -1)
 
 
+def grams_for(words: int, least: float, most: int) -> tuple[int, int]:
+    """(gram length, window) for a template: what is left of it when it is covered to ``least`` has a run of gram length + window - 1 words."""
+    need = max(1, -int(-least * words // 1))
+    run = -(-need // (words - need + 1))
+    k = max(1, min(most, run - 1 if run > 2 else run))
+    return k, max(1, run - k + 1)
+
+
 class Scanner:
     """Inverted index of the templates; built once in each worker."""
 
-    def __init__(self, templates: dict[str, str], k: int = 3, window: int = 3, band: int = 24, least: float = 0.8):
-        self.k, self.least = k, least
+    def __init__(self, templates: dict[str, str], most: int = 3, band: int = 24, least: float = 0.8):
+        self.least = least
         self.names = sorted(templates)
         words = [_data(templates[n]).split() for n in self.names]
         self.number = {w: i for i, w in enumerate(sorted({w for ws in words for w in ws}))}
         self.templates = [np.array([self.number[w] for w in ws], dtype=np.int64) for ws in words]
         # half width of the alignment: how far left out words may move the rest; a template of few words may follow itself at once
         self.bands = [max(1, min(band, int((1 - least) * len(ws)) + 1, len(ws) // 3)) for ws in words]
-        self.index: dict[int, list[tuple[int, int]]] = {}
+        self.index: dict[int, dict[int, list[tuple[int, int]]]] = {}
         for t, ids in enumerate(self.templates):
-            keys = _gram_keys(ids, min(k, max(len(ids), 1)))
+            k, window = grams_for(len(ids), least, most)
+            keys = _gram_keys(ids, k)
             hashes = [crc32(int(x).to_bytes(8, "little")) for x in keys]
             picked = set()
             for i in range(max(1, len(hashes) - window + 1)):
                 part = range(i, min(i + window, len(hashes)))
                 picked.add(min(part, key=lambda j: (hashes[j], -j)))
             for at in sorted(picked):
-                self.index.setdefault(int(keys[at]), []).append((t, at))
-        self.keys = np.array(sorted(self.index), dtype=np.int64)
+                self.index.setdefault(k, {}).setdefault(int(keys[at]), []).append((t, at))
+        self.keys = {k: np.array(sorted(index), dtype=np.int64) for k, index in self.index.items()}
 
     def align(self, template: np.ndarray, text: list[int], shift: int, band: int) -> tuple[int, int, int]:
         """Template words matched in order along the band around ``shift`` (text place minus template place), and the span in the text [from, to).
 
         A match counts one, a text word skipped inside the span takes ``GAP`` off, so that a span doesn't reach over
-        a copy's ends for the sake of a word that happens to stand there.
+        a copy's ends for the sake of a word that happens to stand there; a replaced word takes off less, see ``GAP``.
         """
+        swap = min(GAP, 0.9 / (int((1 - self.least) * len(template)) + 1))
         width = 2 * band + 1
         none = (0.0, -1, -1, 0)  # score, first text word, last text word, matched
         best = [none] * (width + 2)
@@ -100,11 +114,11 @@ class Scanner:
                     s, a, _, m = best[d]
                     if s + 1 >= got[0]:
                         got = (s + 1, j if a < 0 else a, j, m + 1)
-                elif best[d][0] - GAP > got[0]:
-                    got = (best[d][0] - GAP, *best[d][1:])
+                elif best[d][0] - swap > got[0]:
+                    got = (best[d][0] - swap, *best[d][1:])
                 row[d] = got
             best = row
-        _, start, stop, matched = max(best, key=lambda x: (x[0], x[1]))
+        _, start, stop, matched = max(best, key=lambda x: (x[0], x[3], x[1]))
         return matched, start, stop + 1
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
@@ -113,15 +127,15 @@ class Scanner:
         words = data.split()
         get = self.number.get
         ids = np.array([get(w, -1) for w in words], dtype=np.int64)
-        keys = _gram_keys(ids, self.k)
-        hits = np.flatnonzero(np.isin(keys, self.keys)) if len(keys) else []
-        if not len(hits):
-            return []
         numbers = ids.tolist()
         diagonals: dict[int, list[int]] = {}
-        for at in hits.tolist():
-            for t, place in self.index[int(keys[at])]:
-                diagonals.setdefault(t, []).append(at - place)
+        for k, wanted in self.keys.items():
+            keys = _gram_keys(ids, k)
+            for at in np.flatnonzero(np.isin(keys, wanted)).tolist() if len(keys) else []:
+                for t, place in self.index[k][int(keys[at])]:
+                    diagonals.setdefault(t, []).append(at - place)
+        if not diagonals:
+            return []
         found = []
         for t, shifts in diagonals.items():
             shifts.sort()
