@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """New values win, null new values keep the old one. Columns that only one side has are kept, null for the other's rows. Null keys meet nothing."""
@@ -103,10 +105,14 @@ def in_ranges(number: Column, ranges: list[tuple[int, int]]) -> Column:
 def stats(rows: DataFrame, value: str, *keys: str, exact: bool = True) -> DataFrame:
     """mean, p50 (interpolated), largest and n (rows with a null included) by key.
 
-    The exact median holds a key's distinct values in one task; without ``exact`` it is approximate, in bounded memory.
+    The exact median is found by narrowing ranges (``quantiles.exact_quantiles``), in memory that the values don't fill; without ``exact`` it is approximate.
     """
-    half = F.percentile(value, F.lit(0.5)) if exact else F.percentile_approx(value, 0.5, 10_000).cast("double")
-    return rows.groupBy(*keys).agg(F.round(F.avg(value), 6).alias("mean"), F.round(half, 6).alias("p50"), F.max(value).alias("largest"), F.count("*").alias("n"))
+    plain = rows.groupBy(*keys).agg(F.round(F.avg(value), 6).alias("mean"), F.round(F.percentile_approx(value, 0.5, 10_000).cast("double"), 6).alias("p50"), F.max(value).alias("largest"), F.count("*").alias("n"))
+    if not exact:
+        return plain
+    half = exact_quantiles(rows, value, [0.5], *keys).select(*[F.col(k).alias(f"__{k}") for k in keys], F.round("quantile", 6).alias("p50"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], F.lit(True))
+    return plain.drop("p50").join(half, same, "left").select(*keys, "mean", "p50", "largest", "n")
 
 
 def numbered(rows: DataFrame, *order: str, name: str = "row") -> DataFrame:

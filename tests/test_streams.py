@@ -84,7 +84,7 @@ def test_throttled_stream(spark, tmp_path):
         assert sorted(map(tuple, out.collect())) == sorted(map(tuple, S.throttled(df).collect()))
         assert query.lastProgress["stateOperators"][0]["numRowsTotal"] > 0
         late = spark.createDataFrame([("t9", 10**9, "later", False)], "task string, at_ms long, message string, final boolean").withColumn("at", F.timestamp_millis("at_ms")).withColumn("ts", F.col("at"))
-        query, _ = drained(S.throttled_stream(as_stream(spark, df.union(late), f"{tmp_path}/in2", 40), keep_ms=1000, late="1 second"), spark, "throttled_gone", tmp_path)
+        query, _ = drained(S.throttled_stream(as_stream(spark, df.union(late), f"{tmp_path}/in2", 12), keep_ms=1000, late="1 second"), spark, "throttled_gone", tmp_path)
         assert {r["task"] for r in spark.table("throttled_gone").collect()} == {"t0", "t1", "t2", "t9"}
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
