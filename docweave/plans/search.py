@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions.shared import shared_folder
 from ..operators import bleu, quantiles, records, spans, tagger, vector_index
 from ..sinks import exactly_once
+from ..sinks import zipped as zip_sinks
+from ..sources import zipped
 from ..sources.readers import table
 from ..streaming import sessions
 from .named import _pairs, named, unchecked
@@ -155,3 +157,38 @@ def status_swapped(spark, d):
         some = rows.where(F.col("event_type") == kind)
         status.change(lambda old, some=some: records.latest(some if old is None else old.unionByName(some), "user_id", "ts", "event_id"))
     return status.rows().select("user_id", "event_id", "event_type")
+
+
+# ---- zipped documents: written in the shared folder, and read back
+
+
+def _stored(spark, rows, name):
+    folder = shared_folder(spark, name)
+    rows.write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
+@named(f"SELECT CAST(doc_id AS VARCHAR) AS path, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: {collapse_sql('x')}), lambda x: x <> ''), chr(10) || chr(10)) AS text FROM documents WHERE text IS NOT NULL")
+def docx_round_trip(spark, d):
+    docs = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text")
+    books = zip_sinks.archived(docs, lambda some: zip_sinks.docx([(0, x) for x in some["text"].iloc[0].split("\n")]), "doc_id")
+    return zipped.docx_markdown(_stored(spark, books, "docx")).select("path", "text")
+
+
+@named("SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, CAST(n_chars AS VARCHAR) AS n_chars, text FROM documents")
+def xlsx_round_trip(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars", "text")
+    write = lambda some: zip_sinks.xlsx(list(some.columns), [tuple(None if v is None or v != v else int(v) if hasattr(v, "dtype") else v for v in r) for r in some.itertuples(index=False)])
+    return zipped.xlsx_table(_stored(spark, zip_sinks.archived(docs, write, "doc_id", 200), "xlsx")).select("doc_id", "lang", "n_chars", "text")
+
+
+_TITLE = "regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"
+for _name, _char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("amp", "&")):
+    _TITLE = f"replace({_TITLE}, '&{_name};', '{_char}')"
+
+
+@named(f"SELECT CAST(page_id AS VARCHAR) AS path, {collapse_sql(_TITLE)} AS title FROM pages WHERE html IS NOT NULL AND regexp_matches(html, '<title>')")
+def epub_titles(spark, d):
+    pages = table(spark, d, "pages").where("html IS NOT NULL").where(F.contains("html", F.lit("<title>"))).select("page_id", "html")
+    books = zip_sinks.archived(pages, lambda some: zip_sinks.epub("Pages", list(some["html"])), "page_id")
+    return zipped.epub_chapters(_stored(spark, books, "epub")).select("path", "title")
