@@ -1,7 +1,7 @@
 """SimHash near-duplicates through pivot distance tables.
 
-Every fingerprint gets a table row: its Hamming distances to a fixed set of reference
-fingerprints (pivots). By the triangle inequality two fingerprints within ``k`` bits differ by at
+Every distinct fingerprint gets a row of a table: its Hamming distances to a fixed set of reference
+fingerprints (pivots), computed once and kept. All that follows reads the table. By the triangle inequality two fingerprints within ``k`` bits differ by at
 most ``k`` in every coordinate, so a pair whose largest coordinate difference is over ``k`` is
 discarded without a comparison; survivors are verified on the 64 bits.
 
@@ -75,22 +75,26 @@ def families(k: int, blocks: int) -> list[list[int]]:
     return [[b for g in chosen for b in range(edges[g], edges[g + 1])] for chosen in combinations(range(blocks), blocks - k)]
 
 
-def pivot_distance(fp: Column, pivot: int) -> Column:
-    return F.bit_count(fp.bitwiseXOR(F.lit(_signed(pivot))))
+def pivots() -> list[int]:
+    """The base, its 64 copies with one bit flipped, and those with about half of the bits flipped."""
+    return [BASE, *(BASE ^ (1 << b) for b in range(64)), *(BASE ^ m for m in half_masks())]
 
 
-def one_bit_coordinates(fp: Column) -> Column:
-    """The 64 one-bit coordinates as a long: bit b is set where pivot b is one nearer than the base, clear where it is one further.
+def distance_table(fp: Column) -> Column:
+    """Row of the table: Hamming distances of a fingerprint to all pivots, in their order."""
+    return F.array(*[F.bit_count(fp.bitwiseXOR(F.lit(_signed(p)))).cast("tinyint") for p in pivots()])
 
-    The distance to ``BASE ^ (1 << b)`` is the distance to the base, less one if bit b of fingerprint and base differ, else plus
-    one. All 64 of these differences together are the bits of the exclusive or with the base.
-    """
-    return fp.bitwiseXOR(F.lit(_signed(BASE)))
+
+def one_bit_coordinates(table: Column) -> Column:
+    """Which one-bit pivots are nearer than the base, as the bits of a long: a one-bit coordinate is the base coordinate less one or plus one."""
+    nearer = [F.when(table[1 + b] < table[0], F.lit(_signed(1 << b))).otherwise(F.lit(0).cast("long")) for b in range(64)]
+    while len(nearer) > 1:  # a tree of sums, as deep as six
+        nearer = [x.bitwiseOR(y) for x, y in zip(nearer[::2], nearer[1::2], strict=True)]
+    return nearer[0]
 
 
-def pivot_keys(fp: Column, k: int, blocks: int) -> Column:
-    """Array of the families' keys; each is made of the family's coordinates in the pivot table."""
-    table = one_bit_coordinates(fp)
+def pivot_keys(table: Column, k: int, blocks: int) -> Column:
+    """Array of the families' keys; each is made of the family's coordinates in the table."""
     out = []
     for number, bits in enumerate(families(k, blocks)):
         mask = _signed(sum(1 << b for b in bits))
@@ -98,9 +102,13 @@ def pivot_keys(fp: Column, k: int, blocks: int) -> Column:
     return F.array(*out)
 
 
-def _runs(group: np.ndarray, fp: np.ndarray, node: np.ndarray, side: np.ndarray, k: int, refs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def largest_difference(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Largest coordinate difference of pairs of table rows: no pair is nearer than that."""
+    return np.abs(a - b).max(axis=1) if len(a) else np.empty(0, np.int8)
+
+
+def _runs(group: np.ndarray, fp: np.ndarray, table: np.ndarray, node: np.ndarray, side: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Verified pairs among neighbours of equal group (rows sorted by it), step by step."""
-    table = np.bitwise_count(fp[:, None] ^ refs[None, :]).astype(np.int8)
     left, right = [], []
     at, step = np.arange(len(fp)), 0
     while len(at):
@@ -111,7 +119,7 @@ def _runs(group: np.ndarray, fp: np.ndarray, node: np.ndarray, side: np.ndarray,
             break
         far = (side[at] != 2) & (side[at] == side[at + step])
         i = at[~far]
-        i = i[np.abs(table[i] - table[i + step]).max(axis=1) <= k] if len(i) else i
+        i = i[largest_difference(table[i], table[i + step]) <= k]
         i = i[np.bitwise_count(fp[i] ^ fp[i + step]) <= k]
         left.append(node[i])
         right.append(node[i + step])
@@ -139,8 +147,11 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 def _search(k: int):
-    # one-bit coordinates differ by the base coordinate and two at most: base and halves decide the largest difference
-    refs = np.array([BASE, *(BASE ^ m for m in half_masks())], dtype=np.uint64)
+    width = len(pivots())
+
+    def rows_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+        flat = [batch[c].to_numpy(zero_copy_only=False) for c in ("family", "key", "lo", "hi", "fp", "node", "side")]
+        return [*flat, batch["table"].flatten().to_numpy(zero_copy_only=False).reshape(-1, width)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] = []
@@ -151,18 +162,18 @@ def _search(k: int):
             last = batch is None
             if not last and not batch.num_rows:
                 continue
-            cols = [batch[c].to_numpy(zero_copy_only=False) for c in ("family", "key", "lo", "hi", "fp", "node", "side")] if not last else None
+            cols = rows_of(batch) if not last else None
             if rest:
                 cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)] if cols else rest
             if not cols:
                 return
-            family, key, lo, hi, fp, node, side = cols
+            family, key, lo, hi, fp, node, side, table = cols
             new = np.ones(len(fp), bool)
             new[1:] = (np.diff(family) != 0) | (np.diff(key) != 0) | (np.diff(lo) != 0) | (np.diff(hi) != 0)
             group = np.cumsum(new)
             cut = len(fp) if last else int(np.searchsorted(group, group[-1]))
             rest = [c[cut:] for c in cols]
-            u, v = _forest(*_runs(group[:cut], fp[:cut].view(np.uint64), node[:cut], side[:cut], k, refs))
+            u, v = _forest(*_runs(group[:cut], fp[:cut].view(np.uint64), table[:cut], node[:cut], side[:cut], k))
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return run
@@ -171,17 +182,19 @@ def _search(k: int):
 def similar_pairs(prints: DataFrame, k: int = 2, blocks: int | None = None, group_size: int = 1024) -> DataFrame:
     """Links ``u``, ``v`` (enough to keep reachability) between distinct fingerprints within k bits.
 
-    ``prints``: one row per fingerprint, long columns ``node`` and ``fp``. ``blocks`` is k + 2 if not given. A key with more than
+    ``prints``: one row per fingerprint, long columns ``node`` and ``fp``, and its ``table`` row, which is made where it is missing. ``blocks`` is k + 2 if not given. A key with more than
     ``group_size`` fingerprints is split in chunks, and each pair of chunks is a group of its own, so
     that a common key is spread over many tasks and no pair is lost.
     """
-    keyed = prints.select("node", "fp", F.explode(pivot_keys(F.col("fp"), k, blocks or k + 2)).alias("x")).select("node", "fp", "x.family", "x.key")
+    tabled = prints if "table" in prints.columns else prints.withColumn("table", distance_table(F.col("fp")))
+    coordinates = tabled.select("node", "fp", "table", one_bit_coordinates(F.col("table")).alias("nearer"))
+    keyed = coordinates.select("node", "fp", "table", F.explode(pivot_keys(F.col("nearer"), k, blocks or k + 2)).alias("x")).select("node", "fp", "table", "x.family", "x.key")
     large = keyed.groupBy("family", "key").agg(F.count("*").alias("n")).where(F.col("n") > group_size)
     large = large.select("family", "key", F.ceil(F.col("n") / group_size).cast("int").alias("chunks"))
     dealt = keyed.join(large, ["family", "key"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), "chunks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.select(
-        "family", "key", "fp", "node", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
+        "family", "key", "fp", "table", "node", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
         F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
     )
     # within one chunk (side 2) all pairs count; between two chunks only those of different sides
@@ -199,8 +212,9 @@ def _classes(prints: DataFrame, best: Column, k: int) -> DataFrame:
 
     A fingerprint is a node of its own, so rows without an id link like any other.
     """
-    nodes = checkpoint(prints.groupBy("fp").agg(F.min(best).alias("rep")))
-    found = connected_components(similar_pairs(nodes.select(F.col("fp").alias("node"), "fp"), k)).select(F.col("node").alias("fp"), "component")
+    nodes = checkpoint(prints.groupBy("fp").agg(F.min(best).alias("rep")).withColumn("table", distance_table(F.col("fp"))))
+    found = connected_components(similar_pairs(nodes.select(F.col("fp").alias("node"), "fp", "table"), k)).select(F.col("node").alias("fp"), "component")
+    nodes = nodes.drop("table")
     linked = nodes.join(found, "fp")
     least = linked.groupBy("component").agg(F.min("rep").alias("least"))
     grouped = linked.select("fp", "component").join(least, "component").select("fp", "component", "least")

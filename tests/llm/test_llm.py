@@ -409,6 +409,24 @@ def test_similar_pairs_exact(spark, group_size):
     assert got == want
 
 
+def test_distance_table(spark):
+    rng = random.Random(9)
+    prints = [rng.getrandbits(64) for _ in range(40)]
+    # random fingerprints that share the 32 bits of one key: what a key lets through by chance
+    prints += [prints[0] & (2**32 - 1) | rng.getrandbits(32) << 32 for _ in range(40)]
+    df = spark.createDataFrame([(i, simhash_dedup._signed(p)) for i, p in enumerate(prints)], "node long, fp long").select("node", simhash_dedup.distance_table(F.col("fp")).alias("t"))
+    rows = {r["node"]: (r["t"], r["c"]) for r in df.withColumn("c", simhash_dedup.one_bit_coordinates(F.col("t"))).collect()}
+    assert all(list(rows[i][0]) == [(p ^ q).bit_count() for q in simhash_dedup.pivots()] for i, p in enumerate(prints))
+    assert all(rows[i][1] == simhash_dedup._signed(p ^ simhash_dedup.BASE) for i, p in enumerate(prints))
+    table = np.array([rows[i][0] for i in range(len(prints))], np.int8)
+    a, b = np.triu_indices(len(prints), 1)
+    bound = simhash_dedup.largest_difference(table[a], table[b])
+    true = np.array([(prints[i] ^ prints[j]).bit_count() for i, j in zip(a, b, strict=True)])
+    assert (bound <= true).all()
+    alike = (a >= 40) & (true > 2)
+    assert (bound[alike] > 2).mean() > 0.9, (bound[alike] > 2).mean()  # discarded by the largest difference alone
+
+
 # ---- 7
 
 
