@@ -5,8 +5,12 @@ Lines are rows; whatever looks at neighbours is a window over one document's lin
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions.text import clean_lines, strip
 
@@ -88,22 +92,74 @@ def blocks(lines: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return rows.groupBy(id_col, "part", "block").agg(F.first("heading").alias("heading"), F.array_join(body, "\n").alias("text"))
 
 
+def packed(rows: DataFrame, keys: list[str], pieces: str, heading: str, target: int) -> DataFrame:
+    """The first key, ``chunk_index``, ``heading`` and ``text``: pieces of a part joined up to ``target`` characters, in the order of the further keys.
+
+    ``keys``: what is numbered, the part that is packed on its own, and the order inside it. Rows are dealt by the first key and sorted; a task follows them one by one and holds a single chunk, so the work grows as the
+    text and a document of any size fits. A part whose pieces are all blank is a chunk with its heading, if it has one.
+    """
+    owner, part, *order = keys
+    kind = rows.schema[owner].dataType
+    dealt = rows.select(owner, part, *order, heading, pieces).repartition(owner).sortWithinPartitions(owner, part, *order).select(owner, part, heading, pieces)
+    schema = StructType([StructField(owner, kind), StructField("chunk_index", LongType()), StructField("heading", StringType()), StructField("text", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, head, held, size, said, index, out = None, None, [], 0, True, 0, []
+
+        def close() -> None:
+            nonlocal held, size, said, index
+            text = "".join(held).strip()
+            held, size = [], 0
+            if text:
+                out.append((at[0], index, head, text))
+                index += 1
+                said = True
+
+        def end() -> None:
+            nonlocal said, index
+            close()
+            if not said and head:
+                out.append((at[0], index, head, head))
+                index += 1
+
+        def batch() -> pa.RecordBatch:
+            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (arrow, pa.int64(), pa.string(), pa.string()), strict=True)]
+            return pa.RecordBatch.from_arrays(columns, schema.names)
+
+        arrow = None
+        for b in batches:
+            arrow = b.column(0).type
+            for i in range(b.num_rows):
+                o, p, h, some = (b.column(c)[i].as_py() for c in range(4))
+                if at != (o, p):
+                    if at is not None:
+                        end()
+                    index = index if at is not None and at[0] == o else 0
+                    at, head, said = (o, p), h, False
+                for piece in some:
+                    if held and size + len(piece) > target:
+                        close()
+                    held.append(piece)
+                    size += len(piece)
+                if len(out) >= 1000:
+                    yield batch()
+                    out.clear()
+        if at is not None:
+            end()
+        if out:
+            yield batch()
+
+    return dealt.mapInArrow(run, schema)
+
+
 def regulation_chunks(docs: DataFrame, target: int = 600, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc id, chunk_index, heading, text: blocks of a part packed up to ``target`` characters; a block over 1.25 times that is cut at its sentences, and anywhere if one is as long.
 
-    A part of a heading alone is a chunk with that heading as its text.
+    A part of a heading alone is a chunk with that heading as its text. Null and empty texts have none; the lines of rows that repeat an id are taken together.
     """
     most = int(target * 1.25)
     rows = blocks(joined_lines(without_noise(text_lines(docs, id_col, text_col), id_col), id_col), id_col)
     sentences = F.regexp_extract_all("text", F.lit(f"(?s)([^。！？；.!?;\n]*[。！？；.!?;\n]+|[^。！？；.!?;\n]+)"), F.lit(1))
     hard = F.flatten(F.transform(sentences, lambda s: F.regexp_extract_all(s, F.lit(f"(?s)(.{{1,{most}}})"), F.lit(1))))
     rows = rows.withColumn("pieces", F.when(F.length("text") > most, hard).otherwise(F.array(F.concat("text", F.lit("\n")))))
-    parts = rows.groupBy(id_col, "part").agg(F.first("heading").alias("heading"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", "pieces"))), lambda x: x["pieces"])).alias("pieces"))
-    last = lambda a: F.element_at(a, -1)
-    more = lambda a, p: F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.concat(last(a), p)))
-    packed = F.aggregate("pieces", F.array().cast("array<string>"), lambda a, p: F.when(F.size(a) == 0, F.array(p)).when(F.length(last(a)) + F.length(p) <= target, more(a, p)).otherwise(F.concat(a, F.array(p))))
-    texts = F.filter(F.transform(packed, strip), lambda x: x != "")
-    texts = F.when(F.size(texts) == 0, F.array(F.coalesce("heading", F.lit("")))).otherwise(texts)
-    out = parts.select(id_col, "part", "heading", F.posexplode(texts).alias("at", "text")).where("text <> ''")
-    order = Window.partitionBy(id_col).orderBy("part", "at")
-    return out.select(id_col, (F.row_number().over(order) - 1).cast("long").alias("chunk_index"), "heading", "text")
+    return packed(rows, [id_col, "part", "block"], "pieces", "heading", target)

@@ -1,5 +1,8 @@
 """Numbered texts, and functions on questions, with hand-checked cases."""
 
+import random
+import time
+
 from docweave.functions import questions as Q
 from docweave.operators import regulations as R
 from pyspark.sql import functions as F
@@ -16,6 +19,48 @@ def test_regulation_chunks(spark):
     assert R.regulation_chunks(docs.limit(0)).count() == 0
 
 
+def packed_plainly(rows, target):
+    """Greedy packing of (doc, part, block, heading, pieces), spelt out."""
+    out, n = [], {}
+    parts = {}
+    for doc, part, block, heading, pieces in rows:
+        parts.setdefault((doc, part), []).append((block, heading, pieces))
+    for (doc, _), own in sorted(parts.items()):
+        chunks = []
+        for _, heading, pieces in sorted(own):
+            for p in pieces:
+                if chunks and len(chunks[-1]) + len(p) <= target:
+                    chunks[-1] += p
+                else:
+                    chunks.append(p)
+        for text in [c.strip() for c in chunks if c.strip()] or [heading or ""]:
+            if text:
+                out.append((doc, n.setdefault(doc, 0), heading, text))
+                n[doc] += 1
+    return out
+
+
+def test_packing_by_plain_python(spark):
+    rng = random.Random(4)
+    rows = [(doc, part, block, f"h{part}" if part else None, ["x" * rng.randrange(1, 30) + rng.choice(["\n", " ", ""]) if rng.random() > 0.2 else " \n" for _ in range(rng.randrange(4))]) for doc in range(12) for part in range(rng.randrange(5)) for block in range(rng.randrange(1, 6))]
+    df = spark.createDataFrame(rows, "doc long, part long, block long, h string, p array<string>").repartition(5)
+    got = sorted(map(tuple, R.packed(df, ["doc", "part", "block"], "p", "h", 40).collect()))
+    assert got == sorted(packed_plainly(rows, 40))
+
+
+def test_a_long_regulation_takes_time_in_proportion(spark):
+    def seconds(n):
+        text = "\n".join(f"第{i}条 标题{i}" if i % 400 == 0 else f"这是第{i}行的内容，没有别的意思。" for i in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.time()
+        chunks = R.regulation_chunks(df).collect()
+        assert sum(len(c["text"].replace("\n", "")) for c in chunks) > 0.8 * len(text.replace("\n", ""))
+        return time.time() - began
+
+    seconds(1000)
+    assert seconds(80_000) < 20
+
+
 def test_hard_wrapped_lines_are_joined(spark):
     wrapped = "\n".join(f"这一行没有结束{i}\n到这里才结束。" for i in range(20)) + "\n第一条 标题\n正文在此"
     lines = R.joined_lines(R.text_lines(spark.createDataFrame([(1, wrapped), (2, "a\nb")], "doc_id long, text string")))
