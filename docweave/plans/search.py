@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.shared import shared_folder
-from ..operators import bleu, quantiles, records, spans, tagger, vector_index
+from ..operators import bleu, profile, quantiles, records, spans, tagger, vector_index
 from ..sinks import exactly_once
 from ..sinks import zipped as zip_sinks
 from ..sources import zipped
@@ -192,3 +192,10 @@ def epub_titles(spark, d):
     pages = table(spark, d, "pages").where("html IS NOT NULL").where(F.contains("html", F.lit("<title>"))).select("page_id", "html")
     books = zip_sinks.archived(pages, lambda some: zip_sinks.epub("Pages", list(some["html"])), "page_id")
     return zipped.epub_chapters(_stored(spark, books, "epub")).select("path", "title")
+
+
+@unchecked
+def document_profiles(spark, d):
+    """Title, head and signals of every document."""
+    docs = table(spark, d, "documents")
+    return profile.profiles(docs, "source").select("doc_id", "title", F.length("head").alias("head_chars"), "signals")
