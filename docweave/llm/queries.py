@@ -38,11 +38,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of every document before and after three edits: one in the middle, a cut at a third, new text at the end."""
-    n = F.length("text")
+    """Trees of all documents, kept as a table, and their counts before and after three edits: one in the middle, a cut at a third, new text at the end."""
+    trees = token_counts.tree_table(_table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
+    n = token_counts.n_chars(F.col("tree"))
     edit = lambda at, remove, put: F.struct(at.cast("int").alias("at"), F.lit(remove).alias("remove"), F.lit(put).alias("put"))
     edits = F.array(edit(n / 2, 0, " edited in 2024, twice"), edit(n / 3, 12, ""), edit(n + 10, 0, "\nThe end."))
-    return token_counts.edited_counts(_table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN, edits)
+    return token_counts.kept_counts(trees, BYTE_BPE, public_tokenizers.PATTERN, edits)
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,16 +14,19 @@ ends; others are refused.
 from __future__ import annotations
 
 import base64
+import uuid
 
+import numpy as np
 import regex
 import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_column, free_name
+from .common import arrow_column, free_name, shared_dir
 
 CACHE_WORDS = 300_000
-TREE = "struct<leaves:array<struct<words:array<string>,counts:array<int>>>,chars:array<bigint>,tokens:array<bigint>>"
+#: A kept tree: the text, its totals, length and count of each pre-token, how many each leaf has, and the nodes' sums. Numbers are little-endian, as wide as the largest needs.
+TREE = "struct<text:string,n_tokens:bigint,n_chars:bigint,n_pretokens:bigint,lengths:binary,counts:binary,sizes:binary,chars:binary,tokens:binary>"
 
 
 class Counter:
@@ -49,6 +52,38 @@ class Counter:
         return n
 
 
+def _packed(numbers: list[int] | np.ndarray) -> bytes:
+    """Numbers behind a byte that says how wide they are."""
+    a = np.asarray(numbers, np.int64)
+    width = next(w for w in (1, 2, 4, 8) if not len(a) or int(a.max()) < 1 << (8 * w - (w == 8)))
+    return bytes([width]) + a.astype(f"<u{width}").tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+
+
+class _Leaves:
+    """A list of leaves of which those of a kept tree are made when they are first looked at."""
+
+    def __init__(self, made: list, make=None):
+        self.made, self.make = made, make
+
+    def __len__(self) -> int:
+        return len(self.made)
+
+    def __getitem__(self, k: int) -> list:
+        if self.made[k] is None:
+            self.made[k] = self.make(k)
+        return self.made[k]
+
+    def __setitem__(self, k: int, leaf: list) -> None:
+        self.made[k] = leaf
+
+    def __iter__(self):
+        return (self[k] for k in range(len(self)))
+
+
 class CountTree:
     """Segment tree over leaves of about ``leaf`` pre-tokens; ``encoded`` counts pre-tokens encoded since it was made or loaded."""
 
@@ -59,17 +94,43 @@ class CountTree:
 
     @classmethod
     def load(cls, kept: dict, counter: Counter, leaf: int = 64) -> CountTree:
-        """The tree that :meth:`kept` described; nothing is encoded or summed."""
+        """The tree that :meth:`kept` described; nothing is encoded or summed, and a leaf's words are cut out when an edit comes to it."""
         tree = cls.__new__(cls)
         tree.counter, tree.leaf, tree.encoded = counter, leaf, 0
-        tree.leaves = [x["words"] for x in kept["leaves"]]
-        tree.counts = [x["counts"] for x in kept["leaves"]]
-        tree.chars, tree.tokens = list(kept["chars"]), list(kept["tokens"])
+        tree.chars, tree.tokens = _unpacked(kept["chars"]).tolist(), _unpacked(kept["tokens"]).tolist()
         tree.size = len(tree.chars) // 2
+        text, lengths, counts = kept["text"], _unpacked(kept["lengths"]), _unpacked(kept["counts"])
+        stops = np.cumsum(_unpacked(kept["sizes"])).tolist()
+        n = len(stops)
+        places = np.concatenate([[0], np.cumsum(lengths)])
+
+        def words(k: int) -> list[str]:
+            cuts = places[stops[k - 1] if k else 0 : stops[k] + 1].tolist()
+            return [text[i:j] for i, j in zip(cuts, cuts[1:])]
+
+        tree.leaves = _Leaves([None] * n, words)
+        tree.counts = _Leaves([None] * n, lambda k: counts[stops[k - 1] if k else 0 : stops[k]].tolist())
+        tree._origin = (text, lengths, counts, stops, places)
         return tree
 
     def kept(self) -> dict:
-        return {"leaves": [{"words": w, "counts": c} for w, c in zip(self.leaves, self.counts, strict=True)], "chars": self.chars, "tokens": self.tokens}
+        texts, lengths, counts, sizes = [], [], [], []
+        for k, (words, own) in enumerate(zip(self.leaves.made, self.counts.made, strict=True)):
+            if words is None:  # as it was loaded
+                text, n, c, stops, places = self._origin
+                a, b = stops[k - 1] if k else 0, stops[k]
+                texts.append(text[int(places[a]) : int(places[b])])
+                lengths.append(n[a:b])
+                counts.append(c[a:b] if own is None else own)
+                sizes.append(b - a)
+            else:
+                texts += words
+                lengths.append(np.fromiter(map(len, words), np.int64, len(words)))
+                counts.append(self.counts[k])
+                sizes.append(len(words))
+        joined = lambda parts: _packed(np.concatenate([np.asarray(x, np.int64) for x in parts]))
+        sums = {"chars": _packed(self.chars), "tokens": _packed(self.tokens), "sizes": _packed(sizes)}
+        return {"text": "".join(texts), "n_tokens": self.total, "n_chars": self.length, "n_pretokens": sum(sizes), "lengths": joined(lengths), "counts": joined(counts), **sums}
 
     def _count(self, words: list[str]) -> list[int]:
         known, count = self.counter.known, self.counter.count
@@ -78,8 +139,8 @@ class CountTree:
 
     def _fill(self, words: list[str], counts: list[int]) -> None:
         starts = range(0, len(words), self.leaf)
-        self.leaves = [words[i : i + self.leaf] for i in starts] or [[]]
-        self.counts = [counts[i : i + self.leaf] for i in starts] or [[]]
+        self.leaves = _Leaves([words[i : i + self.leaf] for i in starts] or [[]])
+        self.counts = _Leaves([counts[i : i + self.leaf] for i in starts] or [[]])
         self.size = 1 << (len(self.leaves) - 1).bit_length()
         self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
         for k in range(len(self.leaves)):
@@ -210,7 +271,7 @@ def _counter(path: str, pattern: str) -> Counter:
 
 
 def tree_column(text: Column, path: str, pattern: str, leaf: int = 64) -> Column:
-    """Tree of the whole text, as a struct of leaves (pre-tokens with their counts) and sums; null is the empty text."""
+    """Tree of the whole text, as the struct ``TREE``; null is the empty text."""
 
     def start():
         counter = _counter(path, pattern)
@@ -239,19 +300,19 @@ def edited_tree_column(tree: Column, edits: Column, path: str, pattern: str, lea
 
 def n_tokens(tree: Column) -> Column:
     """Tokens of a whole text: the root of its tree."""
-    return tree["tokens"][1]
+    return tree["n_tokens"]
 
 
 def n_chars(tree: Column) -> Column:
-    return tree["chars"][1]
+    return tree["n_chars"]
 
 
 def n_pretokens(tree: Column) -> Column:
-    return F.aggregate(tree["leaves"], F.lit(0).cast("long"), lambda s, x: s + F.size(x["words"]))
+    return tree["n_pretokens"]
 
 
 def tree_text(tree: Column) -> Column:
-    return F.array_join(F.flatten(F.transform(tree["leaves"], lambda x: x["words"])), "")
+    return tree["text"]
 
 
 def with_trees(df: DataFrame, path: str, pattern: str, text_col: str = "text", name: str = "tree", leaf: int = 64) -> DataFrame:
@@ -274,30 +335,40 @@ def edit_trees(df: DataFrame, edits: Column, path: str, pattern: str, name: str
     return out.withColumns({name: F.col(f"{both}.tree"), recoded: F.col(f"{both}.n_recoded")}).drop(both)
 
 
-def counts_column(text: Column, edits: Column, path: str, pattern: str, leaf: int = 64) -> Column:
-    """Struct of the counts of :func:`edited_counts`: a tree is made of the whole text and takes the edits, and its sums are returned without the tree."""
+def tree_table(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, leaf: int = 64) -> DataFrame:
+    """``id_col`` and ``tree`` of every row, written once as Parquet to ``folder`` (a new one in the shared folder by default) and read from there."""
+    folder = folder or f"{shared_dir(df.sparkSession).rstrip('/')}/trees-{uuid.uuid4().hex}"
+    trees = df.select(F.col(id_col), tree_column(F.col(text_col), path, pattern, leaf).alias("tree"))
+    trees.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
+def kept_counts(trees: DataFrame, path: str, pattern: str, edits: Column, id_col: str = "doc_id", tree_col: str = "tree", leaf: int = 64) -> DataFrame:
+    """Counts of kept trees before and after ``edits`` (see :func:`edit_trees`): n_tokens, n_tokens_edited, n_pretokens, n_recoded, n_chars_edited.
+
+    The trees are those of :func:`tree_table`; what the edits don't touch is neither cut nor counted again, and the table stays as it is. Repeated rows return repeated rows, an
+    empty table none. No shuffle.
+    """
 
     def start():
         counter = _counter(path, pattern)
 
-        def one(text: str | None, changes: list[dict] | None) -> dict:
-            t = CountTree(text or "", counter, leaf)
-            before, words = t.total, t.encoded
+        def one(kept: dict, changes: list[dict] | None) -> dict:
+            t = CountTree.load(kept, counter, leaf)
             for e in changes or []:
                 if e is not None:
                     t.edit(int(e["at"] or 0), int(e["remove"] or 0), e["put"] or "")
-            return {"n_tokens": before, "n_tokens_edited": t.total, "n_pretokens": words, "n_recoded": t.encoded - words, "n_chars_edited": t.length}
+            return {"n_tokens_edited": t.total, "n_recoded": t.encoded, "n_chars_edited": t.length}
 
-        return lambda texts, changes: [one(*x) for x in zip(texts, changes, strict=True)]
+        return lambda kept, changes: [one(*x) for x in zip(kept, changes, strict=True)]
 
-    return arrow_column("n_tokens long, n_tokens_edited long, n_pretokens long, n_recoded long, n_chars_edited long", start, text, edits)
+    found = arrow_column("n_tokens_edited long, n_recoded long, n_chars_edited long", start, F.col(tree_col), edits, rows=64)
+    out = trees.select(F.col(id_col).alias("id"), n_tokens(F.col(tree_col)).alias("n_tokens"), n_pretokens(F.col(tree_col)).alias("n_pretokens"), found.alias("counts"))
+    return out.select(F.col("id").alias(id_col), "n_tokens", "counts.n_tokens_edited", "n_pretokens", "counts.n_recoded", "counts.n_chars_edited")
 
 
 def edited_counts(df: DataFrame, path: str, pattern: str, edits: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts before and after ``edits`` (see :func:`edit_trees`) of every row: n_tokens, n_tokens_edited, n_pretokens, n_recoded, n_chars_edited.
-
-    For texts that are edited once: where more edits follow, keep the trees. Null texts are empty. Repeated rows return repeated rows, an
-    empty table none. Other columns are ignored.
-    """
-    out = df.select(F.col(id_col).alias("id"), counts_column(F.col(text_col), edits, path, pattern).alias("counts"))
-    return out.select(F.col("id").alias(id_col), "counts.*")
+    """:func:`kept_counts` of texts whose trees nobody keeps. Null texts are empty. Other columns are ignored."""
+    plain = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), edits.alias("edits"))
+    trees = with_trees(plain, path, pattern).select("id", "tree", "edits")
+    return kept_counts(trees, path, pattern, F.col("edits"), "id").withColumnRenamed("id", id_col)

@@ -150,6 +150,22 @@ def test_counts_follow_edits():
             assert tree.text == text and tree.total == len(counter.encoding.encode_ordinary(text))
 
 
+def test_kept_trees_edit_like_new_ones():
+    counter, rng = token_counts.Counter(queries.BYTE_BPE, public_tokenizers.PATTERN), random.Random(6)
+    for _ in range(200):
+        text = "".join(rng.choice("abc  \n'sll1 2.,é日😀") for _ in range(rng.randrange(300)))
+        leaf = rng.choice([1, 3, 16])
+        tree = token_counts.CountTree.load(token_counts.CountTree(text, counter, leaf).kept(), counter, leaf)
+        for _ in range(3):
+            at, cut, put = rng.randrange(len(text) + 3), rng.choice([0, 1, 40]), "".join(rng.choice("ab '\n1") for _ in range(rng.choice([0, 2, 400])))
+            tree.edit(at, cut, put)
+            text = text[: min(at, len(text))] + put + text[min(at, len(text)) + cut :]
+            kept = tree.kept()
+            assert kept["text"] == text and kept["n_tokens"] == len(counter.encoding.encode_ordinary(text)) and kept["n_chars"] == len(text)
+            assert kept["n_pretokens"] == len(counter.pattern.findall(text)) == len(kept["lengths"][1:]) // kept["lengths"][0]
+            tree = token_counts.CountTree.load(kept, counter, leaf)
+
+
 def test_counts_only_touched(spark):
     got = queries.op2_token_counts(spark, DATA).collect()
     assert sum(r["n_recoded"] for r in got) < 0.2 * sum(r["n_pretokens"] for r in got)
