@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,8 +34,17 @@ def question_segments(question: Column) -> Column:
     return F.filter(F.when(F.size(out) > 1, out).otherwise(F.coalesce(joined, out)), lambda x: F.length(x) > 2)
 
 
+#: Marks that may follow a bare number: of a share, a year with four digits, a month or day with up to two (fixed values).
+NUMBER_MARKS = (("%", "digits"), ("年", "four"), ("月", "two"), ("日", "two"))
+
+
 def number_or_date(text: Column) -> Column:
-    return text.rlike(r"^[0-9]+(?:\.[0-9]+)?%?$|^[0-9]{4}年$|^[0-9]{1,2}[月日]$")
+    """Whether a text is nothing but a number, with decimals or not, a share, a year, a month or a day."""
+    last = F.right(text, F.lit(1))
+    bare = F.substring(text, F.lit(1), F.length(text) - 1)
+    kinds = {"digits": lambda c: c.rlike(r"^\d+(\.\d+)?$"), "four": lambda c: c.rlike(r"^\d+$") & (F.length(c) == 4), "two": lambda c: c.rlike(r"^\d+$") & (F.length(c) <= 2)}
+    marked = [(last == mark) & kinds[kind](bare) for mark, kind in NUMBER_MARKS]
+    return reduce(lambda a, b: a | b, marked, kinds["digits"](text))
 
 
 def first_level(category: Column) -> Column:
@@ -49,9 +60,10 @@ def is_judgement(kind: Column, question: Column) -> Column:
 
 def degenerate(response: Column) -> Column:
     """Whether a response is blank, or one word is over 70 % of its three words or more."""
-    words = F.filter(F.split(strip(F.coalesce(response, F.lit(""))), f"[{WHITE}]+"), lambda x: x != "")
-    most = given(words, lambda ws: F.coalesce(F.array_max(F.transform(F.array_distinct(ws), lambda d: F.size(F.filter(ws, lambda w: w == d)))), F.lit(0)) / F.greatest(F.size(ws), F.lit(1)))
-    return (F.size(words) == 0) | ((F.size(words) >= 3) & (most > 0.7))
+    words = F.array_sort(F.filter(F.split(strip(F.coalesce(response, F.lit(""))), f"[{WHITE}]+"), lambda x: x != ""))
+    # a word that is over half of all is the middle one of the sorted words
+    share = lambda ws: given(F.get(ws, F.floor(F.size(ws) / 2).cast("int")), lambda m: F.size(F.filter(ws, lambda w: w == m)) / F.greatest(F.size(ws), F.lit(1)))
+    return given(words, lambda ws: (F.size(ws) == 0) | ((F.size(ws) >= 3) & (share(ws) > 0.7)))
 
 
 def has_table(response: Column) -> Column:
@@ -59,15 +71,22 @@ def has_table(response: Column) -> Column:
     return response.rlike(r"(?m)^[^\n|]*\|[^\n|]*\||^[^\n\t]*\t[^\n\t]*\t|^[ \t]*[|+:\- ]*-{3,}[|+:\- ]*$")
 
 
+# Questions about a statement, around the part of it that they name (fixed values).
+ASK_WHAT, ASK_NUMBER, ASK_PLACE, ASK_ABOUT = "文中提到的%s是什么？", "文中提到的关键数值或时间是多少？", "文中描述的事件发生%s何时或何地？", "文中与“%s”相关的内容是什么？"
+
+
 def template_question(sentence: Column) -> Column:
-    """A question about a statement: what something is, a number, a time or place, or the content beside its beginning. Empty for an empty one."""
-    left = strip(F.substring_index(sentence, "是", 1))
-    place = lambda w: F.concat(F.lit(f"文中描述的事件发生{w}何时或何地？"))
-    return (
-        F.when(sentence == "", "").when(F.contains(sentence, F.lit("是")) & F.length(left).between(2, 24), F.concat(F.lit("文中提到的"), left, F.lit("是什么？")))
-        .when(sentence.rlike("[0-9]"), "文中提到的关键数值或时间是多少？").when(F.contains(sentence, F.lit("在")), place("在")).when(F.contains(sentence, F.lit("于")), place("于"))
-        .otherwise(F.concat(F.lit("文中与“"), F.substring(sentence, 1, 24), F.lit("”相关的内容是什么？")))
-    )
+    """A question about a statement: what something is, a number, a time or place, or the content beside its beginning. Empty for an empty one.
+
+    Each form has the part that it names, null where the form doesn't fit; the first form that fits asks.
+    """
+    subject = strip(F.regexp_extract(sentence, "(?s)^(.*?)是", 1))
+    where = F.nullif(F.regexp_extract(F.concat_ws("", *[F.when(F.contains(sentence, F.lit(w)), w) for w in ("在", "于")]), "^(.)", 1), F.lit(""))
+    forms = [
+        (ASK_WHAT, F.when(F.length(subject).between(2, 24), subject)), (ASK_NUMBER, F.when(sentence.rlike("[0-9]"), "")), (ASK_PLACE, where), (ASK_ABOUT, F.substring(sentence, 1, 24)),
+    ]
+    asked = [F.when(part.isNotNull(), F.format_string(form, part) if "%s" in form else F.lit(form)) for form, part in forms]
+    return F.when(sentence == "", "").otherwise(F.coalesce(*asked))
 
 
 def highlighted(context: Column, answer: Column) -> Column:

@@ -7,11 +7,20 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import shared_folder
 from .quantiles import exact_quantiles
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """New values win, null new values keep the old one. Columns that only one side has are kept, null for the other's rows. Null keys meet nothing."""
+    """New values win, null new values keep the old one. Columns that only one side has are kept, null for the other's rows. Null keys meet nothing.
+
+    A key that ``new`` has more than once is one row there: of each column the value that isn't null, by the row whose JSON text sorts last; ``old`` is taken as it is.
+    """
+    some = new.where(F.col(key).isNotNull())
+    rest = [c for c in new.columns if c != key]
+    last = F.to_json(F.struct(*new.columns))
+    once = some.groupBy(key).agg(*[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), last)).alias(c) for c in rest]) if rest else some.distinct()
+    new = once.unionByName(new.where(F.col(key).isNull()))
     n = new.select(*[F.col(c).alias(c if c == key else f"__n_{c}") for c in new.columns])
     out = old.join(n, key, "full_outer")
     every = [*old.columns, *[c for c in new.columns if c not in old.columns]]
@@ -116,9 +125,16 @@ def stats(rows: DataFrame, value: str, *keys: str, exact: bool = True) -> DataFr
 
 
 def numbered(rows: DataFrame, *order: str, name: str = "row") -> DataFrame:
-    """``rows`` with their number (from 1) in the order, over the whole table: ranges of a sort are counted, then numbered on their own."""
+    """``rows`` with their number (from 1) in the order, over the whole table: ranges of a sort are counted, then numbered on their own.
+
+    The ranges are written to the shared folder, so that those that are counted are those that are numbered.
+    """
+    spark = rows.sparkSession
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     parts = dealt.withColumns({"__p": F.spark_partition_id(), "__i": F.monotonically_increasing_id()}).withColumn("__i", F.col("__i").bitwiseAND(F.lit((1 << 33) - 1)))
+    folder = shared_folder(spark, "numbered")
+    parts.write.parquet(folder)
+    parts = spark.read.parquet(folder)
     sizes = parts.groupBy("__p").agg(F.count("*").alias("__n"))  # a row for each partition
     start = sizes.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__s"))
     return parts.join(F.broadcast(start), "__p").withColumn(name, F.col("__s") + F.col("__i") + 1).drop("__p", "__i", "__s")

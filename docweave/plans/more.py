@@ -270,10 +270,11 @@ def exam_export(spark, d):
     return writers.exam_rows(rows)
 
 
-@named("""SELECT doc_id, lower(hex(encode(text)))[1:2 * 40] AS full40, length(text) AS n FROM (SELECT doc_id, text FROM documents WHERE length(text) = strlen(text))""")
+@named("""SELECT doc_id, lower(hex(encode(substr(text, 1, k)))) AS full40, length(text) AS n
+    FROM (SELECT doc_id, text, list_max(list_filter(range(0, 41), lambda i: strlen(substr(text, 1, i)) <= 40)) AS k FROM documents)""")
 def byte_prefixes(spark, d):
-    """ASCII texts cut to 40 bytes, in hexadecimal."""
-    rows = table(spark, d, "documents").where(F.length("text") == F.octet_length("text"))
+    """All texts cut to 40 bytes at a whole character, in hexadecimal."""
+    rows = table(spark, d, "documents")
     return rows.select("doc_id", F.lower(F.hex(T.cut_bytes(F.col("text"), 40).cast("binary"))).alias("full40"), F.length("text").cast("long").alias("n"))
 
 

@@ -23,12 +23,14 @@ def jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False) ->
     """JSON lines; a bad line is an error if ``strict``, else it comes back in ``_bad`` with null fields."""
     if strict:
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    return spark.read.schema(f"{schema}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    parsed = F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    return lines.select(parsed.alias("x")).select("x.*")
 
 
 def bad_lines(rows: DataFrame) -> DataFrame:
     """One row: ``lines`` read, and ``bad`` ones among them, of what lenient :func:`jsonl` returned."""
-    return rows.cache().agg(F.count("*").alias("lines"), F.count_if(F.col("_bad").isNotNull()).alias("bad"))
+    return rows.agg(F.count("*").alias("lines"), F.count_if(F.col("_bad").isNotNull()).alias("bad"))
 
 
 def csv(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "UTF-8") -> DataFrame:
@@ -88,7 +90,7 @@ def sniffed(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return jsonl(spark, path, schema, strict=True)
     if ext == "json":
         return items_json(spark, path, schema.replace(" ", ": ", 1) if ":" not in schema else schema)
-    lines = jsonl(spark, path, schema).cache()  # Spark wants broken records read before it asks for them alone
+    lines = jsonl(spark, path, schema)
     if lines.where("_bad IS NULL").limit(1).count() and not lines.where("_bad IS NOT NULL").limit(1).count():
         return lines.drop("_bad")
     first = spark.read.text(path).where("trim(value) <> ''").first()

@@ -6,7 +6,8 @@ from collections import Counter
 
 import pytest
 
-from docweave.operators import chunking, classify, consolidation, coverage, evidence, planning, records, retrieval, scoring, suite
+from docweave.functions import text as T
+from docweave.operators import chunking, classify, consolidation, coverage, evidence, items, planning, records, retrieval, scoring, suite
 from docweave.sinks import writers
 from docweave.sources import readers
 from pyspark.sql import functions as F
@@ -370,3 +371,31 @@ def test_writers(spark, tmp_path):
     full, small = F.struct("x", "y"), F.struct("y")
     assert [r[0] for r in meta.select(writers.detail_levels([full, small], F.struct(F.lit(1).alias("n")), 20)).collect()] == ['{"y":"b"}']
     assert [r[0] for r in meta.select(writers.detail_levels([full, small], F.struct(F.lit(1).alias("n")), 5)).collect()] == ['{"n":1}']
+
+
+def test_upsert_of_repeated_keys(spark):
+    old = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (None, "n", 3)], "id int, v string, w int")
+    new = spark.createDataFrame([(1, "x", None), (1, "y", None), (2, None, 5), (2, "z", 5), (None, "m", 1)], "id int, v string, w int")
+    got = sorted(map(tuple, records.upsert(old, new, "id").collect()), key=str)
+    assert got == sorted([(1, "y", 1), (1, "y", 2), (2, "z", 5), (None, "m", 1), (None, "n", 3)], key=str)
+
+
+def test_plan_of_judged_items_stays_small(spark):
+    four = ["a", "b", "c", "d"]
+    df = spark.createDataFrame([("q", "B", "e", "f", "mcq", four)], "q string, answer string, explanation string, fact string, type string, options array<string>")
+    plan = items.validated(df, "en", options="options")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 50_000
+    objects = df.drop("options").withColumn("options", F.array(*[F.struct(F.lit(x.lower()).alias("label"), F.lit(f"option {x}").alias("text")) for x in "DBCA"]))
+    row = items.validated(objects, "en", options="options").first()
+    assert row["reason"] == "ok" and row["item"]["options"] == [f"option {x}" for x in "ABCD"] and row["item"]["answer"] == "option B"
+    short = objects.withColumn("options", F.slice("options", 1, 3))
+    assert items.validated(short, "en", options="options").first()["reason"] == "mcq_invalid_options"
+
+
+def test_source_labels_by_place(spark):
+    rows = [("第一条 x 第二条 y", 3), ("aaaa 第二条 y", 1), ("第一条 x 第二条 y", 7), ("", 1), (None, 1)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string, n int").select(T.source_label(F.col("t"), F.col("n"))).collect()]
+    assert got == ["第一条", None, "第二条", None, None]
+    facts = [("第一条 甲乙。第二条 丙丁。", "丙丁"), ("第一条 甲乙。第二条 丙丁。", "见第一条 丙丁"), ("甲 第三条 乙", "甲"), ("甲 第三条 乙 第四条", ""), ("甲 第三条 乙 第四条", "无"), ("第一条 甲 第一条 乙", "乙")]
+    got = [r[0] for r in spark.createDataFrame(facts, "t string, f string").select(T.source_of_fact(F.col("t"), F.col("f"))).collect()]
+    assert got == ["第二条", "第一条", "第三条", None, None, "第一条"]

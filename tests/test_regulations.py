@@ -85,3 +85,14 @@ def test_questions(spark):
     assert [tuple(p) for p in pairs] == [("c", "d", "t"), ("e", "f", "未分类")]
     kinds = spark.createDataFrame([("判断题", ""), ("", "是否可行"), ("", "可以吗"), ("简答题", "对吗")], "k string, q string").select(Q.is_judgement(F.col("k"), F.col("q")))
     assert [r[0] for r in kinds.collect()] == [True, True, True, False]
+
+
+def test_numbers_and_repeats(spark):
+    def of(values, f):
+        return [r[0] for r in spark.createDataFrame([(v,) for v in values], "x string").select(f(F.col("x")).alias("c")).collect()]
+
+    assert of(["12", "1.5", "1.5%", "2024年", "24年", "123月", "1日", "%", "年", "", "1.年", "x"], Q.number_or_date) == [True, True, True, True, False, False, True, False, False, False, False, False]
+    assert of(["在此于彼", "于彼在此", "甲 是乙", "A是B", "12是什么", "是"], Q.template_question) == [
+        "文中描述的事件发生在何时或何地？", "文中描述的事件发生在何时或何地？", "文中与“甲 是乙”相关的内容是什么？", "文中与“A是B”相关的内容是什么？", "文中提到的12是什么？", "文中与“是”相关的内容是什么？",
+    ]
+    assert of(["a " * 70_000 + "b " * 29_999, "a " * 69 + "b " * 31, "x y z"], Q.degenerate) == [True, False, False]
