@@ -7,17 +7,17 @@ of words and patterns with their points; a span is put in its normal form first,
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from itertools import islice
+from pathlib import PurePosixPath
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
-from ..functions.text import CJK, stem, strip
-from .classify import compatible
+from ..functions.text import CJK
 
 # What lines look like, and words that speak for and against a title, with their points (fixed values).
 _N = "[一二三四五六七八九十百千0-9]+"
@@ -57,13 +57,11 @@ def _any(words) -> str:
     return "|".join(words)
 
 
-def cleaned(text: Column) -> Column:
+def cleaned(text: str | None) -> str:
     """NFKC, single blanks, trimmed lines without what other programs leave behind, at most one blank line at a time. Empty for null."""
-    plain = F.coalesce(text, F.lit(""))
-    form = F.when(plain.rlike(r"^\p{ASCII}*$"), plain).otherwise(compatible(plain))
-    lines = F.transform(F.split(F.regexp_replace(F.regexp_replace(form, "\r\n?", "\n"), "[ \t]+", " "), "[\n\x0b\x0c\x1c-\x1e\x85  ]"), strip)
-    kept = F.filter(lines, lambda x: (x == "") | ~(x.isin(*ARTIFACTS) | x.rlike(f"^{ARTIFACT}$")))
-    return strip(F.regexp_replace(F.array_join(kept, "\n"), "\n{3,}", "\n\n"))
+    form = re.sub("[ \t]+", " ", re.sub("\r\n?", "\n", unicodedata.normalize("NFKC", text or "")))
+    lines = [x for x in map(str.strip, form.splitlines()) if not x or x not in ARTIFACTS and not re.fullmatch(ARTIFACT, x)]
+    return re.sub("\n{3,}", "\n\n", "\n".join(lines)).strip()
 
 
 def normal_title(line: str) -> str:
@@ -80,7 +78,8 @@ def normal_title(line: str) -> str:
     short = re.sub(STANDARD_HEAD, "", line).strip()
     if len(short) >= 6 and re.search(f"[{CJK}]", short):
         line = short
-    return re.sub(ORDER_TAIL, "", re.sub(r"^备案号[:：][A-Za-z0-9\- ]+", "", line).strip()).strip()
+    line = re.sub(r"^备案号[:：][A-Za-z0-9\- ]+", "", line).strip()
+    return re.sub(ORDER_TAIL, "", line).strip() if line.endswith(("令", "号）")) else line
 
 
 def weak_line(line: str) -> bool:
@@ -133,27 +132,48 @@ def spans_of(lines: list[str]) -> list[tuple[float, int, int, str]]:
     return found
 
 
-@pandas_udf(StringType())
-def title_of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """The best span of the first twenty lines of a cleaned text that are not blank; null where none has points."""
-    for texts in parts:
-        best = [max(spans_of([x.strip() for x in islice((x for x in (t or "").split("\n") if x.strip()), 20)]), default=(0.0,)) for t in texts]
-        yield pd.Series([b[3] if b[0] > 0 else None for b in best], dtype=object)
+def title_of(text: str, source: str) -> str:
+    """The best span of the first twenty lines of a cleaned text that are not blank, or the source's stem where none has points."""
+    lines = list(islice((x.strip() for x in text.split("\n") if x.strip()), 20))
+    points, *_, span = max(spans_of(lines), default=(0.0, ""))
+    return span if points > 0 else PurePosixPath(source.replace("\\", "/")).stem
+
+
+def signals_of(title: str, head: str, text: str, source: str) -> list[str]:
+    """Names of what a document's name, title, head and first 5,000 characters say, sorted."""
+    every = f"{source}\n{title}\n{head}"
+    found = {name for name, scope, pattern in SIGNALS if re.search(pattern, title if scope == "title" else every)}
+    standards = {name for name, pattern in STANDARD_SIGNALS if re.search(rf"\b{pattern}", every, re.IGNORECASE)}
+    found |= standards | ({"standard_style"} if standards else set())
+    if len(re.findall(ARTICLE, text[:5000])) >= 2:
+        found.add("law_style")
+    if sum(w in every for w in LOG_FIELDS) >= 3:
+        found.add("log_template")
+    return sorted(found)
 
 
 def profiles(docs: DataFrame, source_col: str, text_col: str = "text", title_col: str | None = None, head: int = 1600) -> DataFrame:
-    """``docs`` with its text cleaned and, of each, ``title`` (``title_col``'s if it isn't blank), ``head`` (the first characters), ``signals`` (sorted names, joined by blanks), ``title_head`` and ``filename``: the columns that rules take as scopes.
+    """``docs`` with its text cleaned and, of each, ``filename``, ``title`` (``title_col``'s if it isn't blank), ``head`` (the first characters), ``title_head`` and ``signals`` (sorted names, joined by blanks): the columns that rules take as scopes.
 
     Null texts and sources are empty. Columns of these names are replaced. No shuffle; of a text the first twenty lines, 5,000 characters and the head are read, as that is what a profile is.
     """
-    given_title = F.nullif(strip(cleaned(F.col(title_col))), F.lit("")) if title_col else F.lit(None).cast("string")
-    rows = docs.withColumns({"filename": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "__title": given_title}).withColumn(text_col, cleaned(F.col(text_col)))
-    rows = rows.withColumn("title", F.coalesce("__title", title_of(text_col), stem(F.col("filename")))).drop("__title").withColumn("head", F.substring(text_col, 1, head))
-    rows = rows.withColumn("title_head", strip(F.concat_ws("\n", "title", "head")))
-    every = F.concat_ws("\n", "filename", "title", "head")
-    say = lambda name, test: F.when(test, F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))
-    found = [say(name, (F.col("title") if scope == "title" else F.col("__all")).rlike(pattern)) for name, scope, pattern in SIGNALS]
-    found += [say(name, F.col("__all").rlike(rf"(?i)(?<![\p{{L}}\p{{N}}_]){p}")) for name, p in STANDARD_SIGNALS] + [say("standard_style", F.col("__all").rlike(rf"(?i)(?<![\p{{L}}\p{{N}}_])(?:{_any(p for _, p in STANDARD_SIGNALS)})"))]
-    found.append(say("law_style", F.regexp_count(F.substring(text_col, 1, 5000), F.lit(ARTICLE)) >= 2))
-    found.append(say("log_template", sum((F.contains(F.col("__all"), F.lit(w)).cast("int") for w in LOG_FIELDS), F.lit(0)) >= 3))
-    return rows.withColumn("__all", every).withColumn("signals", F.array_join(F.array_sort(F.array_distinct(F.concat(*found))), " ")).drop("__all")
+    added = ("filename", "title", "head", "title_head", "signals")
+    plain = docs.drop(*[c for c in added if c not in (source_col, title_col, text_col)])
+    kept = [c for c in plain.columns if c not in added and c != text_col]
+    given_title = F.col(title_col).cast("string") if title_col else F.lit(None).cast("string")
+    inputs = plain.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).cast("string").alias("__text"), F.col(source_col).cast("string").alias("__source"), given_title.alias("__title"))
+    names = [*kept, text_col, *added]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                rows = []
+                for raw, source, title in zip(*(part.column(part.num_columns - i).to_pylist() for i in (3, 2, 1)), strict=True):
+                    text, source = cleaned(raw), source or ""
+                    title = cleaned(title) or title_of(text, source)
+                    rows.append((text, source, title, text[:head], f"{title}\n{text[:head]}".strip(), " ".join(signals_of(title, text[:head], text, source))))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-3], *(pa.array(c, pa.string()) for c in zip(*rows, strict=True))], names)
+
+    schema = StructType([*(plain.schema[c] for c in kept), *(StructField(c, StringType()) for c in (text_col, *added))])
+    return inputs.mapInArrow(run, schema)

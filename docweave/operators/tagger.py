@@ -26,6 +26,8 @@ from .classify import vote
 TRAIN_ROWS = 20_000
 MOST_LEAVES = 2_000
 BLOCK = 1 << 14
+#: Tasks that the sample is dealt to.
+PARTS = 16
 LEVELS = ("level1", "level2", "level3")
 #: Names of leaves that stand for whatever is left (fixed values).
 REST = ("其他", "其他主题", "other")
@@ -55,23 +57,29 @@ def features(text: Column, width: int) -> Column:
     return F.transform(F.coalesce(lexical_tokens(text), F.array().cast("array<string>")), lambda t: F.pmod(F.xxhash64(t), F.lit(width)).cast("int"))
 
 
-def _bags(rows, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def bags(rows, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, feature and value of the filled cells: log(1 + count), scaled to length 1, and a constant feature at ``width``."""
-    at, features_, values = [], [], []
-    for i, row in enumerate(rows):
-        idx, n = np.unique(np.asarray(row, np.int64), return_counts=True)
-        v = np.log1p(n)
-        at.append(np.full(len(idx) + 1, i))
-        features_.append(np.append(idx, width))
-        values.append(np.append(v / max(np.sqrt(v @ v), 1e-12), 1.0))
-    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (at, features_, values))
+    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+    flat = np.concatenate([np.asarray(r, np.int64) for r in rows]) if len(rows) else np.zeros(0, np.int64)
+    cells, n = np.unique(np.repeat(np.arange(len(rows)), sizes) * (width + 1) + flat, return_counts=True)
+    at, v = cells // (width + 1), np.log1p(n)
+    v = v / np.sqrt(np.maximum(np.bincount(at, v * v, len(rows)), 1e-24))[at]
+    every = np.arange(len(rows))
+    return np.concatenate([at, every]), np.concatenate([cells % (width + 1), np.full(len(rows), width)]), np.concatenate([v, np.ones(len(rows))])
+
+
+def _summed(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of ``values`` by ``at``."""
+    return np.stack([np.bincount(at, values[:, c], n) for c in range(values.shape[1])], axis=1)
+
+
+def _logits(bag: tuple, n: int, weights: np.ndarray) -> np.ndarray:
+    at, idx, v = bag
+    return _summed(at, v[:, None] * weights[idx], n)
 
 
 def logits(rows, weights: np.ndarray) -> np.ndarray:
-    at, idx, v = _bags(rows, len(weights) - 1)
-    out = np.zeros((len(rows), weights.shape[1]))
-    np.add.at(out, at, v[:, None] * weights[idx])
-    return out
+    return _logits(bags(rows, len(weights) - 1), len(rows), weights)
 
 
 def masked_softmax(z: np.ndarray, allowed: np.ndarray) -> np.ndarray:
@@ -86,9 +94,9 @@ def _parts(tax: Taxonomy) -> tuple[slice, slice, slice]:
     return slice(0, a), slice(a, a + b), slice(a + b, a + b + c)
 
 
-def gradient(rows, leaves: np.ndarray, weights: np.ndarray, tax: Taxonomy) -> np.ndarray:
+def gradient_of(bag: tuple, leaves: np.ndarray, weights: np.ndarray, tax: Taxonomy) -> np.ndarray:
     """Gradient of the summed cross entropy of the three levels; below the first, among the true parent's children."""
-    z, (s1, s2, s3) = logits(rows, weights), _parts(tax)
+    z, (s1, s2, s3) = _logits(bag, len(leaves), weights), _parts(tax)
     two = tax.parent3[leaves]
     one = tax.parent2[two]
     d = np.zeros_like(z)
@@ -97,10 +105,12 @@ def gradient(rows, leaves: np.ndarray, weights: np.ndarray, tax: Taxonomy) -> np
         p = masked_softmax(z[:, part], allowed)
         p[np.arange(len(true)), true] -= 1
         d[:, part] = p
-    at, idx, v = _bags(rows, len(weights) - 1)
-    out = np.zeros_like(weights)
-    np.add.at(out, idx, v[:, None] * d[at])
-    return out
+    at, idx, v = bag
+    return _summed(idx, v[:, None] * d[at], len(weights))
+
+
+def gradient(rows, leaves: np.ndarray, weights: np.ndarray, tax: Taxonomy) -> np.ndarray:
+    return gradient_of(bags(rows, len(weights) - 1), leaves, weights, tax)
 
 
 @dataclass
@@ -133,9 +143,9 @@ def _step(weights: np.ndarray, g: np.ndarray, speed: np.ndarray, rate: float, de
 def fit_here(rows: list, leaves: np.ndarray, tax: Taxonomy, width: int, rounds: int, rate: float, decay: float) -> Model:
     """The same training on rows that are here already."""
     weights = np.zeros((width + 1, sum(tax.sizes)))
-    speed = np.zeros_like(weights)
+    speed, bag = np.zeros_like(weights), bags(rows, width)
     for _ in range(rounds):
-        weights, speed = _step(weights, gradient(rows, leaves, weights, tax), speed, rate, decay, len(rows))
+        weights, speed = _step(weights, gradient_of(bag, leaves, weights, tax), speed, rate, decay, len(rows))
     return Model(tax, weights, len(rows))
 
 
@@ -158,11 +168,20 @@ def fit(labelled: DataFrame, key: str, text_col: str = "text", width: int = 4096
     known = labelled.where(" AND ".join(f"{c} IS NOT NULL" for c in LEVELS))
     names = spark.createDataFrame([(*p, i) for p, i in tax.number.items()], "level1 string, level2 string, level3 string, leaf int")
     some = known.select(*[F.col(c).cast("string").alias(c) for c in LEVELS], F.xxhash64(key).alias("h"), F.col(text_col).alias("text")).orderBy("h").limit(train_rows)
-    sample = some.join(F.broadcast(names), list(LEVELS)).select("leaf", features(F.col("text"), width).alias("idx"))
+    sample = some.join(F.broadcast(names), list(LEVELS)).select("leaf", "h", features(F.col("text"), width).alias("idx"))
     folder = shared_folder(spark, "tagger")
-    sample.write.parquet(folder)
+
+
+    def bagged(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for i in range(0, len(part), 512):
+                some = part.iloc[i : i + 512]
+                at, idx, v = bags(list(some["idx"]), width)
+                yield pd.DataFrame({"leaves": [some["leaf"].to_numpy(np.int32).tobytes()], "at": [at.astype(np.int32).tobytes()], "idx": [idx.astype(np.int32).tobytes()], "v": [v.tobytes()]})
+
+    sample.repartition(PARTS, "h").mapInPandas(bagged, "leaves binary, at binary, idx binary, v binary").write.parquet(folder)
     held = spark.read.parquet(folder)
-    n = held.count()
+    n = held.agg(F.coalesce(F.sum(F.octet_length("leaves")), F.lit(0))).first()[0] // 4
     weights = np.zeros((width + 1, sum(tax.sizes)))
     speed = np.zeros_like(weights)
 
@@ -170,7 +189,8 @@ def fit(labelled: DataFrame, key: str, text_col: str = "text", width: int = 4096
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = np.zeros_like(now)
             for part in parts:
-                total += gradient(list(part["idx"]), part["leaf"].to_numpy(), now, tax)
+                for leaves, at, idx, v in zip(part["leaves"], part["at"], part["idx"], part["v"], strict=True):
+                    total += gradient_of((np.frombuffer(at, np.int32), np.frombuffer(idx, np.int32), np.frombuffer(v)), np.frombuffer(leaves, np.int32), now, tax)
             flat = total.ravel()
             yield pd.DataFrame({"block": range(0, len(flat), BLOCK), "g": [flat[i : i + BLOCK].tobytes() for i in range(0, len(flat), BLOCK)]})
 

@@ -77,8 +77,14 @@ def archived(rows: DataFrame, write: Callable[[pd.DataFrame], bytes], path: str,
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
+            made: list[tuple[str, bytes]] = []
             for at in range(0, len(part), many):
                 some = part.iloc[at : at + many]
-                yield pd.DataFrame({"path": [str(some[path].iloc[0])], "content": [write(some)]})
+                made.append((str(some[path].iloc[0]), write(some)))
+                if len(made) == 256:
+                    yield pd.DataFrame(made, columns=["path", "content"])
+                    made = []
+            if made:
+                yield pd.DataFrame(made, columns=["path", "content"])
 
     return rows.mapInPandas(run, "path string, content binary")

@@ -53,8 +53,8 @@ def _rows(archived: DataFrame, read: Callable[[zipfile.ZipFile], Iterator[tuple]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
+            held: list[tuple] = []
             for path, content in zip(part["path"], part["content"], strict=True):
-                held: list[tuple] = []
                 try:
                     with zipfile.ZipFile(io.BytesIO(content or b"")) as archive:
                         for row in read(archive):
@@ -66,8 +66,8 @@ def _rows(archived: DataFrame, read: Callable[[zipfile.ZipFile], Iterator[tuple]
                     if not lenient:
                         raise ValueError(f"{path}: {e}") from e
                     held.append((path, *[None] * len(names), f"{type(e).__name__}: {e}"))
-                if held:
-                    yield pd.DataFrame(held, columns=["path", *names, "error"])
+            if held:
+                yield pd.DataFrame(held, columns=["path", *names, "error"])
 
     return archived.select("path", "content").mapInPandas(run, f"path string, {columns}, error string")
 
