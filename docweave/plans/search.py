@@ -68,7 +68,7 @@ _POINTS = " + ".join(f"CASE WHEN regexp_matches(s, '{p}') THEN {n} ELSE 0 END" f
     SELECT doc_id, rank, s AS span, instr(t, s) AS place, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, length(s) DESC, i) AS rank FROM r) WHERE rank <= 20""")
 def answer_spans(spark, d):
     found = table(spark, d, "documents").select("doc_id", F.posexplode(spans.answer_spans(F.col("text"), SPANS)).alias("i", "x"))
-    return found.select("doc_id", (F.col("i") + 1).alias("rank"), "x.span", "x.place", "x.score")
+    return found.select("doc_id", (F.col("i") + 1).cast("long").alias("rank"), "x.span", F.col("x.place").cast("long").alias("place"), "x.score")
 
 
 def _ends(c: str, ends: str) -> str:
@@ -91,7 +91,7 @@ _SIGNED = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9]+')[1:256])"
 def premise_excerpts(spark, d):
     found = _pairs(spark, d).select("conv_id", "turn", spans.premise_excerpt(F.col("answer"), F.col("question"), "en").alias("x"))
     best = F.coalesce(F.try_element_at("x.best", F.lit(1))["score"], F.lit(0.0))
-    return found.select("conv_id", "turn", "x.excerpt", "x.units", F.array_join("x.chosen", ",").alias("chosen"), F.round(best, 6).alias("best"))
+    return found.select("conv_id", "turn", "x.excerpt", F.col("x.units").cast("long").alias("units"), F.array_join("x.chosen", ",").alias("chosen"), F.round(best, 6).alias("best"))
 
 
 _ORDER_GRAMS = " UNION ALL ".join(f"SELECT conv_id, turn, {n} AS n, {m} AS mine, unnest(list_transform(range(1, len({s}) - {n - 2}), lambda i: {s}[i:i + {n - 1}])) AS g FROM t" for n in bleu.ORDERS for m, s in ((1, "c"), (0, "r")))
