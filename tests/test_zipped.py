@@ -57,6 +57,13 @@ def test_epub(spark, tmp_path):
     assert zipped.epub_markdown(files).first()["text"].startswith("# The Book\n\n# Start\n\nFirst & best line\nmore\n\n* x\n\n* y\n\n## Only a paragraph\n\nOnly a paragraph\n\nlong")
 
 
+def test_references_of_a_chapter_end_in_a_semicolon(spark):
+    page = "<html><head><title>A &amp;&amp B&copy C &lt; D &#39;&#39 E&</title></head><body><p>x &amp y &amp; z</p></body></html>"
+    df = spark.createDataFrame([("p", bytearray(sinks.epub("Pages", [page])))], "path string, content binary")
+    row = zipped.epub_chapters(df).first()
+    assert (row["title"], row["text"]) == ("A &&amp B&copy C < D '&#39 E&", "x &amp y & z")
+
+
 def test_xlsx(spark, tmp_path):
     rows = '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="inlineStr"><is><t>n</t></is></c><c r="D1" t="s"><v>0</v></c></row><row r="3"><c r="A3" t="s"><v>1</v></c><c r="C3"><v>1.50</v></c><c r="D3" t="b"><v>1</v></c></row><row r="4"><c r="A4" t="str"><v> </v></c></row><row r="9"><c r="B9"><v>7</v></c></row>'
     book = f'<workbook xmlns="{S}" xmlns:r="{R}"><sheets><sheet name="first" r:id="r1"/><sheet name="data" r:id="r2"/></sheets></workbook>'
