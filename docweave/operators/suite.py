@@ -59,12 +59,29 @@ def map_average(scores: Column) -> Column:
     return F.when(F.size(there) > 0, F.round(F.aggregate(there, F.lit(0.0), lambda s, x: s + x) / F.size(there), 6))
 
 
+def exact_means(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``keys``, ``m``: the mean of the values that are not null, the same however the rows are dealt and ordered.
+
+    Values are added up as whole multiples of a power of two, which is exact, by their binary exponent; a group's few sums are added from the largest down.
+    """
+    x = F.col(value).cast("double")
+    place = F.when((x != 0) & (F.abs(x) < float("inf")), F.floor(F.log2(F.abs(x))).cast("int"))
+    sums = rows.select(*keys, x.alias("x"), place.alias("e")).groupBy(*keys, "e").agg(
+        F.sum(F.when(F.col("e").isNotNull(), F.col("x") * F.pow(F.lit(2.0), 53 - F.col("e"))).cast("long").cast("decimal(20,0)")).alias("s"), F.count("x").alias("n"), F.sum("x").alias("plain")
+    )
+    parts = F.transform(F.sort_array(F.collect_list(F.when(F.col("s").isNotNull(), F.struct("e", "s"))), asc=False), lambda p: p["s"].cast("double") * F.pow(F.lit(2.0), p["e"] - 53))
+    out = sums.groupBy(*keys).agg(parts.alias("parts"), F.sum("n").alias("n"), F.sum("plain").alias("plain"))
+    whole = F.aggregate("parts", F.lit(0.0), lambda s, p: s + p)
+    odd = F.isnan("plain") | (F.abs("plain") == float("inf"))
+    return out.select(*keys, F.when(F.col("n") > 0, F.when(odd, F.col("plain")).otherwise(whole) / F.col("n")).alias("m"))
+
+
 def fused_ratings(ratings: DataFrame, *keys: str) -> DataFrame:
     """``keys``, ``score``, ``rating``: the mean of the positive scores of repeated ratings, and the rating nearest to it (ties by attempt); 0 and null without any.
 
     ``ratings``: keys, attempt, score, rating.
     """
-    means = ratings.groupBy(*keys).agg(F.avg(F.when(F.col("score") > 0, F.col("score"))).alias("m"))
+    means = exact_means(ratings.select(*keys, F.when(F.col("score") > 0, F.col("score")).alias("__x")), list(keys), "__x")
     near = F.when((F.col("score") > 0), F.struct(F.abs(F.col("score") - F.col("m")), "attempt"))
     best = ratings.join(means, list(keys)).groupBy(*keys, "m").agg(F.min_by("rating", near).alias("rating"))
     return best.select(*keys, F.round(F.coalesce("m", F.lit(0.0)), 6).alias("score"), "rating")

@@ -134,3 +134,21 @@ def test_stream_of_events(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert [r["n"] for r in spark.table("counted").collect()] == [2]
+
+
+def test_fused_ratings_do_not_depend_on_the_order_of_rows(spark):
+    from fractions import Fraction
+
+    from docweave.operators import suite
+
+    rows = [("u", i, v, str(v)) for i, v in enumerate([23.31, 20.49] * 6)] + [("w", i, v, str(v)) for i, v in enumerate([1e16, 0.1, 3.0, 0.2, 1e-9, 1e16, 7.7])] + [("z", 0, 0.0, "a"), ("z", 1, None, "b")]
+    found = set()
+    for parts in (1, 3, 7):
+        for some in (rows, rows[::-1], sorted(rows, key=lambda r: (r[2] or 0, r[1]))):
+            df = spark.createDataFrame(some, "k string, attempt int, score double, rating string").repartition(parts)
+            means = {r["k"]: r["m"] for r in suite.exact_means(df.selectExpr("k", "if(score > 0, score, null) AS x"), ["k"], "x").collect()}
+            assert means["z"] is None and means["u"] == float(sum(Fraction(v) for _, _, v, _ in rows[:12])) / 12
+            found.add((means["u"], means["w"], *sorted(tuple(r) for r in suite.fused_ratings(df, "k").collect())))
+    assert len(found) == 1 and ("u", 21.9, "20.49") in next(iter(found)) and ("z", 0.0, None) in next(iter(found))
+    odd = spark.createDataFrame([("a", float("inf")), ("a", 1.0), ("b", float("nan")), ("b", 1.0)], "k string, x double")
+    assert {r["k"]: str(r["m"]) for r in suite.exact_means(odd, ["k"], "x").collect()} == {"a": "inf", "b": "nan"}
