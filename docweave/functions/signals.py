@@ -28,13 +28,22 @@ def any_of(words: list[str]) -> str:
     return "(?:" + "|".join(words) + ")"
 
 
+#: A boundary between ASCII letters, digits and underscores, and all else. Java's own takes letters of any script for the former, other engines don't.
+EDGE = "(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
+
+
+def word_of(pattern: str) -> str:
+    """Words of a pattern between such boundaries."""
+    return f"(?<![0-9A-Za-z_])(?:{pattern})(?![0-9A-Za-z_])"
+
+
 def lines(text: Column) -> Column:
     """Lines that are not blank, trimmed."""
     return F.filter(F.transform(F.split(text, "\r?\n|\r"), strip), lambda x: x != "")
 
 
 def has_sentence(text: Column) -> Column:
-    return text.rlike(f"[{SENTENCE_MARKS}]") | text.rlike(rf"(?i)\b{any_of(SENTENCE_WORDS)}\b")
+    return text.rlike(f"[{SENTENCE_MARKS}]") | text.rlike(f"(?i){word_of('|'.join(SENTENCE_WORDS))}")
 
 
 def has_list(text: Column) -> Column:
@@ -44,7 +53,7 @@ def has_list(text: Column) -> Column:
 def has_facts(text: Column) -> Column:
     """A sentence, a list, a date, an amount with a unit, or a word that states something."""
     date, amount = r"[0-9]{4}[-年/][0-9]{1,2}", rf"(?i)[0-9]+(?:\.[0-9]+)?\s*{any_of(UNITS)}"
-    said = rf"(?i)\b(?:{'|'.join(FACT_WORDS)}|applies to)\b"
+    said = f"(?i){word_of('|'.join((*FACT_WORDS, 'applies to')))}"
     return reduce(lambda a, b: a | b, [has_sentence(text), has_list(text), *[text.rlike(p) for p in (date, amount, any_of(FACT_WORDS_ZH), said)]])
 
 

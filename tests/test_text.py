@@ -121,3 +121,13 @@ def test_reading_scores(spark):
     rows = [("a", "北京大学", ["北京", "上海"]), ("b", "red fox", ["the red fox", "red fox"]), ("c", "x", []), ("d", None, ["y"])]
     got = {r["k"]: (r["f1"], r["em"]) for r in scoring.reading_scores(spark.createDataFrame(rows, "k string, a string, r array<string>"), "k", "a", "r").collect()}
     assert got == {"a": (66.666667, 0.0), "b": (100.0, 100.0), "c": (0.0, 0.0), "d": (0.0, 0.0)}
+
+
+def test_word_boundaries_are_those_of_ascii(spark):
+    from docweave.functions import signals
+    from docweave.operators import items
+
+    df = spark.createDataFrame([("ñare here",), ("areé x",), ("xare",), ("are_",), ("It are",)], "t string")
+    got = [tuple(r) for r in df.select(signals.has_sentence(F.col("t")), signals.has_facts(F.col("t"))).collect()]
+    assert got == [(True, True), (True, True), (False, False), (False, False), (True, True)]
+    assert [r[0] for r in spark.createDataFrame([("éwhat are items",), ("xwhat are items",)], "t string").select(items.shallow_list(F.col("t"), "en")).collect()] == [True, False]
