@@ -152,3 +152,32 @@ def test_fused_ratings_do_not_depend_on_the_order_of_rows(spark):
     assert len(found) == 1 and ("u", 21.9, "20.49") in next(iter(found)) and ("z", 0.0, None) in next(iter(found))
     odd = spark.createDataFrame([("a", float("inf")), ("a", 1.0), ("b", float("nan")), ("b", 1.0)], "k string, x double")
     assert {r["k"]: str(r["m"]) for r in suite.exact_means(odd, ["k"], "x").collect()} == {"a": "inf", "b": "nan"}
+
+
+def test_searches_by_blocks_find_what_plain_products_find(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    side = lambda n: [np.unique(rng.zipf(1.3, 30) % 90) for _ in range(n)]
+    flat = lambda rows: (np.array([len(r) for r in rows]), np.concatenate(rows).astype(np.int64), rng.random(sum(map(len, rows))))
+
+    def dense(sizes, terms, weights):
+        out = np.zeros((len(sizes), 90))
+        out[np.repeat(np.arange(len(sizes)), sizes), terms] = weights
+        return out
+
+    q, d = flat(side(33)), flat(side(40))
+    for step in (5, 1 << 21):
+        assert np.allclose(retrieval.term_products(q, d, step), dense(*q) @ dense(*d).T)
+    words = [f"w{i}" for i in range(40)]
+    texts = [(i, " ".join(words[int(j) % 40] for j in rng.zipf(1.4, 12))) for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    queries = docs.where("doc_id % 20 = 0").selectExpr("doc_id query_id", "text query")
+    for each, one in ((retrieval.lexical_top_each, retrieval.lexical_scores), (retrieval.bm25_top_each, retrieval.bm25)):
+        found = each(docs, queries, 4, block=7)
+        got = [(r["query_id"], r["doc_id"], r["score"], r["rank"]) for r in found.collect()]
+        want = []
+        for i, text in texts[::20]:
+            best = sorted(((-r["score"], r["doc_id"]) for r in one(docs, text).collect()))[:4]
+            want += [(i, doc, -score, n) for n, (score, doc) in enumerate(best, 1)]
+        assert sorted(got) == sorted(want)
