@@ -21,3 +21,17 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(top)
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+#: Bytes of rows that Spark sends to Python at a time; its own default of 64 MB takes several hundred MB of an executor's memory.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """For queries, which are applications of the operators: a small bound on Arrow batches, unless the session has set one of its own.
+
+    The operators themselves leave the session's settings alone.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(spark.conf.get(key)).rstrip("b")) == 64 << 20:
+        spark.conf.set(key, str(BATCH_BYTES))

@@ -8,26 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import bound_batches
 from . import bpe_automaton, compaction, cover_tree, decontaminate, filter_audit, html_extract, language_id, license_scan, packing, simhash_dedup, token_counts, treap_search, warc_zstd
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-#: Bytes of texts that Spark sends to Python at a time; its own default of 64 MB takes several hundred MB of an executor's memory.
-BATCH_BYTES = 4 << 20
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """For the queries and the pipeline, which are applications of the operators: a small bound on Arrow batches, unless the session has set one of its own.
-
-    The operators themselves leave the session's settings alone.
-    """
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(str(spark.conf.get(key)).rstrip("b")) == 64 << 20:
-        spark.conf.set(key, str(BATCH_BYTES))
-
-
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

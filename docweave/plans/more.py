@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as T
+from ..functions.shared import bound_batches
 from ..operators import chunking, classify, consolidation, coverage, evidence, items, planning, scoring, suite
 from ..sinks import writers
 from ..sources import readers
@@ -307,6 +308,7 @@ def number_functions(spark, d):
 @unchecked
 def doc_markdown_split(spark, d):
     """Sections of every document, long ones in parts; tested against plain Python on texts with headings."""
+    bound_batches(spark)
     return chunking.section_chunks(table(spark, d, "documents"), 1500)
 
 

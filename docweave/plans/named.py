@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.shared import shared_folder
+from ..functions.shared import bound_batches, shared_folder
 from ..operators import chunking, grounding, language_model, planning, records, retrieval, scoring
 from ..sources.readers import links, row_ranges, table
 from .sql import FIXED as _FIXED
@@ -475,6 +475,7 @@ def rouge_l(spark, d):
 
 @unchecked
 def doc_recursive_split(spark, d):
+    bound_batches(spark)
     return chunking.recursive(table(spark, d, "documents"), 600)
 
 

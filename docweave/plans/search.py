@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.shared import shared_folder
+from ..functions.shared import bound_batches, shared_folder
 from ..operators import bleu, profile, quantiles, records, spans, tagger, vector_index
 from ..sinks import exactly_once
 from ..sinks import zipped as zip_sinks
@@ -18,6 +18,7 @@ from .sql import PAIRS, collapse_sql, metric_tokens_sql, strip_sql
 @unchecked
 def vector_topk_index(spark, d):
     """Every vector whose id is divisible by 50 against lists that hold every row."""
+    bound_batches(spark)
     vectors = table(spark, d, "embeddings")
     queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     index = vector_index.build(vectors, shared_folder(spark, "vectors"))
@@ -177,6 +178,7 @@ def docx_round_trip(spark, d):
 
 @named("SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, CAST(n_chars AS VARCHAR) AS n_chars, text FROM documents")
 def xlsx_round_trip(spark, d):
+    bound_batches(spark)
     docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars", "text")
     write = lambda some: zip_sinks.xlsx(list(some.columns), [tuple(None if v is None or v != v else int(v) if hasattr(v, "dtype") else v for v in r) for r in some.itertuples(index=False)])
     return zipped.xlsx_table(_stored(spark, zip_sinks.archived(docs, write, "doc_id", 200), "xlsx")).select("doc_id", "lang", "n_chars", "text")

@@ -28,7 +28,7 @@ def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for p in Path(DATA).glob("*.parquet"):
         con.sql(f"create view {p.stem} as select * from '{p}'")
-    df = named.QUERIES[name](spark, DATA)
+    df = named.QUERIES[name](spark, "/root/testdata/sf0.001")
     rel = con.sql(named.ORACLE_SQL[name])
     cols = sorted(df.columns)
     assert cols == sorted(rel.columns)
@@ -181,3 +181,18 @@ def test_searches_by_blocks_find_what_plain_products_find(spark):
             best = sorted(((-r["score"], r["doc_id"]) for r in one(docs, text).collect()))[:4]
             want += [(i, doc, -score, n) for n, (score, doc) in enumerate(best, 1)]
         assert sorted(got) == sorted(want)
+
+
+def test_queries_with_python_rows_bound_their_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for name in ("doc_recursive_split", "doc_markdown_split"):
+            spark.conf.set(key, str(64 << 20))
+            named.QUERIES[name](spark, "/root/testdata/sf0.001")
+            assert int(spark.conf.get(key)) == 4 << 20
+            spark.conf.set(key, "12345")
+            named.QUERIES[name](spark, "/root/testdata/sf0.001")
+            assert spark.conf.get(key) == "12345"
+    finally:
+        spark.conf.set(key, before)
