@@ -2,33 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, LongType
 
 from ..functions.text import metric_tokens
 
 ORDERS = (1, 2, 3, 4)
 
 
-def _grams(tokens: Column, n: int) -> Column:
-    """The n-grams of a list of tokens as arrays, repeats kept."""
-    some = F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.slice(tokens, i, F.lit(n)))
-    return F.when(F.size(tokens) >= n, some).otherwise(F.array().cast("array<array<string>>"))
+@pandas_udf(ArrayType(LongType()))
+def _hits(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """For each order the n-grams that two lists of tokens share, as multisets."""
+    grams = lambda x, n: Counter(zip(*[x[i:] for i in range(n)], strict=False))
+    for c, r in pairs:
+        yield pd.Series([[(grams(x, n) & grams(y, n)).total() for n in ORDERS] for x, y in zip(map(list, c), map(list, r), strict=True)])
 
 
 def bleu(pairs: DataFrame, keys: list[str], candidate: str, reference: str, smooth: bool = True) -> DataFrame:
     """``keys`` and ``bleu`` (0 to 100, 6 decimals): the geometric mean of the clipped precisions of the orders 1 to 4 that the candidate is long enough for, times the brevity penalty.
 
     With ``smooth`` an order without a hit counts 1/2 hit, the next one 1/4 and so on; without, the score is 0. It is 0 in any case where no word is shared. Tokens are those of ``metric_tokens``;
-    null and blank texts have none and score 0. Null keys are keys; rows that repeat in keys and texts are one row. N-grams are counted by pair, order and n-gram before they meet, so that no pair of long texts is one task's work.
+    null and blank texts have none and score 0. Null keys are keys; rows that repeat in keys and texts are one row. N-grams are counted
+    where the texts lie, in time and memory in proportion to a pair; sizes and hits alone are shuffled.
     """
     rows = pairs.select(F.struct(*keys).alias("k"), metric_tokens(F.col(candidate)).alias("c"), metric_tokens(F.col(reference)).alias("r"))
-    rows = rows.select("k", F.xxhash64("c", "r").alias("h"), "c", "r").dropDuplicates(["k", "h"])
-    sides = [F.struct(F.lit(n).alias("n"), F.lit(s == "c").cast("int").alias("mine"), g.alias("grams")) for n in ORDERS for s, g in (("c", _grams(F.col("c"), n)), ("r", _grams(F.col("r"), n)))]
-    grams = rows.select("k", "h", F.explode(F.array(*sides)).alias("x")).select("k", "h", "x.n", "x.mine", F.explode("x.grams").alias("g"))
-    counts = grams.groupBy("k", "h", "n", "g").agg(F.sum("mine").alias("own"), F.sum(1 - F.col("mine")).alias("other"))
-    hits = counts.groupBy("k", "h").agg(*[F.sum(F.when(F.col("n") == n, F.least("own", "other"))).alias(f"hit{n}") for n in ORDERS])
-    both = rows.select("k", "h", F.size("c").alias("size"), F.size("r").alias("length")).join(hits.withColumnsRenamed({"k": "k2", "h": "h2"}), F.col("k").eqNullSafe(F.col("k2")) & (F.col("h") == F.col("h2")), "left")
+    found = rows.select("k", F.xxhash64("c", "r").alias("h"), F.size("c").alias("size"), F.size("r").alias("length"), _hits("c", "r").alias("hits"))
+    both = found.dropDuplicates(["k", "h"]).select("k", "size", "length", *[F.col("hits")[i].alias(f"hit{n}") for i, n in enumerate(ORDERS)])
     logs, half, orders, missed = F.lit(0.0), F.lit(1.0), F.lit(0), F.lit(False)
     for n in ORDERS:
         total, hit = F.col("size") - (n - 1), F.coalesce(F.col(f"hit{n}"), F.lit(0))

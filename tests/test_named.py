@@ -196,3 +196,13 @@ def test_queries_with_python_rows_bound_their_batches(spark):
             assert spark.conf.get(key) == "12345"
     finally:
         spark.conf.set(key, before)
+
+
+def test_bleu_shuffles_no_ngrams(spark):
+    from docweave.operators import bleu
+
+    pairs = spark.createDataFrame([(1, "a b c d e a b", "a b x c d e f"), (1, "a b c d e a b", "a b x c d e f"), (2, "a", None)], "i int, c string, r string")
+    found = bleu.bleu(pairs, ["i"], "c", "r")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert sorted(r["i"] for r in found.collect()) == [1, 2]
