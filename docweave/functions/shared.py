@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -23,6 +23,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """Rows that are read more than once, computed once: written as a table in the shared folder."""
+    folder = shared_folder(rows.sparkSession, name)
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.parquet(folder)
+
+
 #: Bytes of rows that Spark sends to Python at a time; its own default of 64 MB takes several hundred MB of an executor's memory.
 BATCH_BYTES = 4 << 20
 

@@ -3,44 +3,111 @@
 ``chunks``: doc_id, chunk_index, parent, title_path, text, vector (array<double>). ``queries``: query_id, doc_id,
 source_index (the chunk the question came from), query, terms (array of terms that should occur), vector, scope
 (source_primary, same_section, cross_chunk). A question is compared with the chunks of its own document only: all joins
-are equalities on the document, the document and a token, or the query.
+are equalities on the document or the query.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from ..functions.text import given, jaccard, lexical_tokens, title_parts
+from ..functions.text import jaccard, lexical_tokens, title_parts
 from .retrieval import dot
 
 SCOPES = ("source_primary", "same_section", "cross_chunk")
 _RANKED = ("dense", "lexical", "structure", "fused")
 
 
-def hashed_vector(text: Column, size: int = 64) -> Column:
-    """Unit vector of token counts by a hash of the token: a stand-in, equal everywhere, for an embedding model. Zero without tokens."""
-    places = F.transform(lexical_tokens(F.coalesce(text, F.lit(""))), lambda t: F.conv(F.substring(F.md5(t.cast("binary")), 1, 4), 16, 10).cast("int") % size)
-    counts = given(places, lambda ps: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda d: F.size(F.filter(ps, lambda p: p == d)).cast("double")))
-    norm = lambda xs: F.sqrt(F.aggregate(xs, F.lit(0.0), lambda s, x: s + x * x))
-    return given(counts, lambda xs: given(norm(xs), lambda n: F.transform(xs, lambda x: F.when(n > 0, x / n).otherwise(0.0))))
+def _unit_counts(words: pa.Array, size: int) -> pa.Array:
+    words = pc.split_pattern(words.cast(pa.large_string()), " ")
+    codes = words.flatten().dictionary_encode()  # a word is hashed once a batch
+    places = np.array([int(hashlib.md5(t.encode()).hexdigest()[:4], 16) % size if t else size for t in codes.dictionary.to_pylist()], dtype=np.int64)
+    at = np.repeat(np.arange(len(words)), words.value_lengths().to_numpy(zero_copy_only=False))
+    counts = np.bincount(at * (size + 1) + places[codes.indices.to_numpy()], minlength=len(words) * (size + 1)).reshape(len(words), size + 1)[:, :size].astype(np.float64)
+    unit = counts / np.sqrt(np.maximum((counts * counts).sum(axis=1), 1.0))[:, None]
+    return pa.ListArray.from_arrays(np.arange(len(words) + 1, dtype=np.int32) * size, unit.ravel())
+
+
+def with_hashed_vectors(rows: DataFrame, size: int = 64, **texts: str) -> DataFrame:
+    """``rows`` with vectors of the columns that ``texts`` names: the unit vector of token counts by a hash of the token, a stand-in, equal everywhere, for an embedding model. Zero without tokens."""
+    names = [*rows.columns, *texts]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                columns = batch.slice(at, 1024).columns
+                kept = len(columns) - len(texts)
+                yield pa.RecordBatch.from_arrays([*columns[:kept], *(_unit_counts(x, size) for x in columns[kept:])], names)
+
+    words = [F.array_join(lexical_tokens(F.coalesce(c, F.lit(""))), " ") for c in texts.values()]
+    schema = StructType([*rows.schema, *(StructField(n, ArrayType(DoubleType())) for n in texts)])
+    return rows.select("*", *[w.alias(f"__words{i}") for i, w in enumerate(words)]).mapInArrow(run, schema)
+
+
+def _lists(column: pa.Array, *names: str) -> tuple:
+    """Of a column of arrays of structs: the row of each struct, and its fields."""
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    inner = column.flatten()
+    return np.repeat(np.arange(len(column)), sizes), *[pc.struct_field(inner, [n]) for n in names]
+
+
+def _overlaps(queries: pa.Array, chunks: pa.Array, step: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """query_id, chunk_index and overlap for rows that are documents, about ``step`` meetings of a query's token with a chunk's at a time."""
+    (q_doc, q_id, q_tokens), (c_doc, c_index, c_tokens) = _lists(queries, "query_id", "tokens"), _lists(chunks, "chunk_index", "tokens")
+    q_id, c_index = (x.to_numpy(zero_copy_only=False) for x in (q_id, c_index))
+    flat = pa.concat_arrays([q_tokens.flatten(), c_tokens.flatten()]).dictionary_encode()
+    codes, n = flat.indices.to_numpy().astype(np.int64), max(1, len(flat.dictionary))
+    size = lambda tokens: tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    q_row, c_row = np.repeat(np.arange(len(q_id)), size(q_tokens)), np.repeat(np.arange(len(c_index)), size(c_tokens))
+    # different tokens of each query and chunk, those of the chunks in order of document and token
+    q_row, q_code = np.divmod(np.unique(q_row * n + codes[: len(q_row)]), n)
+    c_row, c_code = np.divmod(np.unique(c_row * n + codes[len(codes) - len(c_row) :]), n)
+    c_key = c_doc[c_row] * n + c_code
+    order = np.argsort(c_key, kind="stable")
+    c_row, (keys, first, df) = c_row[order], np.unique(c_key[order], return_index=True, return_counts=True)
+    q_key = q_doc[q_row] * n + q_code
+    place = np.minimum(np.searchsorted(keys, q_key), max(0, len(keys) - 1))
+    known = keys[place] == q_key if len(keys) else np.zeros(len(q_key), bool)
+    df, first = (np.where(known, x[place], 0) if len(keys) else np.zeros(len(q_key), np.int64) for x in (df, first))
+    idf = np.where(known, np.log((np.bincount(c_doc, minlength=len(queries))[q_doc[q_row]] + 1) / (df + 0.5)) + 1, 1.0)
+    total = np.bincount(q_row, idf, len(q_id))
+    ends = np.cumsum(np.bincount(q_row, df, len(q_id)))  # meetings by query
+    bounds = np.unique(np.searchsorted(ends, np.arange(step, (ends[-1] if len(ends) else 0) + step, step), side="left"))
+    for lo, hi in zip([0, *(bounds + 1)], [*(bounds + 1), len(q_id)]):  # queries are whole
+        a, b = np.searchsorted(q_row, [lo, hi])
+        count = df[a:b]
+        if not count.sum():
+            continue
+        other = c_row[np.repeat(first[a:b] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+        pairs, at = np.unique(np.repeat(q_row[a:b], count) * len(c_index) + other, return_inverse=True)
+        q, c = np.divmod(pairs, len(c_index))
+        yield q_id[q], c_index[c], np.bincount(at, np.repeat(idf[a:b], count)) / total[q]
 
 
 def lexical_overlap(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """``query_id``, ``chunk_index``, ``overlap``: share of the query's idf weight that the chunk's tokens have; pairs without a common token are absent.
 
     idf is ln((N + 1) / (df + 0.5)) + 1 over the N chunks of the document; tokens that no chunk has weigh 1. Tokens of the terms belong to the query.
+    Chunks and queries are shuffled by their document, tokens are not: they meet in a row that is as large as the document.
     """
-    tokens = chunks.select("doc_id", "chunk_index", F.explode(F.array_distinct(lexical_tokens(F.col("text")))).alias("token"))
-    sizes = chunks.groupBy("doc_id").agg(F.count("*").alias("n"))
-    df = tokens.groupBy("doc_id", "token").agg(F.count("*").alias("df"))
-    every = F.array_distinct(F.flatten(F.transform(F.concat(F.array("query"), F.coalesce("terms", F.array().cast("array<string>"))), lexical_tokens)))
-    wanted = queries.select("query_id", "doc_id", F.explode(every).alias("token")).join(sizes, "doc_id", "left").join(df, ["doc_id", "token"], "left")
-    idf = F.coalesce(F.log((F.col("n") + 1) / (F.col("df") + 0.5)) + 1, F.lit(1.0))
-    wanted = wanted.select("query_id", "doc_id", "token", idf.alias("idf"))
-    total = wanted.groupBy("query_id").agg(F.sum("idf").alias("total"))
-    hit = wanted.join(tokens, ["doc_id", "token"]).groupBy("query_id", "chunk_index").agg(F.sum("idf").alias("hit"))
-    return hit.join(total, "query_id").select("query_id", "chunk_index", (F.col("hit") / F.col("total")).alias("overlap"))
+    every = F.flatten(F.transform(F.concat(F.array(F.coalesce("query", F.lit(""))), F.filter(F.coalesce("terms", F.array().cast("array<string>")), lambda t: t.isNotNull())), lexical_tokens))
+    tokens = F.coalesce(lexical_tokens(F.col("text")), F.array().cast("array<string>"))
+    q = queries.groupBy("doc_id").agg(F.collect_list(F.struct("query_id", every.alias("tokens"))).alias("q"))
+    c = chunks.groupBy("doc_id").agg(F.collect_list(F.struct("chunk_index", tokens.alias("tokens"))).alias("c"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for columns in _overlaps(batch.column(0), batch.column(1)):
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "chunk_index", "overlap"])
+
+    return q.join(c, "doc_id").select("q", "c").mapInArrow(run, "query_id long, chunk_index long, overlap double")
 
 
 def scored_pairs(chunks: DataFrame, queries: DataFrame, weights: tuple[float, float, float] = (0.68, 0.24, 0.08), semantic: bool = False) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as T
-from ..functions.shared import bound_batches
+from ..functions.shared import bound_batches, stored
 from ..operators import chunking, classify, consolidation, coverage, evidence, items, planning, scoring, suite
 from ..sinks import writers
 from ..sources import readers
@@ -21,10 +21,12 @@ _TERMS = ("license", "version")
 
 
 def _chunks(spark, d) -> DataFrame:
+    bound_batches(spark)
     docs = table(spark, d, "documents")
     side = docs.select("doc_id", F.concat_ws(" > ", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))).alias("title_path"))
     rows = chunking.fixed(docs, 600).join(side, "doc_id")
-    return rows.select("doc_id", "chunk_index", F.floor(F.col("chunk_index") / 4).cast("string").alias("parent"), "title_path", "text", evidence.hashed_vector(F.col("text")).alias("vector"))
+    rows = rows.select("doc_id", "chunk_index", F.floor(F.col("chunk_index") / 4).cast("string").alias("parent"), "title_path", "text")
+    return stored(evidence.with_hashed_vectors(rows, vector="text"), "chunks")
 
 
 def _questions(chunks: DataFrame) -> DataFrame:
@@ -72,7 +74,7 @@ def evidence_select(spark, d):
     """The chunks that the evidence supports under a budget, with their roles; tested against plain Python."""
     chunks = _chunks(spark, d)
     questions = _questions(chunks)
-    rank = evidence.ranked(evidence.scored_pairs(chunks, questions))
+    rank = stored(evidence.ranked(evidence.scored_pairs(chunks, questions)), "ranked")
     return evidence.selected(evidence.hits(rank), evidence.scope_decision(rank, questions, "cross_chunk"), chunks, 2000)
 
 
@@ -80,15 +82,16 @@ def evidence_select(spark, d):
 
 
 def _units(spark, d) -> DataFrame:
+    bound_batches(spark)
     texts = table(spark, d, "conversations").where("role = 'assistant'").withColumn("key", F.struct("conv_id", "turn"))
     rows = chunking.units(texts, 10, 256, "key", "text").select("key.conv_id", F.concat_ws("/", F.col("key.turn").cast("string"), F.col("unit").cast("string")).alias("unit"), "text")
-    return rows.withColumn("vector", evidence.hashed_vector(F.col("text")))
+    return stored(evidence.with_hashed_vectors(rows, vector="text"), "units")
 
 
 def _asked(spark, d) -> DataFrame:
     p = _pairs(spark, d).withColumn("both", F.concat_ws("\n", "question", "answer"))
-    vector = lambda c, n: evidence.hashed_vector(F.col(c)).alias(n)
-    return p.select("conv_id", F.col("turn").alias("item"), "answer", vector("both", "vector"), vector("question", "question_vector"), vector("answer", "answer_vector"))
+    p = evidence.with_hashed_vectors(p, vector="both", question_vector="question", answer_vector="answer")
+    return stored(p.select("conv_id", F.col("turn").alias("item"), "answer", "vector", "question_vector", "answer_vector"), "asked")
 
 
 @unchecked
@@ -101,7 +104,7 @@ def coverage_recall(spark, d):
 @unchecked
 def coverage_self(spark, d):
     units, asked = _units(spark, d), _asked(spark, d)
-    chance = coverage.negatives(units, asked, "conv_id")
+    chance = stored(coverage.negatives(units, asked, "conv_id"), "chance")
     recall = coverage.coverage_recall(coverage.best_similarity(units, asked, "conv_id"), chance, "conv_id")
     return coverage.coverage_self(units, asked, chance, recall, "conv_id")
 

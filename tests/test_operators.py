@@ -1,9 +1,11 @@
 """Evidence, coverage, chunk trees, classification, suites, consolidation, readers and writers against plain Python."""
 
+import hashlib
 import math
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from docweave.functions import text as T
@@ -399,3 +401,25 @@ def test_source_labels_by_place(spark):
     facts = [("第一条 甲乙。第二条 丙丁。", "丙丁"), ("第一条 甲乙。第二条 丙丁。", "见第一条 丙丁"), ("甲 第三条 乙", "甲"), ("甲 第三条 乙 第四条", ""), ("甲 第三条 乙 第四条", "无"), ("第一条 甲 第一条 乙", "乙")]
     got = [r[0] for r in spark.createDataFrame(facts, "t string, f string").select(T.source_of_fact(F.col("t"), F.col("f"))).collect()]
     assert got == ["第二条", "第一条", "第三条", None, None, "第一条"]
+
+
+def test_vectors_and_overlaps_of_whole_batches(spark):
+    from docweave.functions.text import lexical_tokens
+
+    rows = spark.createDataFrame([(1, "Red fox red"), (2, None), (3, "北京大学 x1"), (4, "!")], "doc_id long, text string")
+    words = {r["doc_id"]: r["t"] for r in rows.select("doc_id", lexical_tokens(F.coalesce("text", F.lit(""))).alias("t")).collect()}
+    got = {r["doc_id"]: r["vector"] for r in evidence.with_hashed_vectors(rows, 8, vector="text").collect()}
+    for k, ws in words.items():
+        counts = [0.0] * 8
+        for w in ws:
+            counts[int(hashlib.md5(w.encode()).hexdigest()[:4], 16) % 8] += 1
+        norm = math.sqrt(sum(x * x for x in counts))
+        assert got[k] == [x / norm if norm else 0.0 for x in counts]
+    # meetings of tokens are cut into steps, queries stay whole
+    docs = pa.array([[{"query_id": 7, "tokens": ["a", "b", "a"]}, {"query_id": 8, "tokens": ["zz"]}, {"query_id": 9, "tokens": ["b"]}], []])
+    chunks = pa.array([[{"chunk_index": 0, "tokens": ["a", "b"]}, {"chunk_index": 1, "tokens": ["b"]}], [{"chunk_index": 5, "tokens": ["a"]}]])
+    a, b = math.log(3 / 1.5) + 1, math.log(3 / 2.5) + 1
+    want = {(7, 0): 1.0, (7, 1): b / (a + b), (9, 0): 1.0, (9, 1): 1.0}
+    for step in (1, 2, 100):
+        found = {(q, c): o for x in evidence._overlaps(docs, chunks, step) for q, c, o in zip(*x, strict=True)}
+        assert found == pytest.approx(want)
