@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from ..functions.text import WHITE, given
+from ..functions.shared import stored
+from ..functions.text import WHITE, anchor_form, given
 from .retrieval import dot, vector_top_each
-from .scoring import lexical_anchor
+from .scoring import anchor_counts
 
 #: Width of the buckets that similarities in 0..1 are counted in.
 BUCKETS = 1024
@@ -18,10 +24,43 @@ def context_id(text: Column) -> Column:
     return F.concat(F.lit("sha1:"), F.sha1(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), f"[{WHITE}]+", " ")).cast("binary")))
 
 
+def _dots(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """As ``dot``, row by row; 0 for a null array. Added up in order of the components, so that the results are the same."""
+    n, sides = len(a), []
+    for side in (a, b):
+        size = side.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        sides.append((size, side.flatten().cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False)))
+    common, out = np.minimum(sides[0][0], sides[1][0]), np.zeros(n)
+    start = [np.cumsum(size) - size for size, _ in sides]
+    for j in range(int(common.max(initial=0))):
+        here = np.flatnonzero(common > j)
+        out[here] += sides[0][1][start[0][here] + j] * sides[1][1][start[1][here] + j]
+    return out
+
+
+def compared(pairs: DataFrame, dots: dict[str, tuple[str, str]], anchor: tuple[str, str] | None = None) -> DataFrame:
+    """``pairs`` with inner products of the named columns and, of two columns in their anchor form, ``hits`` and ``grams``, as ``anchor_counts`` has them; the compared columns are dropped."""
+    used = list(dict.fromkeys([c for ab in dots.values() for c in ab] + list(anchor or ())))
+    kept = [c for c in pairs.columns if c not in used]
+    added = [(n, DoubleType()) for n in dots] + ([("hits", LongType()), ("grams", LongType())] if anchor else [])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                columns = [pa.array(_dots(part.column(a), part.column(b))) for a, b in dots.values()]
+                if anchor:
+                    columns += [pa.array(x, pa.int64()) for x in anchor_counts(*(part.column(c).to_pylist() for c in anchor))]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *columns], [*kept, *(n for n, _ in added)])
+
+    schema = StructType([*(pairs.schema[c] for c in kept), *(StructField(n, t) for n, t in added)])
+    return pairs.select(*kept, *used).mapInArrow(run, schema)
+
+
 def best_similarity(units: DataFrame, answers: DataFrame, group: str, unit: str = "unit") -> DataFrame:
     """``group``, ``unit``, ``s``: the largest inner product of each unit's vector with an answer's vector of its group, 0 at least and without any."""
     pairs = units.select(group, unit, F.col("vector").alias("u")).join(answers.select(group, F.col("vector").alias("a")), group, "left")
-    return pairs.groupBy(group, unit).agg(F.round(F.greatest(F.lit(0.0), F.coalesce(F.max(dot(F.col("u"), F.col("a"))), F.lit(0.0))), 6).alias("s"))
+    return compared(pairs, {"s": ("u", "a")}).groupBy(group, unit).agg(F.round(F.greatest(F.lit(0.0), F.max("s")), 6).alias("s"))
 
 
 def centroids(units: DataFrame, group: str) -> DataFrame:
@@ -35,7 +74,7 @@ def centroids(units: DataFrame, group: str) -> DataFrame:
 def nearest_other(centres: DataFrame, group: str) -> DataFrame:
     """``group``, ``other``: the group with the most similar centroid that is another one, ties by the smaller id. Ids are whole numbers. Compared in blocks."""
     rows = centres.select(F.col(group).cast("long").alias("g"), "centroid")
-    best = vector_top_each(rows, rows.select(F.col("g").alias("query_id"), F.col("centroid").alias("query")), 2, "g", "centroid")
+    best = vector_top_each(rows, rows.select(F.col("g").alias("query_id"), F.col("centroid").alias("query")), 2, "g", "centroid", 2048)
     return best.where("query_id <> g").groupBy(F.col("query_id").alias(group)).agg(F.min_by("g", "rank").alias("other"))
 
 
@@ -83,9 +122,12 @@ def coverage_self(units: DataFrame, items: DataFrame, chance: DataFrame, recall:
     of a unit is the mean of its similarity to the question, the larger of its similarity to the answer and the lexical anchor, and
     p = sqrt(s * share). Weights are what relevance exceeds its mean over the units, else relevance itself, else equal.
     """
-    pairs = units.select(group, "unit", F.col("text").alias("t"), F.col("vector").alias("u")).join(items, group)
-    near = lambda c: F.greatest(F.lit(0.0), F.coalesce(dot(F.col("u"), F.col(c)), F.lit(0.0)))
-    rows = pairs.select(group, "unit", "item", F.round(near("vector"), 6).alias("s"), near("question_vector").alias("q"), F.greatest(near("answer_vector"), lexical_anchor(F.col("t"), F.col("answer"))).alias("a"))
+    u = units.select(group, "unit", anchor_form(F.col("text")).alias("t"), F.col("vector").alias("u"))
+    pairs = u.join(items.select(group, "item", "vector", "question_vector", "answer_vector", anchor_form(F.col("answer")).alias("answer")), group)
+    pairs = compared(pairs, {"s": ("u", "vector"), "q": ("u", "question_vector"), "a": ("u", "answer_vector")}, ("t", "answer"))
+    near = lambda c: F.greatest(F.lit(0.0), F.col(c))
+    rows = pairs.select(group, "unit", "item", F.round(near("s"), 6).alias("s"), near("q").alias("q"), F.greatest(near("a"), F.round(F.col("hits") / F.col("grams"), 6)).alias("a"))
+    rows = stored(rows, "pairs")  # read four times
     rows = share_at_most(rows, chance).withColumn("p", F.sqrt(F.least(F.lit(1.0), F.col("s")) * F.col("share"))).withColumn("r", (F.col("q") + F.col("a") + F.col("p")) / 3)
     means = rows.groupBy(group, "item").agg(F.avg("r").alias("mean"), F.sum("r").alias("mass"), F.avg("p").alias("flat"))
     rows = rows.join(means, [group, "item"]).withColumn("c", F.greatest(F.lit(0.0), F.col("r") - F.col("mean")))

@@ -192,3 +192,25 @@ def lexical_anchor(unit: Column, answer: Column) -> Column:
         return F.when((F.length(u) == 0) | (F.length(a) == 0), 0.0).when(F.contains(u, a), 1.0).otherwise(share)
 
     return given(F.struct(anchor_form(unit).alias("u"), anchor_form(answer).alias("a")), lambda x: score(x["u"], x["a"]))
+
+
+def anchor_counts(units: list[str], answers: list[str]) -> tuple[list[int], list[int]]:
+    """For pairs of texts in their anchor form, how many of the answer's bigrams the unit has, and of how many: their quotient is ``lexical_anchor``. Texts that come again are cut once."""
+    own, sets = {}, {}
+    hits, sizes = [], []
+    for u, a in zip(units, answers, strict=True):
+        if u in own:
+            mine = own[u]
+        else:
+            mine = own[u] = {u[i : i + 2] for i in range(len(u) - 1)}
+        if a in sets:
+            every = sets[a]
+        else:
+            every = sets[a] = [a[i : i + 2] for i in range(len(a) - 1)]
+        if not u or not a or a in u or len(a) <= 2:
+            hits.append(int(bool(u and a) and a in u))
+            sizes.append(1)
+        else:
+            hits.append(sum(map(mine.__contains__, every)))
+            sizes.append(len(every))
+    return hits, sizes

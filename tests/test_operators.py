@@ -423,3 +423,18 @@ def test_vectors_and_overlaps_of_whole_batches(spark):
     for step in (1, 2, 100):
         found = {(q, c): o for x in evidence._overlaps(docs, chunks, step) for q, c, o in zip(*x, strict=True)}
         assert found == pytest.approx(want)
+
+
+def test_compared_pairs_as_columns_do(spark):
+    rows = [(1, [0.5, 0.5], [1.0, 0.0, 9.0], "afox", "fox"), (2, None, [1.0], "", "a"), (3, [0.25, None], [2.0, 3.0], "红狐狸ab", "狐狸x"), (4, [1.0], [0.5], "ab", "abab")]
+    pairs = spark.createDataFrame(rows, "k long, u array<double>, v array<double>, t string, a string")
+    want = pairs.select("k", F.coalesce(retrieval.dot(F.col("u"), F.col("v")), F.lit(0.0)).alias("s"), scoring.lexical_anchor(F.col("t"), F.col("a")).alias("x"))
+    got = coverage.compared(pairs, {"s": ("u", "v")}, ("t", "a")).select("k", "s", F.round(F.col("hits") / F.col("grams"), 6).alias("x"))
+    assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_coverage_takes_no_product_in_interpreted_arrays(spark):
+    """Products of 64 components and bigrams of pairs are taken by batch, and pairs are computed once."""
+    units = spark.createDataFrame([(1, "a", [1.0])], "g long, unit string, vector array<double>")
+    plan = coverage.best_similarity(units, units, "g")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "zip_with" not in plan
