@@ -94,3 +94,15 @@ def test_grounding(spark):
 def test_lexical_anchor(spark):
     rows = spark.createDataFrame([("abc d", "B c"), ("abc", "abx"), ("abc", None), ("a", "b"), ("", "b"), ("北京市", "北京"), ("上海市", "北京"), ("abab", "ababab")], "u string, a string")
     assert [r["s"] for r in rows.select(scoring.lexical_anchor(F.col("u"), F.col("a")).alias("s")).collect()] == [1.0, 0.5, 0.0, 0.0, 0.0, 1.0, 0.0, 1.0]
+
+
+def test_ngrams_go_through_one_shuffle_as_numbers(spark):
+    """No n-gram travels as a text, nor to be counted by document first; frequent ones of many batches meet."""
+    docs = spark.createDataFrame([(i, "the same words again the same " + "ab " * (i % 3)) for i in range(1500)] + [(0, "the same")], "doc_id long, text string")
+    scores = language_model.ngram_scores(docs, 2)
+    by_doc, model = language_model.ngram_log_probabilities(docs, 2)
+    want = by_doc.join(model, "gram").groupBy("doc_id").agg((F.sum(F.col("tf") * F.col("log2p")) / F.sum("tf")).alias("s")).collect()
+    got = {r["doc_id"]: r["score"] for r in scores.collect()}
+    assert len(got) == 1500 and got == pytest.approx({r["doc_id"]: r["s"] for r in want}, abs=1e-6)
+    exchanges = [x for x in scores._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in x]
+    assert not [x for x in exchanges if "gram" in x]
