@@ -142,10 +142,10 @@ def standard_kind(text: Column) -> Column:
 
 def vote(snippets: DataFrame, key: str, label: str, confidence: str) -> DataFrame:
     """``key``, ``label``, ``confidence``: the label with the largest sum of confidences over the key's rows, ties by the smaller label; its sum over all rows, 1 at most."""
-    sums = snippets.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("k"), F.col(label).alias("l")).agg(F.sum(confidence).alias("s"))
-    n = snippets.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n"))
+    sums = snippets.groupBy(F.col(key).alias("k"), F.col(label).alias("l")).agg(F.sum(confidence).alias("s"), F.count("*").alias("n"))  # the snippets are read once
+    sums = sums.where(F.col("k").isNotNull()).withColumn("n", F.sum("n").over(Window.partitionBy("k"))).where(F.col("l").isNotNull())
     best = Window.partitionBy("k").orderBy(F.desc("s"), "l")
-    rows = sums.withColumn("r", F.row_number().over(best)).where("r = 1").join(n, "k")
+    rows = sums.withColumn("r", F.row_number().over(best)).where("r = 1")
     return rows.select(F.col("k").alias(key), F.col("l").alias(label), F.round(F.least(F.lit(1.0), F.col("s") / F.col("n")), 6).alias(confidence))
 
 

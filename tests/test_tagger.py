@@ -1,11 +1,12 @@
 """The trained tagger against a twin that trains without Spark, differences, and held-out rows."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from docweave.functions.snippets import snippets
-from docweave.operators import tagger
+from docweave.operators import classify, tagger
 from docweave.plans import search
 
 DATA = "/root/testdata/sf0.01"
@@ -85,3 +86,25 @@ def test_snippets(spark):
     assert of(blocks, most=9) == ["head", "second", "short", "a  b", "last", "the longest block of all", "longer block"]
     assert of("x\n\nx\n\nx") == ["x"] and of(None) == of(" \n ") == []
     assert of("abcdefghij", chars=4) == ["abcd", "defg", "ghij"] and of("abcdefgh", chars=4) == ["abcd"] and of("a  b", chars=4) == ["a b"]
+
+
+def test_lists_are_judged_as_rows_are(spark):
+    rng = np.random.default_rng(5)
+    tax = tagger.Taxonomy([("a", "b", "c"), ("a", "b", "d"), ("e", "f", "g")])
+    model = tagger.Model(tax, rng.normal(size=(17, sum(tax.sizes))), 0)
+    rows = [list(map(int, rng.integers(0, 16, n))) for n in (0, 1, 5, 40, 200)]
+    for some in (pa.array(rows, pa.list_(pa.int32())), pa.array([[3], *rows, [4]], pa.list_(pa.int32())).slice(1, 5)):
+        got, want = model.predict_lists(some), model.predict(rows)
+        assert [x[:3] for x in got] == [x[:3] for x in want] and [x[3] for x in got] == pytest.approx([x[3] for x in want])
+
+
+def test_a_vote_reads_its_snippets_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([(1, "a", 0.5), (1, "b", 0.25), (1, None, 0.5), (2, None, 1.0), (None, "a", 1.0)], "k long, l string, c double").mapInArrow(told, "k long, l string, c double")
+    assert [tuple(r) for r in classify.vote(rows, "k", "l", "c").collect()] == [(1, "a", round(0.5 / 3, 6))] and seen.value == 5
