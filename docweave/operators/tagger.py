@@ -168,6 +168,16 @@ def taxonomy_of(labelled: DataFrame) -> Taxonomy:
     return Taxonomy(sorted(tuple(p) for p in paths))
 
 
+def among_first(rows: DataFrame, n: int) -> DataFrame:
+    """Rows among which are the ``n`` with the smallest 64-bit hash ``h``, and few others: those of the first of 65,536 ranges of hashes that hold so many."""
+    top, held = F.shiftright("h", 48), 0
+    for x in sorted(rows.groupBy(top.alias("b")).agg(F.count("*").alias("n")).collect()):  # 65,536 rows at most
+        held += x["n"]
+        if held >= n:
+            return rows.where(top <= x["b"])
+    return rows
+
+
 def fit(labelled: DataFrame, key: str, text_col: str = "text", width: int = 4096, rounds: int = 40, rate: float = 2.0, decay: float = 1e-5, train_rows: int = TRAIN_ROWS) -> Model:
     """Trains on rows with ``level1``, ``level2``, ``level3`` and a text: ``train_rows`` at most, chosen by a hash of ``key``; rows without a full path are left out.
 
@@ -178,7 +188,8 @@ def fit(labelled: DataFrame, key: str, text_col: str = "text", width: int = 4096
     spark = labelled.sparkSession
     known = labelled.where(" AND ".join(f"{c} IS NOT NULL" for c in LEVELS))
     names = spark.createDataFrame([(*p, i) for p, i in tax.number.items()], "level1 string, level2 string, level3 string, leaf int")
-    some = known.select(*[F.col(c).cast("string").alias(c) for c in LEVELS], F.xxhash64(key).alias("h"), F.col(text_col).alias("text")).orderBy("h").limit(train_rows)
+    some = known.select(*[F.col(c).cast("string").alias(c) for c in LEVELS], F.xxhash64(key).alias("h"), F.col(text_col).alias("text"))
+    some = among_first(some, train_rows).orderBy("h").limit(train_rows)  # one task reads texts of the sample, not those that each task holds for the first
     sample = some.join(F.broadcast(names), list(LEVELS)).select("leaf", "h", features(F.col("text"), width).alias("idx"))
     folder = shared_folder(spark, "tagger")
 

@@ -88,6 +88,14 @@ def test_snippets(spark):
     assert of("abcdefghij", chars=4) == ["abcd", "defg", "ghij"] and of("abcdefgh", chars=4) == ["abcd"] and of("a  b", chars=4) == ["a b"]
 
 
+def test_the_sample_is_chosen_by_few_rows(spark):
+    rows = spark.range(60_000).select("id", F.xxhash64("id").alias("h"))
+    some = tagger.among_first(rows, 500)
+    assert 500 <= some.count() < 520
+    assert some.orderBy("h").limit(500).collect() == rows.orderBy("h").limit(500).collect()
+    assert tagger.among_first(rows, 70_000).count() == 60_000 and tagger.among_first(rows.limit(0), 5).count() == 0
+
+
 def test_lists_are_judged_as_rows_are(spark):
     rng = np.random.default_rng(5)
     tax = tagger.Taxonomy([("a", "b", "c"), ("a", "b", "d"), ("e", "f", "g")])
