@@ -76,12 +76,24 @@ def exact_means(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return out.select(*keys, F.when(F.col("n") > 0, F.when(odd, F.col("plain")).otherwise(whole) / F.col("n")).alias("m"))
 
 
-def fused_ratings(ratings: DataFrame, *keys: str) -> DataFrame:
+def ordered_means(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
+    """``keys``, ``m``: the mean of the values that are not null, added up as doubles one by one by ``order``, as a reader of a table in that order does.
+
+    A group's rows are sorted and streamed in one task, since each sum depends on the one before it.
+    """
+    x = F.col(value).cast("double")
+    upto = Window.partitionBy(*keys).orderBy(order, value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = rows.select(*keys, F.sum(x).over(upto).alias("s"), F.count(x).over(upto).alias("n")).groupBy(*keys).agg(F.max_by("s", "n").alias("s"), F.max("n").alias("n"))
+    return sums.select(*keys, F.when(F.col("n") > 0, F.col("s") / F.col("n")).alias("m"))
+
+
+def fused_ratings(ratings: DataFrame, *keys: str, in_order: bool = False) -> DataFrame:
     """``keys``, ``score``, ``rating``: the mean of the positive scores of repeated ratings, and the rating nearest to it (ties by attempt); 0 and null without any.
 
-    ``ratings``: keys, attempt, score, rating.
+    ``ratings``: keys, attempt, score, rating. The mean is exact, or that of scores added by attempt if ``in_order``: where two ratings lie equally far from it, its last digit decides.
     """
-    means = exact_means(ratings.select(*keys, F.when(F.col("score") > 0, F.col("score")).alias("__x")), list(keys), "__x")
+    scores = ratings.select(*keys, "attempt", F.when(F.col("score") > 0, F.col("score")).alias("__x"))
+    means = ordered_means(scores, list(keys), "__x", "attempt") if in_order else exact_means(scores, list(keys), "__x")
     near = F.when((F.col("score") > 0), F.struct(F.abs(F.col("score") - F.col("m")), "attempt"))
     best = ratings.join(means, list(keys)).groupBy(*keys, "m").agg(F.min_by("rating", near).alias("rating"))
     return best.select(*keys, F.round(F.coalesce("m", F.lit(0.0)), 6).alias("score"), "rating")

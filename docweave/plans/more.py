@@ -231,7 +231,7 @@ def metric_summary(spark, d):
     SELECT e.user_id, e.event_type, round(coalesce(any_value(m), 0), 6) AS score, arg_min(props, (abs(value - m), event_id)) FILTER (value > 0) AS rating FROM events e JOIN m ON e.user_id = m.user_id AND e.event_type = m.event_type GROUP BY ALL""")
 def rating_fusion(spark, d):
     rows = table(spark, d, "events").select("user_id", "event_type", F.col("event_id").alias("attempt"), F.col("value").alias("score"), F.col("props").alias("rating"))
-    return suite.fused_ratings(rows, "user_id", "event_type")
+    return suite.fused_ratings(rows, "user_id", "event_type", in_order=True)
 
 
 @named("""WITH p AS (SELECT l_orderkey, l_linenumber, round(0.65 * l_discount * 10 + 0.35 * l_tax * 10, 6) AS alignment FROM lineitem)

@@ -154,6 +154,19 @@ def test_fused_ratings_do_not_depend_on_the_order_of_rows(spark):
     assert {r["k"]: str(r["m"]) for r in suite.exact_means(odd, ["k"], "x").collect()} == {"a": "inf", "b": "nan"}
 
 
+def test_ratings_of_repeated_scores_are_those_of_the_sql(spark, tmp_path):
+    """The mean of six copies of two scores lies between them; which is nearer is decided by the order of addition."""
+    con = duckdb.connect(config={"threads": 1})
+    con.sql("create table events as select i as event_id, u as user_id, 'view' as event_type, cast([v + w, v][i % 2 + 1] as double) as value, '{\"k\": ' || i || '}' as props from range(12) r(i), (values (1, 20.49, 2.82), (2, 0.1, 0.2), (3, 1.1, 2.2), (4, -5.0, 5.0)) g(u, v, w)")
+    con.sql("insert into events values (12, 1, 'view', NULL, 'x'), (13, 5, 'view', NULL, 'x')")
+    con.sql(f"copy (from events order by event_id) to '{tmp_path}/events.parquet'")
+    con.sql("drop table events")
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet'")
+    want = con.sql(named.ORACLE_SQL["rating_fusion"]).fetchall()
+    df = named.QUERIES["rating_fusion"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in df.select("user_id", "event_type", "score", "rating").collect()) == sorted(want)
+
+
 def test_searches_by_blocks_find_what_plain_products_find(spark):
     import numpy as np
 
