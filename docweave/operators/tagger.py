@@ -22,11 +22,12 @@ from ..functions.snippets import snippets
 from ..functions.text import lexical_tokens
 from .classify import vote
 
-#: Rows that the model is trained on, and leaves that it may have, at most; cells of a gradient that travel together.
-TRAIN_ROWS = 20_000
+#: Leaves that a model may have, at most; cells of a gradient that travel together.
 MOST_LEAVES = 2_000
 BLOCK = 1 << 14
-#: Tasks that the sample is dealt to.
+#: Rows that are stored together, and rows that a table of all features has.
+STORED, TABLE = 512, 64
+#: Tasks that the training rows are dealt to, at least.
 PARTS = 16
 LEVELS = ("level1", "level2", "level3")
 #: Names of leaves that stand for whatever is left (fixed values).
@@ -94,9 +95,9 @@ def _parts(tax: Taxonomy) -> tuple[slice, slice, slice]:
     return slice(0, a), slice(a, a + b), slice(a + b, a + b + c)
 
 
-def gradient_of(bag: tuple, leaves: np.ndarray, weights: np.ndarray, tax: Taxonomy) -> np.ndarray:
-    """Gradient of the summed cross entropy of the three levels; below the first, among the true parent's children."""
-    z, (s1, s2, s3) = _logits(bag, len(leaves), weights), _parts(tax)
+def errors(z: np.ndarray, leaves: np.ndarray, tax: Taxonomy) -> np.ndarray:
+    """Gradient of the summed cross entropy of the three levels by the logits; below the first, among the true parent's children."""
+    s1, s2, s3 = _parts(tax)
     two = tax.parent3[leaves]
     one = tax.parent2[two]
     d = np.zeros_like(z)
@@ -105,8 +106,54 @@ def gradient_of(bag: tuple, leaves: np.ndarray, weights: np.ndarray, tax: Taxono
         p = masked_softmax(z[:, part], allowed)
         p[np.arange(len(true)), true] -= 1
         d[:, part] = p
+    return d
+
+
+def gradient_of(bag: tuple, leaves: np.ndarray, weights: np.ndarray, tax: Taxonomy) -> np.ndarray:
     at, idx, v = bag
-    return _summed(idx, v[:, None] * d[at], len(weights))
+    return _summed(idx, v[:, None] * errors(_logits(bag, len(leaves), weights), leaves, tax)[at], len(weights))
+
+
+def counted(rows: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of an Arrow array of lists: how many different features each has, the features by row, and their counts."""
+    at = np.repeat(np.arange(len(rows)), rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    flat = at * width + rows.flatten().to_numpy(zero_copy_only=False)
+    found = [np.zeros((3, 0), np.int64)]
+    for lo in range(0, len(rows), TABLE):
+        a, b = np.searchsorted(at, [lo, lo + TABLE])
+        n = np.bincount(flat[a:b] - lo * width)
+        cells = np.flatnonzero(n)
+        found.append(np.stack([cells // width + lo, cells % width, n[cells]]))
+    row, idx, n = np.concatenate(found, axis=1)
+    return np.bincount(row, minlength=len(rows)), idx, n
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 on, each in as many bytes as the largest needs."""
+    return x.astype(np.min_scalar_type(x.max(initial=0))).tobytes()
+
+
+def _unpacked(x: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(x, f"u{len(x) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
+
+
+def gradient_of_counts(sizes: np.ndarray, idx: np.ndarray, n: np.ndarray, leaves: np.ndarray, weights: np.ndarray, tax: Taxonomy) -> np.ndarray:
+    """The same gradient for rows as :func:`counted` has them, ``TABLE`` rows with all their features at a time."""
+    width = len(weights) - 1
+    row, v = np.repeat(np.arange(len(sizes)), sizes), np.log1p(n)
+    v /= np.sqrt(np.maximum(np.bincount(row, v * v, len(sizes)), 1e-24))[row]
+    cells, ends = row * (width + 1) + idx, np.concatenate([[0], np.cumsum(sizes)])
+    total, table = np.zeros_like(weights), np.zeros((TABLE, width + 1))
+    table[:, width] = 1
+    for lo in range(0, len(sizes), TABLE):
+        hi = min(lo + TABLE, len(sizes))
+        part = slice(ends[lo], ends[hi])
+        here = cells[part] - lo * (width + 1)
+        table.reshape(-1)[here] = v[part]
+        x = table[: hi - lo]
+        total += x.T @ errors(x @ weights, leaves[lo:hi], tax)
+        table.reshape(-1)[here] = 0
+    return total
 
 
 def gradient(rows, leaves: np.ndarray, weights: np.ndarray, tax: Taxonomy) -> np.ndarray:
@@ -178,32 +225,31 @@ def among_first(rows: DataFrame, n: int) -> DataFrame:
     return rows
 
 
-def fit(labelled: DataFrame, key: str, text_col: str = "text", width: int = 4096, rounds: int = 40, rate: float = 2.0, decay: float = 1e-5, train_rows: int = TRAIN_ROWS) -> Model:
-    """Trains on rows with ``level1``, ``level2``, ``level3`` and a text: ``train_rows`` at most, chosen by a hash of ``key``; rows without a full path are left out.
+def fit(labelled: DataFrame, key: str, text_col: str = "text", width: int = 4096, rounds: int = 40, rate: float = 2.0, decay: float = 1e-5) -> Model:
+    """Trains on every row with ``level1``, ``level2``, ``level3``; rows without a full path are left out, a null text is an empty one.
 
-    The sample lies in the shared folder as hashed tokens while rounds read it; an executor's loss costs the tasks it had. The number of columns a worker holds is
-    ``width`` times the labels.
+    The rows lie in the shared folder as counts of hashed tokens while rounds read them; an executor's loss costs the tasks it had. The number of columns a worker holds is
+    ``width`` times the labels. ``key`` names the rows and has no part in the training.
     """
     tax = taxonomy_of(labelled)
     spark = labelled.sparkSession
     known = labelled.where(" AND ".join(f"{c} IS NOT NULL" for c in LEVELS))
     names = spark.createDataFrame([(*p, i) for p, i in tax.number.items()], "level1 string, level2 string, level3 string, leaf int")
-    some = known.select(*[F.col(c).cast("string").alias(c) for c in LEVELS], F.xxhash64(key).alias("h"), F.col(text_col).alias("text"))
-    some = among_first(some, train_rows).orderBy("h").limit(train_rows)  # one task reads texts of the sample, not those that each task holds for the first
-    sample = some.join(F.broadcast(names), list(LEVELS)).select("leaf", "h", features(F.col("text"), width).alias("idx"))
+    rows = known.select(*[F.col(c).cast("string").alias(c) for c in LEVELS], F.col(text_col).alias("text")).join(F.broadcast(names), list(LEVELS))
     folder = shared_folder(spark, "tagger")
 
-
-    def bagged(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for i in range(0, len(part), 512):
-                some = part.iloc[i : i + 512]
-                at, idx, v = bags(list(some["idx"]), width)
-                yield pd.DataFrame({"leaves": [some["leaf"].to_numpy(np.int32).tobytes()], "at": [at.astype(np.int32).tobytes()], "idx": [idx.astype(np.int32).tobytes()], "v": [v.tobytes()]})
-
-    sample.repartition(PARTS, "h").mapInPandas(bagged, "leaves binary, at binary, idx binary, v binary").write.parquet(folder)
+    def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, STORED):
+                part = batch.slice(at, STORED)
+                sizes, idx, n = counted(part.column(1), width)
+                small = [_packed(x) for x in (part.column(0).to_numpy(), sizes, idx, n)]
+                yield pa.RecordBatch.from_arrays([pa.array([part.num_rows]), pa.array([len(idx)]), *(pa.array([x], pa.binary()) for x in small)], ["rows", "cells", "leaves", "sizes", "idx", "n"])
+
+    counts = rows.select("leaf", features(F.col("text"), width).alias("idx")).mapInArrow(stored, "rows long, cells long, leaves binary, sizes binary, idx binary, n binary")
+    counts.repartition(max(PARTS, 4 * spark.sparkContext.defaultParallelism)).write.parquet(folder)
     held = spark.read.parquet(folder)
-    n = held.agg(F.coalesce(F.sum(F.octet_length("leaves")), F.lit(0))).first()[0] // 4
+    n = held.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     weights = np.zeros((width + 1, sum(tax.sizes)))
     speed = np.zeros_like(weights)
 
@@ -211,8 +257,8 @@ def fit(labelled: DataFrame, key: str, text_col: str = "text", width: int = 4096
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = np.zeros_like(now)
             for part in parts:
-                for leaves, at, idx, v in zip(part["leaves"], part["at"], part["idx"], part["v"], strict=True):
-                    total += gradient_of((np.frombuffer(at, np.int32), np.frombuffer(idx, np.int32), np.frombuffer(v)), np.frombuffer(leaves, np.int32), now, tax)
+                for x in part.itertuples(index=False):
+                    total += gradient_of_counts(_unpacked(x.sizes, x.rows), _unpacked(x.idx, x.cells), _unpacked(x.n, x.cells), _unpacked(x.leaves, x.rows), now, tax)
             flat = total.ravel()
             yield pd.DataFrame({"block": range(0, len(flat), BLOCK), "g": [flat[i : i + BLOCK].tobytes() for i in range(0, len(flat), BLOCK)]})
 

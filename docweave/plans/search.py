@@ -41,7 +41,8 @@ def labelled_documents(spark, d):
 
 @unchecked
 def tagger_labels(spark, d):
-    """Every document by a model that learned from those that are not held out (20,000 of them at most)."""
+    """Every document by a model that learned from all that are not held out."""
+    bound_batches(spark)
     docs = labelled_documents(spark, d)
     model = tagger.fit(docs.where(~F.col("held_out")), "doc_id")
     return tagger.tagged(docs.select("doc_id", "text", "held_out"), model).drop("text")
@@ -50,6 +51,7 @@ def tagger_labels(spark, d):
 @unchecked
 def tagger_votes(spark, d):
     """The same by vote over the snippets of every document."""
+    bound_batches(spark)
     docs = labelled_documents(spark, d)
     return tagger.tagged_by_vote(docs, tagger.fit(docs.where(~F.col("held_out")), "doc_id"), "doc_id")
 

@@ -59,6 +59,26 @@ def test_spark_and_twin_learn_the_same(spark):
     assert all(votes[r["id"]]["path"] == f"{r['level1']}/{r['level2']}/{r['level3']}" for r in got)
 
 
+def test_every_row_is_learned_from(spark):
+    """Labels that few of very many rows have are known, and the model is that of all rows."""
+    rows = spark.range(25_000).selectExpr("id", "if(id % 5000 = 7, 'sun moon', concat('red w', id % 5)) AS text", "if(id % 5000 = 7, 'b', 'a') AS level1", "'x' AS level2", "if(id % 5000 = 7, 'rare', 'e') AS level3")
+    model = tagger.fit(rows, "id", width=32, rounds=2)
+    held = rows.select("level1", "level2", "level3", tagger.features(F.col("text"), 32).alias("idx")).collect()
+    leaves = np.array([model.taxonomy.number[r["level1"], r["level2"], r["level3"]] for r in held])
+    twin = tagger.fit_here([r["idx"] for r in held], leaves, model.taxonomy, 32, 2, 2.0, 1e-5)
+    assert model.held_rows == 25_000 and np.allclose(model.weights, twin.weights, atol=1e-10)
+
+
+def test_counts_have_the_gradient_of_their_rows():
+    rng = np.random.default_rng(4)
+    rows = [rng.integers(0, 40, n).tolist() for n in (3, 0, 70, *rng.integers(1, 30, 150))]
+    leaves, w = rng.integers(0, 5, len(rows)), rng.normal(size=(41, sum(TAX.sizes)))
+    sizes, idx, n = tagger.counted(pa.array([[1], *rows, None], pa.list_(pa.int32())).slice(1, len(rows)), 40)
+    assert sizes.tolist() == [len(set(r)) for r in rows] and n.sum() == sum(map(len, rows))
+    assert np.allclose(tagger.gradient_of_counts(sizes, idx, n, leaves, w, TAX), tagger.gradient(rows, leaves, w, TAX), atol=1e-10)
+    assert [tagger._unpacked(tagger._packed(np.array(x, np.int64)), len(x)).tolist() for x in ([0, 255], [256, 1], [1 << 40], [])] == [[0, 255], [256, 1], [1 << 40], []]
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(1, "red", "a", "x", "1"), (2, None, "a", "x", "2"), (2, "", "b", "z", "other"), (None, "sun", "b", "z", "3"), (3, "no path", None, "x", "1")], "id long, text string, level1 string, level2 string, level3 string")
     model = tagger.fit(df, "id", width=16, rounds=3)
