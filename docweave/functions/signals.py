@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
-from .text import CJK, collapse, given, strip, title_parts
+from .text import CJK, WHITE, collapse, given, strip, title_parts
 
 # Words and marks that signal (fixed values).
 SENTENCE_MARKS = "。！？!?；;:："
@@ -92,3 +96,52 @@ def symbol_share(text: Column) -> Column:
     clean = collapse(text)
     odd = F.length(F.regexp_replace(clean, rf"[\p{{L}}{CJK} ]", ""))
     return F.when(clean == "", 1.0).otherwise(odd / F.length(clean))
+
+
+# ---- all of these at once, by Arrow's regular expressions: they read a text once, whatever the number of words, and bound words by ASCII letters
+
+_SENTENCE = rf"[{SENTENCE_MARKS}]|(?i:\b{any_of(SENTENCE_WORDS)}\b)"
+_FACTS = "|".join((
+    _SENTENCE, f"(?:{LIST_ITEM})", r"[0-9]{4}[-年/][0-9]{1,2}", rf"(?i:[0-9]+(?:\.[0-9]+)?\s*{any_of(UNITS)})", any_of(FACT_WORDS_ZH), rf"(?i:\b{any_of([*FACT_WORDS, 'applies to'])}\b)",
+))
+_NUMBERED = rf"^(?:第?[{NUMERALS_ZH}0-9]+[{PART_NAMES_ZH}].{{0,40}}|[0-9.、\s]{{1,12}}\S{{0,40}})$"
+MARKS = "facts boolean, lists boolean, structure boolean, filler boolean, title boolean, table boolean, odd double, size int"
+
+
+def marks_here(text: pa.Array, last: pa.Array) -> pa.StructArray:
+    """``MARKS`` of texts that are not null, as the column functions above name them; ``last`` is the last part of a text's title path, or empty."""
+    has = lambda x, pattern: pc.match_substring_regex(x, pattern).to_numpy(zero_copy_only=False).astype(bool)
+    length = lambda x: pc.utf8_length(x).to_numpy(zero_copy_only=False)
+    clean = pc.utf8_trim(pc.replace_substring_regex(text, f"[{WHITE}]+", " "), " ")
+    size, facts, lists = length(clean), has(text, _FACTS), has(text, LIST_ITEM)
+    blank = size == 0
+    odd = np.where(blank, 1.0, length(pc.replace_substring_regex(clean, rf"[\p{{L}}{CJK} ]+", "")) / np.maximum(size, 1))
+    filler = blank.copy()
+    short = np.flatnonzero(~blank & (size <= 160))  # texts that may be filler or titles are few
+    some = clean.take(pa.array(short))
+    filler[short] = has(some, f"(?i){any_of(FILLER_WORDS)}") & ~has(some, _FACTS)
+    split = pc.split_pattern_regex(text, "\r?\n|\r")
+    at, rows = np.repeat(np.arange(len(text)), split.value_lengths().to_numpy(zero_copy_only=False)), pc.replace_substring_regex(split.flatten(), f"^[{WHITE}]+|[{WHITE}]+$", "")
+    filled = pc.not_equal(rows, "").to_numpy(zero_copy_only=False).astype(bool)
+    parted = pc.count_substring_regex(rows, r"\s{2,}|,|，").to_numpy(zero_copy_only=False) >= 2
+    row = filled & (has(rows, "[|\t]") | (parted & ~has(rows, _SENTENCE)))
+    n, n_rows = np.bincount(at[filled], minlength=len(text)), np.bincount(at[row], minlength=len(text))
+    title = blank.copy()
+    few = np.flatnonzero(~blank & (n <= 2))
+    some, name = clean.take(pa.array(few)), last.take(pa.array(few))
+    named = pc.and_(pc.not_equal(name, ""), pc.equal(some, name)).to_numpy(zero_copy_only=False).astype(bool)
+    title[few] = named | ((size[few] <= 48) & ~has(some, _SENTENCE) & ~has(some, LIST_ITEM)) | has(some, _NUMBERED)
+    table = (n > 0) & (n_rows >= np.maximum(1, n // 2)) & ~facts
+    columns = (facts, lists, has(text, f"(?i){any_of(STRUCTURE_WORDS)}"), filler, title, table, odd, size.astype(np.int32))
+    return pa.StructArray.from_arrays([pa.array(c) for c in columns], [f.split()[0] for f in MARKS.split(", ")])
+
+
+def marks(text: Column, path: Column) -> Column:
+    """Struct ``MARKS`` of a text under a title path: has_facts, has_list, structure, placeholder, title_only, table_fragment, symbol_share and the length of the collapsed text. Nulls are empty."""
+
+    @arrow_udf(f"struct<{MARKS.replace(' ', ':').replace(',:', ',')}>")
+    def run(texts: pa.Array, lasts: pa.Array) -> pa.Array:
+        return marks_here(texts, lasts)
+
+    last = F.coalesce(F.try_element_at(title_parts(path), F.lit(-1)), F.lit(""))
+    return run.asNondeterministic()(F.coalesce(text, F.lit("")), last)  # computed once

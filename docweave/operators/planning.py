@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import stored
 from ..functions.signals import LIST_ITEM
 from ..functions.text import collapse
 
@@ -24,17 +25,18 @@ def plan_units(chunks: DataFrame, chunk_size: int = 600, most: int = 6000, id_co
     fit in ``most`` characters. Of the usable rest, long chunks of several parts are virtual parents, the
     others leaves. Groups are aggregated and joined back, so a parent of very many chunks is
     never in one task. Chunks with a null parent or text are in no section; empty tables give no unit.
+    What is known of a chunk is stored without its text, which is read once.
     """
     size = F.length(collapse(F.col("text")))
-    usable = F.col("status") == "usable"
-    kept = chunks.where((F.col("status") != "drop") & (size > 0)).withColumns({"__n": size, "__u": usable.cast("int")})
+    virtual = (F.col("__n") >= max(900, 2 * chunk_size)) & (inner_parts(F.col("text")) >= 2)
+    known = stored(chunks.withColumn("__n", size).select(id_col, "chunk_index", "parent", "status", "__n", virtual.alias("__virtual")), "known")  # filters follow, as they would work out the status anew
+    kept = known.where((F.col("status") != "drop") & (F.col("__n") > 0)).withColumn("__u", (F.col("status") == "usable").cast("int"))
     groups = kept.where(F.col("parent").isNotNull()).groupBy(id_col, "parent").agg(
         F.min("chunk_index").alias("anchor"), F.count("*").alias("n_chunks"), F.sum("__u").alias("n_usable"), F.sum("__n").alias("__chars")
     )
     sections = groups.where((F.col("n_chunks") >= 2) & (F.col("n_usable") >= 2) & (F.col("__chars") <= max(1000, most)))
     alone = kept.where("__u = 1").join(sections.select(id_col, "parent"), [id_col, "parent"], "left_anti")
-    virtual = (F.col("__n") >= max(900, 2 * chunk_size)) & (inner_parts(F.col("text")) >= 2)
-    alone = alone.select(id_col, F.when(virtual, "virtual_parent").otherwise("leaf").alias("unit_type"), F.col("chunk_index").alias("anchor"), F.lit(1).cast("long").alias("n_chunks"), F.lit(1).cast("long").alias("n_usable"))
+    alone = alone.select(id_col, F.when(F.col("__virtual"), "virtual_parent").otherwise("leaf").alias("unit_type"), F.col("chunk_index").alias("anchor"), F.lit(1).cast("long").alias("n_chunks"), F.lit(1).cast("long").alias("n_usable"))
     units = sections.select(id_col, F.lit("section").alias("unit_type"), "anchor", "n_chunks", "n_usable").unionByName(alone)
     return units.withColumn("potential", F.when(F.col("unit_type") == "section", F.least(F.lit(3), F.col("n_usable"))).when(F.col("unit_type") == "virtual_parent", 2).otherwise(1).cast("long"))
 
@@ -47,7 +49,7 @@ def allocate_budget(units: DataFrame, total: int, id_col: str = "doc_id") -> Dat
     round and place, of which the first that remain are granted: no loop.
     """
     place = Window.partitionBy(id_col).orderBy("anchor", "unit_type")
-    picked = units.withColumn("__at", F.row_number().over(place)).where(F.col("__at") <= total)
+    picked = stored(units.withColumn("__at", F.row_number().over(place)).where(F.col("__at") <= total), "picked")  # read three times
     left = picked.groupBy(id_col).agg((F.lit(total) - F.count("*")).alias("__left"))
     asks = picked.where("potential > 1").select(id_col, "__at", "anchor", (F.col("unit_type") == "leaf").cast("int").alias("__late"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("potential") - 1)).alias("__round"))
     turn = Window.partitionBy(id_col).orderBy("__round", "__late", "anchor", "__at")

@@ -12,7 +12,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import IntegerType
 
 from ..functions import signals as S
-from ..functions.text import anchor_form, collapse, given, grams, jaccard, metric_tokens, normalised, quality_tokens
+from ..functions.text import anchor_form, collapse, given, grams, metric_tokens, normalised, quality_tokens
 
 
 @pandas_udf(IntegerType())
@@ -54,11 +54,19 @@ def ngram_recall(needle: Column, hay: Column, n: int = 3) -> Column:
 
 
 def adjacent_similarity(chunks: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``chunks`` with ``adjacent``, the largest Jaccard of quality tokens with the chunk before or after; 0 where there is none, or no token."""
+    """``chunks`` with ``adjacent``, the largest Jaccard of quality tokens with the chunk before or after; 0 where there is none, or no token.
+
+    Chunks are shuffled by their document without tokens; those meet by their 64-bit hash.
+    """
     order = Window.partitionBy(id_col).orderBy("chunk_index")
-    rows = chunks.withColumn("__t", quality_tokens(F.col("text")))
+    rows = chunks.repartition(id_col).withColumn("__t", F.array_distinct(F.transform(quality_tokens(F.col("text")), lambda t: F.xxhash64(t))))
     rows = rows.withColumns({"__p": F.lag("__t").over(order), "__n": F.lead("__t").over(order)})
-    score = lambda c: F.coalesce(jaccard(F.col("__t"), F.col(c)), F.lit(0.0))
+
+    def score(other: str) -> Column:
+        sizes = F.array_size("__t") + F.array_size(other)
+        share = given(F.array_size(F.array_intersect("__t", other)), lambda common: F.when(sizes == common, 0.0).otherwise(common / (sizes - common)))
+        return F.coalesce(share, F.lit(0.0))
+
     return rows.withColumn("adjacent", F.round(F.greatest(score("__p"), score("__n")), 6)).drop("__t", "__p", "__n")
 
 
@@ -67,28 +75,23 @@ def chunk_quality(chunks: DataFrame, title: str | None = None) -> DataFrame:
 
     ``title`` names a column with title paths. Null texts count as empty and are dropped.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
     path = F.coalesce(F.col(title), F.lit("")) if title else F.lit("")
-    rows = chunks.withColumns({"__t": text, "__path": path, "__clean": collapse(text)})
-    t, path, clean = F.col("__t"), F.col("__path"), F.col("__clean")
-    # what is used more than once is a column of its own, so that it is computed once
-    rows = rows.withColumns({"__facts": S.has_facts(t), "__lists": S.has_list(t), "__odd": S.symbol_share(t), "__structure": S.structure(t) | S.structure(path)})
-    rows = rows.withColumns({"__title": S.title_only(t, path), "__filler": S.placeholder(t), "__table": S.table_rows(t) & ~F.col("__facts")})
-    titled, size, copied = path != "", F.length(clean), F.col("adjacent")
-    facts, only_title, filler, table = (F.col(c) for c in ("__facts", "__title", "__filler", "__table"))
+    rows = chunks.withColumn("__m", S.marks(F.col("text"), path))
+    titled, size, copied = path != "", F.col("__m.size"), F.col("adjacent")
+    facts, only_title, filler, table = (F.col(f"__m.{c}") for c in ("facts", "title", "filler", "table"))
     faults = [
-        ("short_without_structure", 0.35, (size < 80) & ~titled & ~F.col("__lists")), ("title_only", 0.30, only_title), ("table_fragment_without_fact_sentence", 0.25, table),
-        ("placeholder_without_qa_text", 0.25, filler), ("high_adjacent_duplicate", 0.20, copied >= 0.84), ("symbol_digit_ratio_abnormal", 0.15, (F.col("__odd") >= 0.48) & (size < 320)),
+        ("short_without_structure", 0.35, (size < 80) & ~titled & ~F.col("__m.lists")), ("title_only", 0.30, only_title), ("table_fragment_without_fact_sentence", 0.25, table),
+        ("placeholder_without_qa_text", 0.25, filler), ("high_adjacent_duplicate", 0.20, copied >= 0.84), ("symbol_digit_ratio_abnormal", 0.15, (F.col("__m.odd") >= 0.48) & (size < 320)),
     ]
     score = F.lit(1.0)
     for _, off, found in faults:
         score = score - F.when(found, off).otherwise(0.0)
-    for more in (titled, F.col("__structure") | facts, copied.between(0.18, 0.72) & titled):
+    for more in (titled, F.col("__m.structure") | S.structure(path) | facts, copied.between(0.18, 0.72) & titled):
         score = score + F.when(more, 0.10).otherwise(0.0)
     rows = rows.withColumn("quality", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 6))
-    status = F.when((clean == "") | filler | (only_title & ~facts), "drop").when(table | (F.col("quality") < 0.52) | ((copied >= 0.90) & ~facts), "context_only").otherwise("usable")
+    status = F.when((size == 0) | filler | (only_title & ~facts), "drop").when(table | (F.col("quality") < 0.52) | ((copied >= 0.90) & ~facts), "context_only").otherwise("usable")
     reasons = F.array_compact(F.array(*[F.when(found, name) for name, _, found in faults]))
-    return rows.withColumns({"status": status, "reasons": reasons}).drop("__t", "__path", "__clean", "__facts", "__lists", "__odd", "__structure", "__title", "__filler", "__table")
+    return rows.withColumns({"status": status, "reasons": reasons}).drop("__m")
 
 
 def split_of(key: Column, shares: tuple[float, float] = (0.8, 0.1), seed: str = "split") -> Column:

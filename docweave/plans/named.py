@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.shared import bound_batches, shared_folder
+from ..functions.shared import bound_batches
 from ..operators import chunking, grounding, language_model, planning, records, retrieval, scoring
 from ..sources.readers import links, row_ranges, table
 from .sql import FIXED as _FIXED
@@ -208,6 +208,7 @@ def adjacent_jaccard(spark, d):
 
 @named(f"{_ADJ}, {chunk_faults()} SELECT doc_id, chunk_index, quality, status FROM s")
 def chunk_quality(spark, d):
+    bound_batches(spark)
     return scoring.chunk_quality(scoring.adjacent_similarity(chunking.fixed(table(spark, d, "documents"), 600))).select("doc_id", "chunk_index", "quality", "status")
 
 
@@ -396,11 +397,9 @@ _UNITS = f"""c AS ({_FIXED.format(n=600)}), k AS (SELECT c.doc_id, c.chunk_index
 
 
 def _units(spark, d) -> DataFrame:
+    bound_batches(spark)
     chunks = scoring.chunk_quality(scoring.adjacent_similarity(chunking.fixed(table(spark, d, "documents"), 600)))
-    chunks = chunks.select("doc_id", "chunk_index", F.floor(F.col("chunk_index") / 4).alias("parent"), "text", "status")
-    folder = shared_folder(spark, "chunks")
-    chunks.write.parquet(folder)  # read three times
-    return planning.plan_units(spark.read.parquet(folder))
+    return planning.plan_units(chunks.select("doc_id", "chunk_index", F.floor(F.col("chunk_index") / 4).alias("parent"), "text", "status"))
 
 
 @named(f"WITH q AS ({_QUAL}), {_UNITS} SELECT doc_id, unit_type, anchor, n_chunks, n_usable, potential FROM u")

@@ -7,6 +7,8 @@ from difflib import SequenceMatcher
 
 import pytest
 
+from docweave.functions import signals as S
+from docweave.functions.text import collapse
 from docweave.operators import chunking, grounding, language_model, planning, scoring
 from pyspark.sql import functions as F
 
@@ -106,3 +108,31 @@ def test_ngrams_go_through_one_shuffle_as_numbers(spark):
     assert len(got) == 1500 and got == pytest.approx({r["doc_id"]: r["s"] for r in want}, abs=1e-6)
     exchanges = [x for x in scores._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in x]
     assert not [x for x in exchanges if "gram" in x]
+
+
+def test_marks_of_texts_are_those_of_the_column_functions(spark):
+    """All marks at once, as the columns that stand for each have them; a text is read by Arrow, not word by word."""
+    rng = random.Random(3)
+    words = ["", " ", "  ", "\n", "\r\n", "\t", "|", ",", "，", "- ", "1. ", "12) ", "一、", "第三章", "is", "island", "IS", "requires", "applies to", "2024-05", "5 kg", "5kgs", "图片", "image", "Figure", "流程", "standard", "term", "étage", "ß", "3.1 ", "…", "!", ":", "\u3000", "\u00a0", "x" * 50]
+    texts = [("".join(rng.choice(words) + rng.choice(["", " "]) for _ in range(rng.choice([1, 2, 3, 6, 40]))), rng.choice(["", "term", "a > is", "a>  "])) for _ in range(3000)] + [(None, None), ("", "a"), ("term", "b > term")]
+    t, p = F.coalesce("t", F.lit("")), F.coalesce("p", F.lit(""))
+    df = spark.createDataFrame(texts, "t string, p string").repartition(4)
+    want = [S.has_facts(t), S.has_list(t), S.structure(t), S.placeholder(t), S.title_only(t, p), S.table_fragment(t), S.symbol_share(t), F.length(collapse(t))]
+    rows = df.select("t", S.marks(F.col("t"), F.col("p")).alias("m"), F.array(*[w.cast("double") for w in want]).alias("w")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert [float(x) for x in r["m"]] == r["w"], (r, r["t"])
+
+
+def test_units_read_texts_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = [(1, i, i // 4, f"text {i}", "usable") for i in range(12)]
+    kind = "doc_id long, chunk_index long, parent long, text string, status string"
+    units = planning.plan_units(spark.createDataFrame(rows, kind).mapInArrow(told, kind))
+    assert {r["budget"] for r in planning.allocate_budget(units, 5).collect()} == {2, 1} and seen.value == 12
