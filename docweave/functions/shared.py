@@ -26,7 +26,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def stored(rows: DataFrame, name: str) -> DataFrame:
     """Rows that are read more than once, computed once: written as a table in the shared folder."""
     folder = shared_folder(rows.sparkSession, name)
-    rows.write.parquet(folder)
+    rows.write.option("compression", "zstd").parquet(folder)
     return rows.sparkSession.read.parquet(folder)
 
 

@@ -95,27 +95,28 @@ def lexical_overlap(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """``query_id``, ``chunk_index``, ``overlap``: share of the query's idf weight that the chunk's tokens have; pairs without a common token are absent.
 
     idf is ln((N + 1) / (df + 0.5)) + 1 over the N chunks of the document; tokens that no chunk has weigh 1. Tokens of the terms belong to the query.
-    Chunks and queries are shuffled by their document, tokens are not: they meet in a row that is as large as the document.
+    Texts of chunks and queries are shuffled by their document, tokens are not: they meet in a row that is as large as the document.
     """
-    every = F.flatten(F.transform(F.concat(F.array(F.coalesce("query", F.lit(""))), F.filter(F.coalesce("terms", F.array().cast("array<string>")), lambda t: t.isNotNull())), lexical_tokens))
-    tokens = F.coalesce(lexical_tokens(F.col("text")), F.array().cast("array<string>"))
-    q = queries.groupBy("doc_id").agg(F.collect_list(F.struct("query_id", every.alias("tokens"))).alias("q"))
-    c = chunks.groupBy("doc_id").agg(F.collect_list(F.struct("chunk_index", tokens.alias("tokens"))).alias("c"))
+    terms = F.filter(F.coalesce("terms", F.array().cast("array<string>")), lambda t: t.isNotNull())
+    q = queries.groupBy("doc_id").agg(F.collect_list(F.struct("query_id", F.concat(F.array(F.coalesce("query", F.lit(""))), terms).alias("texts"))).alias("q"))
+    c = chunks.groupBy("doc_id").agg(F.collect_list(F.struct("chunk_index", F.coalesce("text", F.lit("")).alias("text"))).alias("c"))
+    q_tokens = F.transform("q", lambda x: F.struct(x["query_id"].alias("query_id"), F.flatten(F.transform(x["texts"], lexical_tokens)).alias("tokens")))
+    c_tokens = F.transform("c", lambda x: F.struct(x["chunk_index"].alias("chunk_index"), lexical_tokens(x["text"]).alias("tokens")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for columns in _overlaps(batch.column(0), batch.column(1)):
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "chunk_index", "overlap"])
 
-    return q.join(c, "doc_id").select("q", "c").mapInArrow(run, "query_id long, chunk_index long, overlap double")
+    return q.join(c, "doc_id").select(q_tokens.alias("q"), c_tokens.alias("c")).mapInArrow(run, "query_id long, chunk_index long, overlap double")
 
 
 def scored_pairs(chunks: DataFrame, queries: DataFrame, weights: tuple[float, float, float] = (0.68, 0.24, 0.08), semantic: bool = False) -> DataFrame:
-    """Every query with every chunk of its document: dense, lexical, structure, fused, coverage of terms, same_parent, adjacent, is_source.
+    """Every query with every chunk of its document: dense, lexical, structure, fused, coverage of terms, same_parent, adjacent, is_source, and the chunk's ``size`` in a unit's text.
 
     lexical is 0.75 of the overlap and 0.25 of the terms that title or text contain. structure is 0.55 for the source's
     parent, 0.25 for a neighbour, 0.20 of the titles' Jaccard, 0.15 for the same parent in a wider scope, 0.08 for any lexical
-    score across chunks, 1 at most. ``semantic`` ranks by the dense score alone. Nulls are empty texts, zero vectors and the narrow scope.
+    score across chunks, 1 at most. ``semantic`` ranks by the dense score alone. Nulls are empty texts, zero vectors and the narrow scope. Pairs leave texts and vectors behind before they are shuffled.
     """
     wd, wl, ws = (max(0.0, w) for w in weights)
     wl, ws = (0.0, 0.0) if semantic else (wl, min(0.5, ws))
@@ -123,7 +124,8 @@ def scored_pairs(chunks: DataFrame, queries: DataFrame, weights: tuple[float, fl
     source = chunks.select(F.col("doc_id").alias("sd"), F.col("chunk_index").alias("si"), F.col("parent").alias("source_parent"), title_parts(F.col("title_path")).alias("source_titles"))
     q = queries.select("query_id", "doc_id", "source_index", F.coalesce("terms", F.array().cast("array<string>")).alias("terms"), F.col("vector").alias("qv"), F.coalesce("scope", F.lit(SCOPES[0])).alias("scope"))
     q = q.join(source, (F.col("doc_id") == F.col("sd")) & (F.col("source_index") == F.col("si")), "left").drop("sd", "si")
-    rows = q.join(chunks, "doc_id").join(lexical_overlap(chunks, queries), ["query_id", "chunk_index"], "left")
+    sized = chunks.select("doc_id", "chunk_index", "parent", "title_path", "text", "vector", F.length(chunk_in_unit(F.col("title_path"), F.col("text"))).alias("size"))
+    rows = q.join(sized, "doc_id")
     target = F.lower(F.concat_ws("\n", F.coalesce("title_path", F.lit("")), F.coalesce("text", F.lit(""))))
     hits = F.size(F.filter("terms", lambda t: (t != "") & F.contains(target, F.lower(t))))
     coverage = F.when(F.size("terms") > 0, hits / F.size("terms")).otherwise(0.0)
@@ -132,15 +134,18 @@ def scored_pairs(chunks: DataFrame, queries: DataFrame, weights: tuple[float, fl
     rows = rows.withColumns({
         "dense": F.round(F.coalesce(dot(F.col("qv"), F.col("vector")), F.lit(0.0)), 9), "coverage": coverage, "same_parent": same, "adjacent": adjacent,
         "title_overlap": jaccard(F.coalesce("source_titles", F.array().cast("array<string>")), title_parts(F.col("title_path"))), "is_source": F.coalesce(F.col("chunk_index") == F.col("source_index"), F.lit(False)),
-    })
+        "n_terms": F.size("terms"),
+    }).drop("terms", "text", "title_path", "vector", "qv", "source_parent", "source_titles")
+    rows = rows.join(lexical_overlap(chunks, queries), ["query_id", "chunk_index"], "left")
     rows = rows.withColumn("lexical", F.round(F.least(F.lit(1.0), 0.75 * F.coalesce("overlap", F.lit(0.0)) + 0.25 * F.col("coverage")), 9))
     value = lambda c, v: F.when(c, v).otherwise(0.0)
-    structure = value(same, 0.55) + value(adjacent, 0.25) + 0.20 * F.col("title_overlap") + value(same & F.col("scope").isin(*SCOPES[1:]), 0.15) + value((F.col("scope") == SCOPES[2]) & (F.col("lexical") > 0), 0.08)
+    same = F.col("same_parent")
+    structure = value(same, 0.55) + value(F.col("adjacent"), 0.25) + 0.20 * F.col("title_overlap") + value(same & F.col("scope").isin(*SCOPES[1:]), 0.15) + value((F.col("scope") == SCOPES[2]) & (F.col("lexical") > 0), 0.08)
     rows = rows.withColumn("structure", F.round(F.least(F.lit(1.0), structure), 9))
     unit = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("dense") + 1) / 2))
     fused = F.round(wd / (wd + wl) * unit + wl / (wd + wl) * F.col("lexical") + ws * F.col("structure"), 9)
-    keep = ("query_id", "doc_id", "source_index", "scope", "chunk_index", "parent", "title_path", "text", "dense", "lexical", "structure", "coverage", "same_parent", "adjacent", "is_source")
-    return rows.select(*keep, F.size("terms").alias("n_terms"), fused.alias("fused"))
+    keep = ("query_id", "doc_id", "source_index", "scope", "chunk_index", "parent", "size", "dense", "lexical", "structure", "coverage", "same_parent", "adjacent", "is_source", "n_terms")
+    return rows.select(*keep, fused.alias("fused"))
 
 
 def ranked(pairs: DataFrame, k: int = 3, rerank: int = 12) -> DataFrame:
@@ -206,8 +211,8 @@ def selected(found: DataFrame, decisions: DataFrame, chunks: DataFrame, budget:
     skipped. Roles: auto_merged_section_context, if half of the parent's other chunks, and two at least, are hits of the same section;
     same_section_context; related_context. At most k hits of a query are folded in one row.
     """
-    size = lambda c: F.length(chunk_in_unit(F.col("title_path"), F.col("text"))).alias(c)
-    source = chunks.select("doc_id", F.col("chunk_index").alias("source_index"), F.col("parent").alias("source_parent"), size("source_size"))
+    size = F.length(chunk_in_unit(F.col("title_path"), F.col("text")))
+    source = chunks.select("doc_id", F.col("chunk_index").alias("source_index"), size.alias("source_size"))
     children = chunks.groupBy("doc_id", "parent").agg(F.count("*").alias("children"))
     rows = found.drop("scope").join(decisions, "query_id").join(source, ["doc_id", "source_index"], "left").join(children, ["doc_id", "parent"], "left")
     of_parent = F.count("*").over(Window.partitionBy("query_id", "parent"))
@@ -216,7 +221,7 @@ def selected(found: DataFrame, decisions: DataFrame, chunks: DataFrame, budget:
     role = F.when(F.col("same_parent") & (share >= 0.5) & (of_parent >= 2), "auto_merged_section_context").when(near, "same_section_context").otherwise("related_context")
     rows = rows.withColumn("role", role)
     rows = rows.where((F.col("scope") == SCOPES[2]) | ((F.col("scope") == SCOPES[1]) & near))
-    rows = rows.select("query_id", "source_size", F.struct("hit", "chunk_index", size("size"), "role").alias("x"))
+    rows = rows.select("query_id", "source_size", F.struct("hit", "chunk_index", "size", "role").alias("x"))
     folded = rows.groupBy("query_id").agg(F.first("source_size").alias("source_size"), F.array_sort(F.collect_list("x")).alias("xs"))
     kind = "array<struct<hit:int,chunk_index:bigint,size:int,role:string>>"
     start = F.struct((F.lit(max(1000, budget)) - F.coalesce("source_size", F.lit(0))).cast("int").alias("left"), F.array().cast(kind).alias("taken"))

@@ -22,10 +22,10 @@ _TERMS = ("license", "version")
 
 def _chunks(spark, d) -> DataFrame:
     bound_batches(spark)
-    docs = table(spark, d, "documents")
-    side = docs.select("doc_id", F.concat_ws(" > ", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))).alias("title_path"))
-    rows = chunking.fixed(docs, 600).join(side, "doc_id")
-    rows = rows.select("doc_id", "chunk_index", F.floor(F.col("chunk_index") / 4).cast("string").alias("parent"), "title_path", "text")
+    title = F.concat_ws(" > ", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
+    docs = table(spark, d, "documents").where("doc_id IS NOT NULL").select(F.struct("doc_id", title.alias("title_path")).alias("key"), "text")
+    rows = chunking.fixed(docs, 600, "key")
+    rows = rows.select("key.doc_id", "chunk_index", F.floor(F.col("chunk_index") / 4).cast("string").alias("parent"), "key.title_path", "text")
     return stored(evidence.with_hashed_vectors(rows, vector="text"), "chunks")
 
 

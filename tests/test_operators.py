@@ -104,6 +104,15 @@ def test_evidence_against_plain_python(spark):
     assert evidence.ranked(evidence.scored_pairs(c.limit(0), q)).count() == 0 and evidence.ranked(evidence.scored_pairs(c, q.limit(0))).count() == 0
 
 
+def test_pairs_of_evidence_are_shuffled_without_texts(spark):
+    """Pairs know the size of their chunk in place of its text, title and vector."""
+    chunks, _, c, q = evidence_tables(spark)
+    pairs = evidence.scored_pairs(c, q)
+    assert not {"text", "title_path", "vector"} & set(pairs.columns)
+    sizes = {(x[0], x[1]): len(x[3]) + 1 + len(x[4]) for x in chunks}
+    assert all(r["size"] == sizes[r["doc_id"], r["chunk_index"]] for r in pairs.collect())
+
+
 def test_evidence_budget_skips_what_does_not_fit(spark):
     rows = [(1, i, "p", None, text, [1.0]) for i, text in enumerate(["s" * 100, "a" * 950, "b" * 800])]
     q = spark.createDataFrame([(7, 1, 0, "aa", None, [1.0], "same_section")], QUERIES)
